@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wirelens.llm.decontamination import contamination
 from wirelens.llm.url_filter import Rule, host_of, judge_urls
 
 
@@ -51,5 +52,27 @@ SELECT page_id, host, path, rule, CASE
     WHEN regexp_matches(host, '{BLOCKED_HOSTS}') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
 """
 
-QUERIES = {"op6_url_cascade": op6_url_cascade}
-ORACLES = {"op6_url_cascade": OP6_SQL}
+# ---------------------------------------------------------------- op9
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans")
+
+
+_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS.format('text')}, []) AS w FROM documents),
+i AS (SELECT item_id, w, least(len(w), 13) AS n FROM (SELECT item_id, coalesce({_WORDS.format('text')}, []) AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS g FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM i)),
+lens AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, lens WHERE len(w) >= n)),
+hit AS (SELECT doc_id, item_id, s, dw.n FROM dw JOIN iw ON dw.g = iw.g AND dw.n = iw.n),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+QUERIES = {"op9_decontamination": op9_decontamination, "op6_url_cascade": op6_url_cascade}
+ORACLES = {"op9_decontamination": OP9_SQL, "op6_url_cascade": OP6_SQL}
