@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wirelens.llm.decontamination import contamination
 from wirelens.llm.packing import pack_documents
+from wirelens.llm.simhash import near_duplicates
 from wirelens.llm.url_filter import Rule, host_of, judge_urls
 
 
@@ -84,5 +85,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op5_packing": op5_packing, "op9_decontamination": op9_decontamination, "op6_url_cascade": op6_url_cascade}
+# ---------------------------------------------------------------- op3
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+
+
+QUERIES = {"op3_simhash": op3_simhash, "op5_packing": op5_packing, "op9_decontamination": op9_decontamination, "op6_url_cascade": op6_url_cascade}
 ORACLES = {"op9_decontamination": OP9_SQL, "op6_url_cascade": OP6_SQL}
