@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wirelens.llm.decontamination import contamination
 from wirelens.llm.packing import pack_documents
 from wirelens.llm.simhash import near_duplicates
+from wirelens.llm.toxicity import toxicity
 from wirelens.llm.url_filter import Rule, host_of, judge_urls
 from wirelens.llm.vector_dedup import vector_near_duplicates
 from wirelens.llm.warc import archive
@@ -126,5 +127,12 @@ n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
 """
 
-QUERIES = {"op10_pivot_index": op10_pivot_index, "op4_warc": op4_warc, "op3_simhash": op3_simhash, "op5_packing": op5_packing, "op9_decontamination": op9_decontamination, "op6_url_cascade": op6_url_cascade}
+# ---------------------------------------------------------------- op2
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("hits")
+
+
+QUERIES = {"op2_toxicity": op2_toxicity, "op10_pivot_index": op10_pivot_index, "op4_warc": op4_warc, "op3_simhash": op3_simhash, "op5_packing": op5_packing, "op9_decontamination": op9_decontamination, "op6_url_cascade": op6_url_cascade}
 ORACLES = {"op10_pivot_index": OP10_SQL, "op4_warc": OP4_SQL, "op9_decontamination": OP9_SQL, "op6_url_cascade": OP6_SQL}
