@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wirelens.llm.decontamination import contamination
 from wirelens.llm.packing import pack_documents
+from wirelens.llm.pseudonyms import pseudonymized
 from wirelens.llm.simhash import near_duplicates
 from wirelens.llm.toxicity import toxicity
 from wirelens.llm.url_filter import Rule, host_of, judge_urls
@@ -134,5 +135,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("hits")
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op10_pivot_index": op10_pivot_index, "op4_warc": op4_warc, "op3_simhash": op3_simhash, "op5_packing": op5_packing, "op9_decontamination": op9_decontamination, "op6_url_cascade": op6_url_cascade}
+# ---------------------------------------------------------------- op8
+
+#: In production the key comes from the cluster's secrets; results are reproducible with this one.
+PSEUDONYM_KEY = "wirelens-example-key"
+
+
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymized(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
+QUERIES = {"op8_pseudonyms": op8_pseudonyms, "op2_toxicity": op2_toxicity, "op10_pivot_index": op10_pivot_index, "op4_warc": op4_warc, "op3_simhash": op3_simhash, "op5_packing": op5_packing, "op9_decontamination": op9_decontamination, "op6_url_cascade": op6_url_cascade}
 ORACLES = {"op10_pivot_index": OP10_SQL, "op4_warc": OP4_SQL, "op9_decontamination": OP9_SQL, "op6_url_cascade": OP6_SQL}
