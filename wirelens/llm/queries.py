@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wirelens.llm.decontamination import contamination
 from wirelens.llm.packing import pack_documents
 from wirelens.llm.pseudonyms import pseudonymized
+from wirelens.llm.repeats import remove_repeats
 from wirelens.llm.simhash import near_duplicates
 from wirelens.llm.toxicity import toxicity
 from wirelens.llm.url_filter import Rule, host_of, judge_urls
@@ -145,5 +146,12 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymized(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
-QUERIES = {"op8_pseudonyms": op8_pseudonyms, "op2_toxicity": op2_toxicity, "op10_pivot_index": op10_pivot_index, "op4_warc": op4_warc, "op3_simhash": op3_simhash, "op5_packing": op5_packing, "op9_decontamination": op9_decontamination, "op6_url_cascade": op6_url_cascade}
+# ---------------------------------------------------------------- op7
+
+
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES = {"op7_repeats": op7_repeats, "op8_pseudonyms": op8_pseudonyms, "op2_toxicity": op2_toxicity, "op10_pivot_index": op10_pivot_index, "op4_warc": op4_warc, "op3_simhash": op3_simhash, "op5_packing": op5_packing, "op9_decontamination": op9_decontamination, "op6_url_cascade": op6_url_cascade}
 ORACLES = {"op10_pivot_index": OP10_SQL, "op4_warc": OP4_SQL, "op9_decontamination": OP9_SQL, "op6_url_cascade": OP6_SQL}
