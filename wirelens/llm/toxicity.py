@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirelens.llm.common import fresh, materialize
+from wirelens.llm.simhash import shingle_hashes
 
 CUT = 0.7
 #: Labelled rows that the lexicon is learned from, at most, of each label; the choice is by a hash of the id.
@@ -71,28 +72,29 @@ class Trie:
             node = node.setdefault(c, {})
         node[""] = term
 
-    def within(self, word: str, edits: int) -> list[tuple[str, int]]:
-        """Terms within so many edits of word, and how many: the word's automaton walked along the trie.
+    def within(self, word: str, edits: int) -> dict[str, int]:
+        """Terms within so many edits of word, and how many: the word's automaton run along the trie.
 
-        A state is the row of edit distances between the trie path and the word's beginnings; a branch whose whole
-        row is over the limit is dead.
+        A state is a place in the trie, a place in the word and the edits left. A letter of both moves on at no cost;
+        leaving out a letter of the word, taking an extra one of the trie, or one for the other costs an edit.
         """
-        found: list[tuple[str, int]] = []
-        stack = [(self.root, list(range(len(word) + 1)))]
-        while stack:
-            node, row = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    if row[-1] <= edits:
-                        found.append((child, row[-1]))
-                    continue
-                new, best = [row[0] + 1], row[0] + 1
-                for i, w in enumerate(word):
-                    x = min(new[i] + 1, row[i + 1] + 1, row[i] + (w != c))
-                    new.append(x)
-                    best = min(best, x)
-                if best <= edits:
-                    stack.append((child, new))
+        found: dict[str, int] = {}
+        states, n = [(self.root, 0, edits)], len(word)
+        while states:
+            node, i, left = states.pop()
+            if i == n:
+                if "" in node:
+                    found[node[""]] = min(found.get(node[""], edits), edits - left)
+            elif (child := node.get(word[i])) is not None:
+                states.append((child, i + 1, left))
+            if left:
+                if i < n:
+                    states.append((node, i + 1, left - 1))
+                for c, child in node.items():
+                    if c:
+                        states.append((child, i, left - 1))
+                        if i < n and c != word[i]:
+                            states.append((child, i + 1, left - 1))
         return found
 
 
@@ -107,13 +109,14 @@ class Lexicon:
     def __post_init__(self) -> None:
         self.trie = Trie()
         self.lengths = sorted({len(s) for s in self.starts})
-        self.heads, self.tails = set(), set()
+        self.heads, self.tails = set(), set()  # halves of terms, with the lengths that a word one edit away can have
         for w in self.words:
             if len(w) >= LEAST_FUZZY:
                 self.trie.add(w)
                 half = len(w) // 2
-                self.heads.add(w[:half]), self.tails.add(w[half:])
-        self.head_sizes, self.tail_sizes = (sorted({len(x) for x in s}) for s in (self.heads, self.tails))
+                for n in range(len(w) - EDITS, len(w) + EDITS + 1):
+                    self.heads.add((w[:half], n)), self.tails.add((w[half:], n))
+        self.head_sizes, self.tail_sizes = (sorted({len(x) for x, _ in s}) for s in (self.heads, self.tails))
 
     def match(self, word: str) -> tuple[str, float] | None:
         """The term that a bare word matches, and its weight."""
@@ -123,8 +126,9 @@ class Lexicon:
             if word[:n] in self.starts:
                 return word[:n], self.starts[word[:n]]
         # one edit leaves the first or the second half of a term as it is
-        if len(word) >= LEAST_FUZZY - EDITS and (any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes)):
-            near = [(self.fuzzy.get(t, 0.0), t) for t, d in self.trie.within(word, EDITS) if d]
+        size = len(word)
+        if any((word[:n], size) in self.heads for n in self.head_sizes) or any((word[-n:], size) in self.tails for n in self.tail_sizes):
+            near = [(self.fuzzy.get(t, 0.0), t) for t, d in self.trie.within(word, EDITS).items() if d]
             if near and max(near)[0] > 0:
                 p, t = max(near)
                 return t, p
@@ -202,7 +206,27 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS)
         part = own.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         sample = part if sample is None else sample.unionByName(part)
     bounded = F.broadcast(sample.withColumnsRenamed({"doc_id": "labelled", "toxic": "toxic_label"}))  # 2 * most rows of two numbers
-    return docs.select("doc_id", "text").join(bounded, F.col("doc_id") == F.col("labelled")).select("text", F.col("toxic_label").alias("toxic"))
+    rows = docs.select("doc_id", "text").join(bounded, F.col("doc_id") == F.col("labelled")).select("doc_id", "text", F.col("toxic_label").alias("toxic"))
+    return without_copies(rows)
+
+
+def without_copies(rows: DataFrame, signatures: int = 3) -> DataFrame:
+    """The rows without most copies, whose words would pass for evidence: of rows that share the least hash of their
+    five-word runs, under one of some orders of the hashes, one is kept."""
+    masks = [np.uint64(0), *(np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1) for k in range(1, signatures))]
+    names = [f"s{k}" for k in range(signatures)]
+
+    def sign(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            own = [shingle_hashes(t, 5) for t in batch.to_pylist()]
+            found = np.array([[int((h ^ m).min().view(np.int64)) if len(h) else 0 for m in masks] for h in own], np.int64).reshape(-1, signatures)
+            yield pa.StructArray.from_arrays([pa.array(found[:, k]) for k in range(signatures)], names)
+
+    kind = "struct<" + ",".join(f"{n}:bigint" for n in names) + ">"
+    rows = rows.withColumn("signed", F.arrow_udf(sign, kind).asNondeterministic()(F.col("text"))).select("doc_id", "text", "toxic", "signed.*")
+    for n in names:
+        rows = rows.groupBy(n).agg(F.min_by(F.struct("doc_id", "text", "toxic", *names), "doc_id").alias("kept")).select("kept.*")
+    return rows.select("text", "toxic")
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> tuple[Lexicon, tuple[float, ...]]:
