@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wirelens.llm.chat import format_chats
 from wirelens.llm.decontamination import contamination
 from wirelens.llm.packing import pack_documents
 from wirelens.llm.pseudonyms import pseudonymized
@@ -153,5 +154,12 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {"op7_repeats": op7_repeats, "op8_pseudonyms": op8_pseudonyms, "op2_toxicity": op2_toxicity, "op10_pivot_index": op10_pivot_index, "op4_warc": op4_warc, "op3_simhash": op3_simhash, "op5_packing": op5_packing, "op9_decontamination": op9_decontamination, "op6_url_cascade": op6_url_cascade}
+# ---------------------------------------------------------------- op1
+
+
+def op1_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {"op1_chat_repair": op1_chat_repair, "op7_repeats": op7_repeats, "op8_pseudonyms": op8_pseudonyms, "op2_toxicity": op2_toxicity, "op10_pivot_index": op10_pivot_index, "op4_warc": op4_warc, "op3_simhash": op3_simhash, "op5_packing": op5_packing, "op9_decontamination": op9_decontamination, "op6_url_cascade": op6_url_cascade}
 ORACLES = {"op10_pivot_index": OP10_SQL, "op4_warc": OP4_SQL, "op9_decontamination": OP9_SQL, "op6_url_cascade": OP6_SQL}
