@@ -155,3 +155,85 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
     prints = fingerprints(docs, shingle)
     found = skew_join(prints, classes(prints, radius), "fp", "n")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+# ---------------------------------------------------------------- by similarity
+
+#: Least shingle hashes of a text that its sketch holds, and those of them whose pairs are keys too.
+SKETCH, LEADERS = 128, 6
+#: Buckets up to this size are compared in full; in larger ones each text with its neighbours by fingerprint and the first.
+FULL, NEIGHBOURS = 32, 4
+SIMILARITY = 0.8
+
+TRAITS = "struct<fp:bigint,keys:array<bigint>,sketch:binary>"
+_TRAITS_ARROW = pa.struct([("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two texts' sets of shingles: exact where both have at most SKETCH, else an estimate."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    union = np.union1d(x, y)
+    if len(x) == SKETCH or len(y) == SKETCH:
+        union = union[:SKETCH]
+    return float(np.isin(union, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean())
+
+
+def _traits(n: int) -> Callable:
+    def traits(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tables = [np.uint64(m) for m in masks()]
+        for batch in texts:
+            found = []
+            for text in batch.to_pylist():
+                hashes = shingle_hashes(text, n)
+                fp, least = fingerprint_of(hashes), np.unique(hashes)[:SKETCH]
+                pairs = [int(least[i] * np.uint64(3) ^ least[j]) for i in range(min(LEADERS, len(least))) for j in range(i + (len(least) > 1), min(LEADERS, len(least)))]
+                keys = [signed(k) for k in pairs] + [signed((fp & int(m)) * 31 + k + 1 & (1 << 64) - 1) for k, m in enumerate(tables)]
+                found.append({"fp": fp, "keys": keys, "sketch": least.tobytes()})
+            yield pa.array(found, _TRAITS_ARROW)
+
+    return F.arrow_udf(traits, TRAITS).asNondeterministic()
+
+
+def _pairs(table: pa.Table, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+    node, size = table.column("node").to_numpy(), end - start
+    left, right = [], []
+    for step in range(1, FULL):
+        s, e = start[size > step], end[size > step]
+        if not len(s):
+            break
+        if step > NEIGHBOURS:
+            s, e = s[e - s <= FULL], e[e - s <= FULL]
+        counts = e - s - step
+        a = np.repeat(s - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum()) if len(s) else s
+        left.append(a), right.append(a + step)
+    for s, e in zip(start[size > FULL], end[size > FULL], strict=True):
+        right.append(np.arange(s + 1, e)), left.append(np.full(e - s - 1, s))
+    if left:
+        a, b = node[np.concatenate(left)], node[np.concatenate(right)]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
+        yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+
+def representatives(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY) -> DataFrame:
+    """doc_id of one document (the least id) of each group of texts that links of at least this similarity connect.
+
+    Candidates are texts that share a bucket of the covering family or two of their LEADERS least shingle hashes:
+    fingerprints alone differ in some ten bits at a similarity of 0.8, which no covering family of usable size reaches.
+    Every candidate is verified by its sketch. Texts without words are one group. Null ids are left out.
+    """
+    found = materialize(docs.where(F.col("doc_id").isNotNull()).select("doc_id", _traits(shingle)(F.col("text")).alias("t")).select("doc_id", "t.*", F.xxhash64("t.fp", "t.sketch").alias("node")), "traits")
+    nodes = materialize(found.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")), "texts")
+    dealt = nodes.select("node", "fp", F.explode("keys").alias("bucket"))
+    pairs = materialize(grouped_runs(dealt, "bucket", ["fp", "node"], _pairs, "a bigint, b bigint").distinct(), "pairs")
+    sketches = nodes.select("node", "sketch")
+    both = pairs.join(sketches.withColumnsRenamed({"node": "a", "sketch": "x"}), "a").join(sketches.withColumnsRenamed({"node": "b", "sketch": "y"}), "b")
+
+    @F.arrow_udf("double")
+    def similar(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([similarity(a, b) for a, b in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.float64())
+
+    joined = components(both.where(similar("x", "y") >= least).select("a", "b"))
+    inside = nodes.select("node", "first").join(joined, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
+    return inside.groupBy("root").agg(F.min("first").alias("doc_id")).select("doc_id")
