@@ -26,11 +26,14 @@ from pyspark.sql import functions as F
 
 from wirelens.llm.common import materialize, runs
 
-LENGTH, ANCHOR = 50, 16
+LENGTH, ANCHOR = 50, 12
 #: Bytes of text that are cut at once, that a shard has about, and that one index has about.
-CHUNK_BYTES, SHARD_BYTES, INDEX_BYTES = 2 << 20, 16 << 20, 4 << 20
-#: Bytes of text whose segments are combined before they are sent.
-COMBINE_BYTES = 24 << 20
+CHUNK_BYTES, SHARD_BYTES, INDEX_BYTES = 256 << 10, 6 << 20, 1 << 20
+#: Bytes of text whose segments are combined before they are sent, and bytes of segments that are put together at once.
+COMBINE_BYTES, GATHER_BYTES = 6 << 20, 512 << 10
+
+#: Equal windows agree on their anchor and, on one side of it at least, on half of the window's other bytes.
+SIDE = ANCHOR + (LENGTH - ANCHOR) // 2
 
 _U8 = np.uint64
 #: Odd multipliers for the hashes of 2, 4, 8, ... bytes.
@@ -50,28 +53,37 @@ class Segments:
 
     NAMES = ("doc", "row", "start", "size", "anchor", "id")
 
-    def __init__(self, doc, row, start, size, anchor, id, text: np.ndarray):
+    def __init__(self, doc, row, start, size, anchor, id, text: np.ndarray, right=None, left=None):
         self.doc, self.row, self.start, self.size, self.anchor, self.id, self.text = doc, row, start, size, anchor, id, text
+        self.right, self.left = right, left
         self.at = np.r_[0, np.cumsum(size)[:-1]].astype(np.int64) if len(size) else np.zeros(0, np.int64)
 
     def take(self, which: np.ndarray) -> Segments:
         return Segments(*(getattr(self, n)[which] for n in self.NAMES), gather(self.text, self.at[which], self.size[which]))
 
     def pack(self) -> bytes:
-        raw = b"".join([np.int64(len(self.doc)).tobytes(), *(getattr(self, n).astype(k).tobytes() for n, k in zip(self.NAMES, ("<i8", "<i8", "<i8", "<i4", "<u8", "<u8"), strict=True)), self.text.tobytes()])
-        return zstandard.compress(raw, 1)
+        """Compressed; a document's numbers are there once, and what identify() finds again is left out."""
+        new = np.flatnonzero(np.r_[True, (self.row[1:] != self.row[:-1]) | (self.doc[1:] != self.doc[:-1])])
+        counts = np.diff(np.r_[new, len(self.row)])
+        parts = [np.array([len(new), len(self.row)], "<i8"), self.doc[new].astype("<i8"), self.row[new].astype("<i8"), counts.astype("<i4"), np.diff(self.start, prepend=0).astype("<i8"), self.size.astype("u1"), self.text]
+        return zstandard.compress(b"".join(x.tobytes() for x in parts), 6)
 
     @classmethod
     def unpack(cls, blobs: list[bytes]) -> Segments:
-        parts: list[list[np.ndarray]] = [[] for _ in range(7)]
+        parts: list[list[np.ndarray]] = [[] for _ in range(5)]
         for blob in blobs:
-            raw = zstandard.decompress(blob)
-            n, at = int(np.frombuffer(raw, "<i8", 1)[0]), 8
-            for k, kind in enumerate(("<i8", "<i8", "<i8", "<i4", "<u8", "<u8")):
-                parts[k].append(np.frombuffer(raw, kind, n, at))
-                at += n * np.dtype(kind).itemsize
-            parts[6].append(np.frombuffer(raw, np.uint8, -1, at))
-        return cls(*(np.concatenate(p) for p in parts))
+            raw, at = zstandard.decompress(blob), 16
+            docs, n = np.frombuffer(raw, "<i8", 2).tolist()
+            found = []
+            for kind, count in (("<i8", docs), ("<i8", docs), ("<i4", docs), ("<i8", n), ("u1", n)):
+                found.append(np.frombuffer(raw, kind, count, at))
+                at += found[-1].nbytes
+            doc, row, counts, steps, size = found
+            for x, y in zip(parts, (np.repeat(doc, counts), np.repeat(row, counts), np.cumsum(steps), size.astype(np.int32), np.frombuffer(raw, np.uint8, -1, at)), strict=True):
+                x.append(y)
+        doc, row, start, size, text = (np.concatenate(x) for x in parts)
+        anchor, name, right, left = identify(text, size)
+        return cls(doc, row, start, size, anchor, name, text, right, left)
 
     @classmethod
     def join(cls, parts: list[Segments]) -> Segments:
@@ -79,27 +91,75 @@ class Segments:
 
 
 def gather(text: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The parts of text of these places and sizes, one after another."""
-    if not len(at):
-        return np.zeros(0, np.uint8)
-    size = size.astype(np.int64)
-    step = np.ones(int(size.sum()), np.int64)
-    first = np.r_[0, np.cumsum(size)[:-1]]
-    step[first] = np.r_[at[0], at[1:] - at[:-1] - size[:-1] + 1]
-    return text[np.cumsum(step)]
+    """The parts of text of these places and sizes, one after another; made in pieces, so that little else is held."""
+    ends = np.cumsum(size, dtype=np.int64)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(GATHER_BYTES, len(out), GATHER_BYTES)), len(at)])
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        low = int(ends[a - 1]) if a else 0
+        step = np.ones(int(ends[b - 1]) - low, np.int64)
+        step[np.r_[0, ends[a : b - 1] - low]] = np.r_[at[a], at[a + 1 : b] - at[a : b - 1] - size[a : b - 1] + 1]
+        out[low : ends[b - 1]] = text[np.cumsum(step, out=step)]
+    return out
+
+
+def hashes_of(text: np.ndarray) -> dict[int, np.ndarray]:
+    """Hashes of all runs of ANCHOR, of SIDE and of 32 bytes."""
+    found, n = {1: text.astype(_U8) + _U8(1)}, len(text)
+    for k, m in enumerate((1, 2, 4, 8, 16)):
+        found[2 * m] = _mixed(found[m][: n - 2 * m + 1], found[m][m : n - m + 1], k)
+        if m == 8:
+            found[ANCHOR] = _mixed(found[8][: n - ANCHOR + 1], found[4][8 : n - ANCHOR + 9], 4)
+    found[SIDE] = _mixed(found[16][: n - SIDE + 1], found[16][SIDE - 16 : n - 15], 3)
+    return {m: found[m] for m in (ANCHOR, SIDE, 32)}
+
+
+def names_of(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Ids of segments at places first: hashes of their first and last windows, which cover them, and of their size."""
+    window = lambda s: _mixed(hashes[s], hashes[s + LENGTH - 32], 5)
+    return _mixed(window(first), window(first + size - LENGTH) + size.astype(_U8), 2)
+
+
+def identify(text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of segments that lie one after another in text: anchor (the least hash), id, and hashes of the anchor with its
+    right and with its left side (0 where the segment is too short for it)."""
+    ends = np.cumsum(size, dtype=np.int64)
+    out = [np.zeros(len(size), _U8) for _ in range(4)]
+    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(GATHER_BYTES, len(text), GATHER_BYTES)), len(size)])
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        low = int(ends[a - 1]) if a else 0
+        hashes, end = hashes_of(text[low : ends[b - 1]]), ends[a:b] - low
+        first, own = end - size[a:b], hashes[ANCHOR]
+        for j in range(1, ANCHOR):  # runs over a segment's end don't count
+            own[(end - j)[end - j < len(own)]] = _U8(2**64 - 1)
+        anchor = np.minimum.reduceat(own, first)
+        at = np.flatnonzero(own == np.repeat(anchor, size[a:b])[: len(own)])
+        at = at[np.searchsorted(at, first)]  # the first place of each segment's anchor
+        right, left = at + SIDE <= end, at + ANCHOR - SIDE >= first
+        out[0][a:b], out[1][a:b] = anchor, names_of(hashes[32], first, size[a:b])
+        out[2][a:b][right] = hashes[SIDE][at[right]] | _U8(1)
+        out[3][a:b][left] = hashes[SIDE][at[left] + ANCHOR - SIDE] | _U8(1)
+    return tuple(out)
+
+
+def may_share(anchor: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Of variants: whether another one has the same anchor with the same right or left side."""
+    found = np.zeros(len(anchor), bool)
+    for side in (right, left):
+        own = np.flatnonzero(side)
+        _, back, count = np.unique(_mixed(anchor[own], side[own], 1), return_inverse=True, return_counts=True)
+        found[own] |= count[back] > 1
+    return found
 
 
-def cut_chunk(texts: list[bytes], docs: np.ndarray, rows: np.ndarray, bases: np.ndarray, length: int = LENGTH) -> Segments | None:
+def cut_chunk(texts: list[bytes], docs: np.ndarray, rows: np.ndarray, bases: np.ndarray) -> Segments | None:
     """Segments of some texts (parts of documents that start at bases), which together have fewer than 2**24 bytes."""
     text = np.frombuffer(b"".join(texts), np.uint8)
-    n, width = len(text), length - ANCHOR + 1
+    n, length = len(text), LENGTH
+    width = length - ANCHOR + 1
     if n < length:
         return None
-    hashes = {1: text.astype(_U8) + _U8(1)}
-    for k, m in enumerate((1, 2, 4, 8, 16)):
-        hashes[2 * m] = _mixed(hashes[m][: n - 2 * m + 1], hashes[m][m : n - m + 1], k)
-        if m > 1 and m != ANCHOR:
-            del hashes[m]
+    hashes = hashes_of(text)
     own = hashes[ANCHOR]
     key = own >> _U8(_PLACE_BITS) << _U8(_PLACE_BITS) | np.arange(len(own), dtype=_U8)
     reach = 1
@@ -126,11 +186,9 @@ def cut_chunk(texts: list[bytes], docs: np.ndarray, rows: np.ndarray, bases: np.
     anchor = place[starts]
     new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1) | (which[1:] != which[:-1])])
     first, last = starts[new], starts[np.r_[new[1:], len(starts)] - 1]
-    window = lambda s: _mixed(hashes[32][s], hashes[32][s + length - 32], 5)
     size = (last - first + length).astype(np.int32)
-    same = _mixed(window(first), window(last) + size.astype(_U8), 2)
     t = which[new]
-    return Segments(docs[t], rows[t], first - np.r_[0, ends[:-1]][t] + bases[t], size, own[anchor[new]], same, gather(text, first, size))
+    return Segments(docs[t], rows[t], first - np.r_[0, ends[:-1]][t] + bases[t], size, own[anchor[new]], names_of(hashes[32], first, size), gather(text, first, size))
 
 
 def cut(batch: pa.RecordBatch) -> Segments | None:
@@ -271,15 +329,18 @@ def shard_spans(s: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     whole = order[repeat]
     out = [(s.doc[whole], s.row[whole], s.start[whole], s.start[whole] + s.size[whole])]
     variant = order[start]
-    anchor, doc = s.anchor[variant], s.doc[variant]
-    group = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-    several = np.minimum.reduceat(doc, group) != np.maximum.reduceat(doc, group)
-    chosen = np.flatnonzero(np.repeat(several, np.diff(np.r_[group, len(variant)])))
+    chosen = np.flatnonzero(may_share(s.anchor[variant], s.right[variant], s.left[variant]))
+    anchor, doc = s.anchor[variant[chosen]], s.doc[variant[chosen]]
+    group = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]) if len(chosen) else chosen
+    if len(chosen):
+        several = np.minimum.reduceat(doc, group) != np.maximum.reduceat(doc, group)
+        chosen = chosen[np.repeat(several, np.diff(np.r_[group, len(chosen)]))]
+        anchor = s.anchor[variant[chosen]]
     if len(chosen):
         # indexes of bounded size; an anchor's variants stay together
         volume = np.cumsum(s.size[variant[chosen]].astype(np.int64) + 1)
         part = (volume - 1) // INDEX_BYTES
-        fresh = np.r_[True, anchor[chosen][1:] != anchor[chosen][:-1]]
+        fresh = np.r_[True, anchor[1:] != anchor[:-1]]
         part = part[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
         length = np.diff(np.r_[start, len(order)])
         for p in np.unique(part):
@@ -303,13 +364,25 @@ def shard_spans(s: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 SPANS = "doc_id bigint, row bigint, spans binary"
 
 
+def pack_spans(pairs: np.ndarray) -> bytes:
+    """Pairs of start and end: 32-bit numbers, or 64-bit ones after a zero pair where those don't do."""
+    if pairs.max() < 1 << 32:
+        return pairs.astype("<u4").tobytes()
+    return bytes(8) + pairs.astype("<u8").tobytes()
+
+
+def unpack_spans(data: bytes) -> np.ndarray:
+    wide = not any(data[:8])
+    return np.frombuffer(data, "<u8" if wide else "<u4", offset=8 * wide).reshape(-1, 2).astype(np.int64)
+
+
 def spans_batch(doc: np.ndarray, row: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
-    """One record for each document, its spans as pairs of 64-bit numbers."""
+    """One record for each document, its spans as packed pairs."""
     order = np.lexsort((low, row, doc))
     doc, row, pairs = doc[order], row[order], np.stack([low[order], high[order]], axis=1).astype("<i8")
     new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])]) if len(doc) else np.zeros(0, int)
     ends = np.r_[new[1:], len(doc)]
-    return pa.record_batch([pa.array(doc[new]), pa.array(row[new]), pa.array([pairs[a:b].tobytes() for a, b in zip(new, ends, strict=True)], pa.binary())], ["doc_id", "row", "spans"])
+    return pa.record_batch([pa.array(doc[new]), pa.array(row[new]), pa.array([pack_spans(pairs[a:b]) for a, b in zip(new, ends, strict=True)], pa.binary())], ["doc_id", "row", "spans"])
 
 
 def find_repeats(rows: DataFrame, shards: int) -> DataFrame:
@@ -373,7 +446,7 @@ def merged(spans: list[bytes] | None) -> list[tuple[int, int]]:
     """Maximal runs of the bytes that the spans cover."""
     if not spans:
         return []
-    pairs = np.frombuffer(b"".join(spans), "<i8").reshape(-1, 2)
+    pairs = np.concatenate([unpack_spans(s) for s in spans])
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
     high = np.maximum.accumulate(pairs[:, 1])
     new = np.flatnonzero(np.r_[True, pairs[1:, 0] > high[:-1]])
@@ -388,10 +461,16 @@ def remaining(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
+def _squeezed(texts: pa.Array) -> pa.Array:
+    """Texts as compressed bytes, for the way through a shuffle; null for null."""
+    squeeze = zstandard.ZstdCompressor(3).compress
+    return pa.array([None if t is None else squeeze(t.encode("utf-8", "surrogatepass")) for t in texts.to_pylist()], pa.binary())
+
+
 def _result(texts: pa.Array, spans: pa.Array) -> pa.Array:
     found = []
     for text, own in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-        data, ranges = (text or "").encode("utf-8", "surrogatepass"), merged(own)
+        data, ranges = zstandard.decompress(text) if text is not None else b"", merged(own)
         found.append({"n_bytes": len(data), "n_removed": sum(b - a for a, b in ranges), "n_spans": len(ranges), "kept_sha256": hashlib.sha256(remaining(data, ranges)).hexdigest(), "spans": [{"start": a, "end": b} for a, b in ranges]})
     return pa.array(found, _RESULT_ARROW)
 
@@ -408,5 +487,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     volume = usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     found = materialize(find_repeats(usable, max(1, -(-volume // SHARD_BYTES))), "spans")
     spans = found.groupBy("doc_id", "row").agg(F.collect_list("spans").alias("spans"))
-    joined = rows.join(spans, ["doc_id", "row"], "left").select("doc_id", F.arrow_udf(_result, RESULT)("text", "spans").alias("r"))
+    squeezed = rows.select("doc_id", "row", F.arrow_udf(_squeezed, "binary").asNondeterministic()(F.col("text")).alias("text"))
+    joined = squeezed.join(spans, ["doc_id", "row"], "left").select("doc_id", F.arrow_udf(_result, RESULT)("text", "spans").alias("r"))
     return joined.select("doc_id", "r.n_bytes", "r.n_removed", "r.n_spans", "r.kept_sha256", "r.spans")
