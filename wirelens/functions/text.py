@@ -138,7 +138,7 @@ def first_present(*texts: Column) -> Column:
 
 def stem(token: Column, suffixes: tuple[str, ...], roles: tuple[str, ...]) -> Column:
     """Folded token without its longest inflection suffix, then without a role suffix; at least four letters stay."""
-    bare = F.trim(F.lit("-"), F.replace(fold(token), F.lit("ё"), F.lit("е")))
+    bare = F.trim(F.replace(fold(token), F.lit("ё"), F.lit("е")), F.lit("-"))
 
     def cut(t: Column, options: tuple[str, ...]) -> Column:
         if not options:

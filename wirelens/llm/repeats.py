@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import materialize, runs
+from wirelens.llm.common import grouped_runs, materialize
 
 LENGTH, ANCHOR = 50, 12
 #: Bytes of text that are cut at once, that a shard has about, and that one index has about.
@@ -361,32 +361,19 @@ def shard_spans(s: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-SPANS = "doc_id bigint, row bigint, spans binary"
-
-
-def pack_spans(pairs: np.ndarray) -> bytes:
-    """Pairs of start and end: 32-bit numbers, or 64-bit ones after a zero pair where those don't do."""
-    if pairs.max() < 1 << 32:
-        return pairs.astype("<u4").tobytes()
-    return bytes(8) + pairs.astype("<u8").tobytes()
-
-
-def unpack_spans(data: bytes) -> np.ndarray:
-    wide = not any(data[:8])
-    return np.frombuffer(data, "<u8" if wide else "<u4", offset=8 * wide).reshape(-1, 2).astype(np.int64)
-
-
-def spans_batch(doc: np.ndarray, row: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
-    """One record for each document, its spans as packed pairs."""
-    order = np.lexsort((low, row, doc))
-    doc, row, pairs = doc[order], row[order], np.stack([low[order], high[order]], axis=1).astype("<i8")
-    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])]) if len(doc) else np.zeros(0, int)
-    ends = np.r_[new[1:], len(doc)]
-    return pa.record_batch([pa.array(doc[new]), pa.array(row[new]), pa.array([pack_spans(pairs[a:b]) for a, b in zip(new, ends, strict=True)], pa.binary())], ["doc_id", "row", "spans"])
+def spans_batch(doc: np.ndarray, row: np.ndarray, low: np.ndarray, high: np.ndarray, homes: int) -> pa.RecordBatch:
+    """(home, data): spans packed for each home, the bucket of documents that they go to."""
+    home = row % homes
+    order = np.lexsort((low, row, home))
+    home, packed = home[order], np.stack([doc[order], row[order], low[order], high[order]]).astype("<i8")
+    new = np.flatnonzero(np.r_[True, home[1:] != home[:-1]]) if len(home) else np.zeros(0, int)
+    squeeze = zstandard.ZstdCompressor(1).compress
+    data = [squeeze(packed[:, a:b].tobytes()) for a, b in zip(new, np.r_[new[1:], len(home)], strict=True)] if len(home) else []
+    return pa.record_batch([pa.array(home[new]), pa.array(data, pa.binary())], ["home", "data"])
 
 
 def find_repeats(rows: DataFrame, shards: int) -> DataFrame:
-    """SPANS of the repeats in rows of (doc_id, row, text): one or more records for a document that has any."""
+    """home and data (packed spans) of the repeats in rows of (doc_id, row, text)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, have = [], 0
@@ -400,19 +387,17 @@ def find_repeats(rows: DataFrame, shards: int) -> DataFrame:
             s = Segments.join(parts)
             order, _, repeat = split_repeats(s)
             done = order[repeat]  # a smaller document of this task has the whole segment: its place is all that is sent
-            covered = spans_batch(s.doc[done], s.row[done], s.start[done], s.start[done] + s.size[done])
+            covered = spans_batch(s.doc[done], s.row[done], s.start[done], s.start[done] + s.size[done], shards)
             kept = s.take(np.sort(order[~repeat]))
             shard = (kept.anchor % _U8(shards)).astype(np.int64)
             by = np.argsort(shard, kind="stable")
             cuts = np.flatnonzero(np.r_[True, shard[by][1:] != shard[by][:-1]])
-            none = pa.nulls(len(cuts))
             yield pa.record_batch(
-                [pa.array(shard[by[cuts]]), none.cast(pa.int64()), none.cast(pa.int64()), pa.array([kept.take(by[a:b]).pack() for a, b in zip(cuts, np.r_[cuts[1:], len(by)], strict=True)], pa.binary())],
-                ["shard", "doc_id", "row", "data"],
+                [pa.array(shard[by[cuts]]), pa.nulls(len(cuts)).cast(pa.int64()), pa.array([kept.take(by[a:b]).pack() for a, b in zip(cuts, np.r_[cuts[1:], len(by)], strict=True)], pa.binary())],
+                ["shard", "home", "data"],
             )
             if covered.num_rows:
-                at = pa.array((covered.column(1).to_numpy().view(_U8) % _U8(shards)).astype(np.int64))
-                yield pa.record_batch([at, *covered.columns], ["shard", "doc_id", "row", "data"])
+                yield pa.record_batch([covered.column(0), *covered.columns], ["shard", "home", "data"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -423,34 +408,30 @@ def find_repeats(rows: DataFrame, shards: int) -> DataFrame:
         if held:
             yield from send()
 
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, start, end in runs(batches, "shard"):
-            for a, b in zip(start, end, strict=True):
-                own = table.slice(a, b - a)
-                placed = pc.is_valid(own.column("row"))
-                covered = own.filter(placed).select(["doc_id", "row", "data"]).rename_columns(["doc_id", "row", "spans"])
-                yield from covered.to_batches()
-                blobs = own.filter(pc.invert(placed)).column("data").to_pylist()
-                if blobs:
-                    yield spans_batch(*shard_spans(Segments.unpack(blobs)))
+    def gathered(table: pa.Table, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a, b in zip(start, end, strict=True):
+            own = table.slice(a, b - a)
+            placed = pc.is_valid(own.column("home"))
+            yield from own.filter(placed).select(["home", "data"]).to_batches()
+            if blobs := own.filter(pc.invert(placed)).column("data").to_pylist():
+                yield spans_batch(*shard_spans(Segments.unpack(blobs)), shards)
 
-    dealt = rows.mapInArrow(deal, "shard bigint, doc_id bigint, row bigint, data binary")
-    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(gathered, SPANS)
+    dealt = rows.mapInArrow(deal, "shard bigint, home bigint, data binary")
+    return grouped_runs(dealt, "shard", [], gathered, "home bigint, data binary")
 
 
-RESULT = "struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept_sha256:string,spans:array<struct<start:bigint,end:bigint>>>"
-_RESULT_ARROW = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>"
+_RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
-def merged(spans: list[bytes] | None) -> list[tuple[int, int]]:
-    """Maximal runs of the bytes that the spans cover."""
-    if not spans:
+def merged(low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs of the bytes that spans cover."""
+    if not len(low):
         return []
-    pairs = np.concatenate([unpack_spans(s) for s in spans])
-    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-    high = np.maximum.accumulate(pairs[:, 1])
-    new = np.flatnonzero(np.r_[True, pairs[1:, 0] > high[:-1]])
-    return list(zip(pairs[new, 0].tolist(), high[np.r_[new[1:], len(pairs)] - 1].tolist(), strict=True))
+    order = np.argsort(low, kind="stable")
+    low, high = low[order], np.maximum.accumulate(high[order])
+    new = np.flatnonzero(np.r_[True, low[1:] > high[:-1]])
+    return list(zip(low[new].tolist(), high[np.r_[new[1:], len(low)] - 1].tolist(), strict=True))
 
 
 def remaining(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -467,12 +448,24 @@ def _squeezed(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else squeeze(t.encode("utf-8", "surrogatepass")) for t in texts.to_pylist()], pa.binary())
 
 
-def _result(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    found = []
-    for text, own in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-        data, ranges = zstandard.decompress(text) if text is not None else b"", merged(own)
-        found.append({"n_bytes": len(data), "n_removed": sum(b - a for a, b in ranges), "n_spans": len(ranges), "kept_sha256": hashlib.sha256(remaining(data, ranges)).hexdigest(), "spans": [{"start": a, "end": b} for a, b in ranges]})
-    return pa.array(found, _RESULT_ARROW)
+def _settle(table: pa.Table, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The results of each home's documents, from their spans."""
+    for s, e in zip(start, end, strict=True):
+        own = table.slice(s, e - s)
+        is_doc = pc.equal(own.column("kind"), 1)
+        parts = [np.frombuffer(zstandard.decompress(d), "<i8").reshape(4, -1) for d in own.filter(pc.invert(is_doc)).column("data").to_pylist()]
+        doc, row, low, high = np.concatenate(parts, axis=1) if parts else np.zeros((4, 0), np.int64)
+        order = np.argsort(row, kind="stable")
+        doc, row, low, high = doc[order], row[order], low[order], high[order]
+        docs, found = own.filter(is_doc), []
+        for doc_id, key, text in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "row", "data")), strict=True):
+            data = zstandard.decompress(text) if text is not None else b""
+            a, b = np.searchsorted(row, key, "left"), np.searchsorted(row, key, "right")
+            mine = np.arange(a, b)[doc[a:b] == doc_id] if doc_id is not None else np.arange(0)
+            ranges = merged(low[mine], high[mine])
+            found.append({"doc_id": doc_id, "n_bytes": len(data), "n_removed": sum(y - x for x, y in ranges), "n_spans": len(ranges), "kept_sha256": hashlib.sha256(remaining(data, ranges)).hexdigest(), "spans": [{"start": x, "end": y} for x, y in ranges]})
+        if found:
+            yield pa.RecordBatch.from_pylist(found, _RESULT_ARROW)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -482,11 +475,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     are empty. Rows of one doc_id are never smaller than each other and each keep what the others hold; a row with a
     null doc_id is left whole and takes nothing from others. Other columns are ignored.
     """
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
     usable = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     volume = usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found = materialize(find_repeats(usable, max(1, -(-volume // SHARD_BYTES))), "spans")
-    spans = found.groupBy("doc_id", "row").agg(F.collect_list("spans").alias("spans"))
-    squeezed = rows.select("doc_id", "row", F.arrow_udf(_squeezed, "binary").asNondeterministic()(F.col("text")).alias("text"))
-    joined = squeezed.join(spans, ["doc_id", "row"], "left").select("doc_id", F.arrow_udf(_result, RESULT)("text", "spans").alias("r"))
-    return joined.select("doc_id", "r.n_bytes", "r.n_removed", "r.n_spans", "r.kept_sha256", "r.spans")
+    shards = max(1, -(-volume // SHARD_BYTES))
+    spans = materialize(find_repeats(usable, shards), "spans").withColumn("kind", F.lit(0))
+    texts = rows.select(F.pmod("row", F.lit(shards)).alias("home"), "doc_id", "row", F.lit(1).alias("kind"), F.arrow_udf(_squeezed, "binary").asNondeterministic()(F.col("text")).alias("data"))
+    return grouped_runs(texts.unionByName(spans, allowMissingColumns=True), "home", ["kind"], _settle, RESULT)
