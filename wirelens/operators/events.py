@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wirelens.functions.storage import checkpointed
 from wirelens.functions.rulepacks import RulePack
 from wirelens.functions.text import extract_all, first_present, fold, normalize_title, sorted_set, stem
 from wirelens.operators.graph import components
@@ -204,10 +205,10 @@ def remove_duplicates(items: DataFrame, pack: RulePack) -> DataFrame:
     which compares each item with what remains so far and may put the better of two in the other's place, runs inside
     each connected component, and components run in parallel. Fingerprints of pairs are compared beforehand.
     """
-    items = items.checkpoint()  # read several times below; fingerprints are made once
+    items = items.transform(checkpointed)  # read several times below; fingerprints are made once
     slim = items.select("ordinal", "url", "score", "article_text", "image_url", normalize_title(F.col("title")).alias("norm"), locations(F.coalesce("title", F.lit("")), pack).alias("places"))
     first = lambda key: slim.groupBy(key).agg(F.min("ordinal").alias("a"), F.collect_list("ordinal").alias("all")).select("a", F.explode("all").alias("b"))
-    events = event_pairs(items, items, pack.lead_noise).where("l_id < r_id").select("l_id", "r_id").checkpoint()
+    events = event_pairs(items, items, pack.lead_noise).where("l_id < r_id").select("l_id", "r_id").transform(checkpointed)
     titles = slim.groupBy("norm").agg(F.min("ordinal").alias("id")).withColumnRenamed("norm", "title")
     similar = title_pairs(titles).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
     links = first("url").unionByName(first("norm")).unionByName(similar).unionByName(events.select(F.col("l_id").alias("a"), F.col("r_id").alias("b")))
@@ -227,7 +228,7 @@ def remove_duplicates(items: DataFrame, pack: RulePack) -> DataFrame:
 def unpublished(items: DataFrame, history: DataFrame, lead_noise: tuple[str, ...] = ()) -> DataFrame:
     """Items whose url is not in the history and whose event isn't either. history: url, published_at (text or
     timestamp), event_fingerprint (null for old rows, which only their url can match)."""
-    items, history = items.checkpoint(), history.checkpoint()
+    items, history = items.transform(checkpointed), history.transform(checkpointed)
     at = F.col("published_at") if dict(history.dtypes)["published_at"] == "timestamp" else F.col("published_at").try_cast("timestamp")
     old = history.where(F.col("event_fingerprint").isNotNull()).select(F.monotonically_increasing_id().alias("h"), at.alias("published_at"), "event_fingerprint")
     told = event_pairs(items, old, lead_noise, right_id="h").select(F.col("l_id").alias("ordinal")).distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wirelens.functions.storage import checkpointed
+
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """node and root (its component's least node) of links (a long, b long); nodes without links are left out.
@@ -13,20 +15,20 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     long chains shrink by a factor each round. Lineage is cut by reliable checkpoints.
     """
     spark = links.sparkSession
-    edges = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+    edges = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().transform(checkpointed)
     rounds_taken: list[DataFrame] = []
     while not edges.isEmpty():
         if len(rounds_taken) == rounds:
             raise RuntimeError("components do not settle")
         ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        groups = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("root")).checkpoint()
+        groups = ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("root")).transform(checkpointed)
         rounds_taken.append(groups)
         a, b = (groups.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b"))
-        edges = edges.join(a, "a").join(b, "b").where("a_root <> b_root").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct().checkpoint()
+        edges = edges.join(a, "a").join(b, "b").where("a_root <> b_root").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct().transform(checkpointed)
     if not rounds_taken:
         return spark.createDataFrame([], "node long, root long")
     found = rounds_taken.pop()
     while rounds_taken:
         later = found.select(F.col("node").alias("root"), F.col("root").alias("later"))
-        found = rounds_taken.pop().join(later, "root", "left").select("node", F.coalesce("later", "root").alias("root")).checkpoint()
+        found = rounds_taken.pop().join(later, "root", "left").select("node", F.coalesce("later", "root").alias("root")).transform(checkpointed)
     return found
