@@ -13,6 +13,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ END_ID = 0
 #: Rows of a task that share a block; ranks within a block are given where the rows are made.
 BLOCK_ROWS = 4096
 #: Distinct words whose ids a task remembers before it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 #: Texts of these characters only are cut into words here; all others, and those with _SPECIAL, go whole to the tokenizer.
 _KNOWN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ɏ¡¿«»‘’“”–—…€£§°]*")
@@ -63,6 +64,12 @@ class FastTokenizer:
             return b"".join([words[w] for w in found])
 
 
+@lru_cache(maxsize=1)
+def tokenizer_of(path: str) -> FastTokenizer:
+    """A worker's tokenizer, loaded once for all the tasks that it runs."""
+    return FastTokenizer(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32, block, rank (and ids).
 
@@ -75,7 +82,7 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, with_ids:
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, rows = FastTokenizer(tokenizer), 0
+        encode, rows = tokenizer_of(tokenizer), 0
         block, ranks = TaskContext.get().partitionId() << 32, Counter()
         for batch in batches:
             source, own, starts, lengths, crcs, blocks, places, ids = [], [], [], [], [], [], [], []
