@@ -434,3 +434,22 @@ def test_vectors_recall_and_edges(spark, monkeypatch):
         assert all(found[i].n_links == 0 and found[i].component_id == i and found[i].kept for i, _ in odd)
     assert vector_dedup.vector_near_duplicates(df.limit(0)).count() == 0
     assert vector_dedup.vector_near_duplicates(df.where("vec_id = 3")).first().kept
+
+
+@pytest.mark.parametrize("n", [600, 2400])
+def test_vectors_of_a_dense_group_lose_no_link(spark, monkeypatch, n):
+    rng = np.random.default_rng(n)
+    direction = lambda k: (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(rng.normal(size=(k, 64)))
+    # pairwise cosines of some 0.95 to 0.97 in the group; its last rows lie at and beyond the threshold to it
+    spread = np.r_[np.full(n // 3, 0.2), np.full(60, 0.3)][:, None]
+    x = np.r_[direction(1) + spread * direction(len(spread)), direction(n - len(spread))]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    x = x.astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = (x @ x.T >= 0.95).sum(axis=1) - 1
+    for block in (2048, 100):
+        monkeypatch.setattr(vector_dedup, "CORE_BLOCK", block)
+        monkeypatch.setattr(vector_dedup.blocks, "__defaults__", (block,))
+        found = by_id(vector_dedup.vector_near_duplicates(df), "vec_id")
+        assert [found[i].n_links for i in range(n)] == true.tolist()
+        assert {found[i].component_id for i in range(n // 3)} == {0}
