@@ -1,10 +1,12 @@
 """The pipeline on the smallest tables against plain Python."""
 
+import random
+
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from wirelens.llm import decontamination, packing, pseudonyms, toxicity
+from wirelens.llm import decontamination, packing, pseudonyms, simhash, toxicity
 from wirelens.llm.queries import PSEUDONYM_KEY, table
 
 SF = "/root/testdata/sf0.001"
@@ -82,3 +84,27 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
             now = stage(spark, now, str(tmp_path))
             assert now.columns == given.columns
         assert now.count() == kept
+
+
+@pytest.mark.parametrize("words", [105])
+def test_near_copies_are_exact_at_the_threshold(spark, words):
+    """Texts around a similarity of 0.8 that all have one long passage in common."""
+    rng = random.Random(2)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, rows = own(2 * words // 3), []
+    for i in range(150):
+        text = passage + own(words // 3)
+        rows.append((2 * i, " ".join(text)))
+        for at in rng.sample(range(words), max(1, (5 + i % 5) * words // 300)):
+            text[at] = f"x{rng.randrange(10**6)}"
+        rows.append((2 * i + 1, " ".join(text)))
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in group:
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    kept = {r.doc_id for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(rows) // 2 < len(set(group)) < len(rows)
+    assert kept == set(group)

@@ -161,12 +161,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
 
 #: Least shingle hashes of a text that its sketch holds, and those of them whose pairs are keys too.
 SKETCH, LEADERS = 128, 6
-#: Buckets up to this size are compared in full; in larger ones each text with its neighbours by fingerprint and the first.
+#: In the first pass, buckets up to this size are compared in full; in larger ones each text with its neighbours by
+#: fingerprint and the first. The second pass finds what that leaves out.
 FULL, NEIGHBOURS = 32, 4
 SIMILARITY = 0.8
+#: Texts that the shingles' frequencies are learnt from, and how many frequent ones are told apart. Only cost depends on it.
+LEARNT_TEXTS, FREQUENT = 5_000, 100_000
 
-TRAITS = "struct<fp:bigint,keys:array<bigint>,sketch:binary>"
-_TRAITS_ARROW = pa.struct([("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+TRAITS = "struct<node:bigint,fp:bigint,keys:array<bigint>,sketch:binary>"
+_TRAITS_ARROW = pa.struct([("node", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -180,6 +183,11 @@ def similarity(a: bytes, b: bytes) -> float:
     return float(np.isin(union, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean())
 
 
+def _node(whole: np.ndarray) -> int:
+    """The number of a set of shingle hashes."""
+    return signed(xxhash.xxh64_intdigest(whole.tobytes(), SEED))
+
+
 def _traits(n: int) -> Callable:
     def traits(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tables = [np.uint64(m) for m in masks()]
@@ -187,10 +195,11 @@ def _traits(n: int) -> Callable:
             found = []
             for text in batch.to_pylist():
                 hashes = shingle_hashes(text, n)
-                fp, least = fingerprint_of(hashes), np.unique(hashes)[:SKETCH]
+                whole = np.unique(hashes)
+                fp, least = fingerprint_of(hashes), whole[:SKETCH]
                 pairs = [int(least[i] * np.uint64(3) ^ least[j]) for i in range(min(LEADERS, len(least))) for j in range(i + (len(least) > 1), min(LEADERS, len(least)))]
                 keys = [signed(k) for k in pairs] + [signed((fp & int(m)) * 31 + k + 1 & (1 << 64) - 1) for k, m in enumerate(tables)]
-                found.append({"fp": fp, "keys": keys, "sketch": least.tobytes()})
+                found.append({"node": _node(whole), "fp": fp, "keys": keys, "sketch": least.tobytes()})
             yield pa.array(found, _TRAITS_ARROW)
 
     return F.arrow_udf(traits, TRAITS).asNondeterministic()
@@ -216,24 +225,127 @@ def _pairs(table: pa.Table, start: np.ndarray, end: np.ndarray) -> Iterator[pa.R
         yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
+def _alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Those of pairs (a, b) whose sketches are at least so similar; written."""
+
+    @F.arrow_udf("double")
+    def similar(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([similarity(a, b) for a, b in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.float64())
+
+    sketches = nodes.select("node", "sketch")
+    both = pairs.join(sketches.withColumnsRenamed({"node": "a", "sketch": "x"}), "a").join(sketches.withColumnsRenamed({"node": "b", "sketch": "y"}), "b")
+    return materialize(both.where(similar("x", "y") >= least).select("a", "b"), "alike")
+
+
+def _prefixes(n: int, least: float, shared, sample: int, texts: int) -> Callable:
+    """node, size and prefix of texts: the shingles, rarest first, of which any text that is alike shares one.
+
+    traits: place in that order * 4 + side. A shingle that many texts have is dealt out as pairs of blocks; side tells
+    the lower (1) from the upper (2) in a pair of two blocks.
+    """
+
+    def prefixes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known, count = shared.value
+        for batch in batches:
+            found = []
+            for text in batch.to_pylist():
+                whole = np.unique(shingle_hashes(text, n))
+                node, size = _node(whole), len(whole)
+                at = np.minimum(np.searchsorted(known, whole), max(len(known) - 1, 0))
+                often = np.where(known[at] == whole, count[at], 0) if len(known) else np.zeros(size, np.int64)
+                order = np.argsort(often, kind="stable")[: size - int(np.ceil(least * size - 1e-9)) + 1 if size else 0]
+                keys, traits = [], []
+                for place, (token, times) in enumerate(zip(whole[order].view(np.int64).tolist(), often[order].tolist(), strict=True)):
+                    parts = -(-times * texts // (sample * BLOCK)) if times else 1
+                    own = node % parts
+                    for other in range(parts) if parts > 1 else (own,):
+                        keys.append(token if parts == 1 else hash((token, min(own, other), max(own, other))))
+                        traits.append(place * 4 + (0 if own == other else 1 if own < other else 2))
+                found.append({"node": node, "size": size, "keys": keys, "traits": traits})
+            yield pa.array(found, pa.struct([("node", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64())), ("traits", pa.list_(pa.int64()))]))
+
+    return F.arrow_udf(prefixes, "struct<node:bigint,size:bigint,keys:array<bigint>,traits:array<bigint>>").asNondeterministic()
+
+
+def _possible(least: float) -> Callable:
+    """Pairs in a bucket that may be alike and are not known to be of one group."""
+
+    def pairs(table: pa.Table, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, root, size, traits = (table.column(c).to_numpy() for c in ("node", "root", "size", "trait"))
+        rest, side, left, right = size - traits // 4, traits % 4, [], []
+
+        def keep(a: np.ndarray, b: np.ndarray) -> None:
+            ok = (root[a] != root[b]) & ((side[a] != side[b]) | (side[a] == 0))
+            a, b = a[ok], b[ok]
+            # at the first shingle that two texts share, all that they share is still to come
+            ok = np.minimum(rest[a], rest[b]) * (1 + least) >= least * (size[a] + size[b]) - 1e-6
+            left.append(node[a[ok]]), right.append(node[b[ok]])
+
+        length = end - start
+        for step in range(1, FULL):
+            s, e = start[(length > step) & (length <= FULL)], end[(length > step) & (length <= FULL)]
+            if not len(s):
+                break
+            counts = e - s - step
+            a = np.repeat(s - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
+            keep(a, a + step)
+        for s, e in zip(start[length > FULL], end[length > FULL], strict=True):
+            if (root[s:e] == root[s]).all():
+                continue
+            for i in range(s, e, 256):
+                for j in range(i, e, 4096):
+                    x, y = np.arange(i, min(i + 256, e)), np.arange(j, min(j + 4096, e))
+                    a, b = np.nonzero((root[x][:, None] != root[y][None, :]) & (x[:, None] < y[None, :]))
+                    keep(x[a], y[b])
+        if left:
+            a, b = np.concatenate(left), np.concatenate(right)
+            found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.record_batch([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+
+    return pairs
+
+
+def _remaining(docs: DataFrame, nodes: DataFrame, joined: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Candidates (a, b) among nodes of different groups: every pair that is alike is one of them; written.
+
+    Two sets of which one has n hashes can only be alike if they share least * n, so they share one of the first
+    n - least * n + 1 in any fixed order. Shingles that are frequent in a sample come last, which keeps buckets short.
+    """
+    spark, n = docs.sparkSession, nodes.count()
+    every = max(1, n // LEARNT_TEXTS)
+    firsts = nodes.select(F.col("first").alias("doc_id")).distinct()
+    sample = docs.join(firsts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0), "doc_id", "left_semi")
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.record_batch([pa.array(np.unique(shingle_hashes(text, shingle)).view(np.int64))], ["token"])
+
+    counted = sample.select("text").mapInArrow(tokens, "token bigint").groupBy("token").agg(F.count(F.lit(1)).alias("times"))
+    often = counted.where("times > 2").orderBy(F.desc("times"), "token").limit(FREQUENT).toPandas()
+    known, times = often["token"].to_numpy(np.int64).view(np.uint64), often["times"].to_numpy(np.int64)
+    order = np.argsort(known)
+    shared = spark.sparkContext.broadcast((known[order], times[order]))
+    dealt = docs.join(firsts, "doc_id", "left_semi").select(_prefixes(shingle, least, shared, -(-n // every), n)(F.col("text")).alias("t")).select("t.*")
+    rooted = dealt.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", F.explode(F.arrays_zip("keys", "traits")).alias("k"))
+    rows = rooted.select(F.col("k.keys").alias("bucket"), "node", "root", "size", F.col("k.traits").alias("trait"))
+    return materialize(grouped_runs(rows, "bucket", ["size", "node"], _possible(least), "a bigint, b bigint").distinct(), "remaining")
+
+
 def representatives(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY) -> DataFrame:
     """doc_id of one document (the least id) of each group of texts that links of at least this similarity connect.
 
-    Candidates are texts that share a bucket of the covering family or two of their LEADERS least shingle hashes:
-    fingerprints alone differ in some ten bits at a similarity of 0.8, which no covering family of usable size reaches.
-    Every candidate is verified by its sketch. Texts without words are one group. Null ids are left out.
+    A first pass takes texts that share a bucket of the covering family or two of their LEADERS least shingle hashes,
+    which joins large groups without writing all their pairs. A second pass finds, by prefixes, every other pair that
+    may be alike and is not yet in one group. Links are verified by sketches. Texts without words are one group. Null ids are left out.
     """
-    found = materialize(docs.where(F.col("doc_id").isNotNull()).select("doc_id", _traits(shingle)(F.col("text")).alias("t")).select("doc_id", "t.*", F.xxhash64("t.fp", "t.sketch").alias("node")), "traits")
+    docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    found = materialize(docs.select("doc_id", _traits(shingle)(F.col("text")).alias("t")).select("doc_id", "t.*"), "traits")
     nodes = materialize(found.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")), "texts")
     dealt = nodes.select("node", "fp", F.explode("keys").alias("bucket"))
     pairs = materialize(grouped_runs(dealt, "bucket", ["fp", "node"], _pairs, "a bigint, b bigint").distinct(), "pairs")
-    sketches = nodes.select("node", "sketch")
-    both = pairs.join(sketches.withColumnsRenamed({"node": "a", "sketch": "x"}), "a").join(sketches.withColumnsRenamed({"node": "b", "sketch": "y"}), "b")
-
-    @F.arrow_udf("double")
-    def similar(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([similarity(a, b) for a, b in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.float64())
-
-    joined = components(both.where(similar("x", "y") >= least).select("a", "b"))
+    early = _alike(pairs, nodes, least)
+    late = _alike(_remaining(docs, nodes, components(early), shingle, least), nodes, least)
+    joined = components(early.unionByName(late))
     inside = nodes.select("node", "first").join(joined, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     return inside.groupBy("root").agg(F.min("first").alias("doc_id")).select("doc_id")
