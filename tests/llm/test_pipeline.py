@@ -86,9 +86,9 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
         assert now.count() == kept
 
 
-@pytest.mark.parametrize("words", [105])
+@pytest.mark.parametrize("words", [105, 300])
 def test_near_copies_are_exact_at_the_threshold(spark, words):
-    """Texts around a similarity of 0.8 that all have one long passage in common."""
+    """Texts around a similarity of 0.8 that all have one long passage in common; the longer ones are over the sketch."""
     rng = random.Random(2)
     own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
     passage, rows = own(2 * words // 3), []

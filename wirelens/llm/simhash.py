@@ -165,6 +165,8 @@ SKETCH, LEADERS = 128, 6
 #: fingerprint and the first. The second pass finds what that leaves out.
 FULL, NEIGHBOURS = 32, 4
 SIMILARITY = 0.8
+#: Pairs are compared by whole sets unless their sketches are this far under the similarity: seven standard errors.
+MARGIN = 0.25
 #: Texts that the shingles' frequencies are learnt from, and how many frequent ones are told apart. Only cost depends on it.
 LEARNT_TEXTS, FREQUENT = 5_000, 100_000
 
@@ -225,16 +227,45 @@ def _pairs(table: pa.Table, start: np.ndarray, end: np.ndarray) -> Iterator[pa.R
         yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
-def _alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Those of pairs (a, b) whose sketches are at least so similar; written."""
+def _sets(n: int) -> Callable:
+    """node and whole set of shingle hashes (as bytes) of texts."""
+
+    def sets(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            own = [np.unique(shingle_hashes(t, n)) for t in batch.to_pylist()]
+            yield pa.array([{"node": _node(w), "whole": w.tobytes()} for w in own], pa.struct([("node", pa.int64()), ("whole", pa.binary())]))
+
+    return F.arrow_udf(sets, "struct<node:bigint,whole:binary>").asNondeterministic()
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those of pairs (a, b) whose whole sets are at least so similar; written."""
 
     @F.arrow_udf("double")
-    def similar(x: pa.Array, y: pa.Array) -> pa.Array:
+    def estimate(x: pa.Array, y: pa.Array) -> pa.Array:
         return pa.array([similarity(a, b) for a, b in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.float64())
 
-    sketches = nodes.select("node", "sketch")
-    both = pairs.join(sketches.withColumnsRenamed({"node": "a", "sketch": "x"}), "a").join(sketches.withColumnsRenamed({"node": "b", "sketch": "y"}), "b")
-    return materialize(both.where(similar("x", "y") >= least).select("a", "b"), "alike")
+    @F.arrow_udf("boolean")
+    def alike(x: pa.Array, y: pa.Array) -> pa.Array:
+        told = []
+        for a, b in zip(x.to_pylist(), y.to_pylist(), strict=True):
+            common = len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
+            told.append(common / (len(a) // 8 + len(b) // 8 - common) >= least)
+        return pa.array(told, pa.bool_())
+
+    def both(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
+        x, y = (values.withColumnsRenamed({"node": c, name: v}) for c, v in (("a", "x"), ("b", "y")))
+        return pairs.join(x, "a").join(y, "b")
+
+    whole = (F.length("x") < 8 * SKETCH) & (F.length("y") < 8 * SKETCH)  # the sketches are the sets
+    sketched = both(pairs, nodes.select("node", "sketch"), "sketch").select("a", "b", estimate("x", "y").alias("near"), whole.alias("whole"))
+    near = materialize(sketched.where(F.col("near") >= F.when(F.col("whole"), least).otherwise(least - MARGIN)).select("a", "b", "whole"), "near")
+    open_ = near.where(~F.col("whole")).select("a", "b")
+    asked = open_.select(F.col("a").alias("node")).union(open_.select(F.col("b").alias("node"))).distinct()
+    rows = docs.join(nodes.join(asked, "node", "left_semi").select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = materialize(rows.select(_sets(shingle)(F.col("text")).alias("t")).select("t.*").dropDuplicates(["node"]), "sets")
+    verified = both(open_, sets, "whole").where(alike("x", "y")).select("a", "b")
+    return materialize(near.where("whole").select("a", "b").unionByName(verified), "alike")
 
 
 def _prefixes(n: int, least: float, shared, sample: int, texts: int) -> Callable:
@@ -337,15 +368,16 @@ def representatives(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY
 
     A first pass takes texts that share a bucket of the covering family or two of their LEADERS least shingle hashes,
     which joins large groups without writing all their pairs. A second pass finds, by prefixes, every other pair that
-    may be alike and is not yet in one group. Links are verified by sketches. Texts without words are one group. Null ids are left out.
+    may be alike and is not yet in one group. Links are verified on whole sets of shingle hashes. Texts without words
+    are one group. Null ids are left out.
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     found = materialize(docs.select("doc_id", _traits(shingle)(F.col("text")).alias("t")).select("doc_id", "t.*"), "traits")
     nodes = materialize(found.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")), "texts")
     dealt = nodes.select("node", "fp", F.explode("keys").alias("bucket"))
     pairs = materialize(grouped_runs(dealt, "bucket", ["fp", "node"], _pairs, "a bigint, b bigint").distinct(), "pairs")
-    early = _alike(pairs, nodes, least)
-    late = _alike(_remaining(docs, nodes, components(early), shingle, least), nodes, least)
+    early = _alike(pairs, nodes, docs, shingle, least)
+    late = _alike(_remaining(docs, nodes, components(early), shingle, least), nodes, docs, shingle, least)
     joined = components(early.unionByName(late))
     inside = nodes.select("node", "first").join(joined, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     return inside.groupBy("root").agg(F.min("first").alias("doc_id")).select("doc_id")
