@@ -6,6 +6,7 @@ import oracle
 import pytest
 
 import __spark_entry__
+from wirelens.operators import events
 from wirelens.plans import catalogue
 
 SF = os.environ.get("CATALOGUE_SF_DIR", "/root/testdata/sf0.001")
@@ -24,3 +25,12 @@ def test_query_without_sql_runs(spark, name):
 def test_entry_point(spark):
     assert __spark_entry__.entry(spark).columns == ["ordinal", "score", "topics"]
     assert __spark_entry__.oracle_sql().keys() <= __spark_entry__.queries().keys()
+
+
+def test_duplicates_are_found_by_whole_titles(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(events, "remove_duplicates", lambda items, pack: given.append(items) or items.withColumn("slot_ordinal", items.ordinal))
+    catalogue.QUERIES["greedy_dedup"](spark, SF)
+    whole = catalogue.printed(spark, SF).where("admitted").select("ordinal", "title")
+    assert sorted(given[0].select("ordinal", "title").collect()) == sorted(whole.collect())
+    assert whole.where("length(title) > 120").count()

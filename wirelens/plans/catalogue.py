@@ -302,8 +302,7 @@ def interval_pairs_36h(spark, sf_dir):
 @query()
 def greedy_dedup(spark, sf_dir):
     """What remains of admitted items after url, title and event duplicates (2.10)."""
-    items = printed(spark, sf_dir).where("admitted").withColumn("title", F.substring("title", 1, 120))  # a headline's length
-    kept = ev.remove_duplicates(items, PACK)
+    kept = ev.remove_duplicates(printed(spark, sf_dir).where("admitted"), PACK)
     return kept.select("ordinal", "slot_ordinal", "score")
 
 
