@@ -481,6 +481,6 @@ def article_paragraphs(spark, sf_dir):
 
 @query()
 def title_similarity_pairs(spark, sf_dir):
-    """Pairs of benchmark openings that are alike."""
-    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), tx.normalize_title(F.substring("text", 1, 40)).alias("title"))
-    return ev.title_pairs(rows)
+    """Pairs of documents' titles that are alike (A7); a title that several have stands for the least of them."""
+    rows = news(spark, sf_dir).select("ordinal", tx.normalize_title(F.col("title")).alias("title"))
+    return ev.title_pairs(rows.groupBy("title").agg(F.min("ordinal").alias("id")))
