@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +29,7 @@ SEQUENCE = 2048
 END_ID = 0
 #: Rows of a task that share a block; ranks within a block are given where the rows are made.
 BLOCK_ROWS = 4096
-#: Distinct words whose ids a task remembers before it starts anew.
+#: Words whose ids a worker remembers: as many new ones, and as many from before that.
 CACHE_WORDS = 200_000
 
 #: Texts of these characters only are cut into words here; all others, and those with _SPECIAL, go whole to the tokenizer.
@@ -37,31 +38,48 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: The byte-level vocabulary's word pattern, for those characters.
 _WORD = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\t\n\r {_LETTERS}0-9]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
 _SPECIAL = "<|"
+#: The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the rest from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+class _Words(dict):
+    """ids of words by word, made when asked for; of more than CACHE_WORDS those used since then stay."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+        ids = self[word] = self.older.get(word) or self.make(word)
+        return ids
 
 
 class FastTokenizer:
-    """ids of a text as little-endian 32-bit integers, equal to the tokenizer's own; ids of words are remembered."""
+    """ids of a text as little-endian 32-bit integers, equal to the tokenizer's own.
+
+    Common texts are cut into words here; the tokenizer's model makes each word's ids once.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.words = self.tokenizer.model, _Words(self.word)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+
     def __call__(self, text: str) -> bytes:
         if _SPECIAL in text or not _KNOWN.fullmatch(text):
             return self.whole(text)
-        words, found = self.words, _WORD.findall(text)
-        try:
-            return b"".join([words[w] for w in found])
-        except KeyError:
-            if len(words) > CACHE_WORDS:
-                words.clear()
-            for w in set(found).difference(words):
-                words[w] = self.whole(w)
-            return b"".join([words[w] for w in found])
+        return b"".join(map(self.words.__getitem__, _WORD.findall(text)))
 
 
 @lru_cache(maxsize=1)
