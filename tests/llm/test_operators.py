@@ -6,8 +6,10 @@ import zlib
 
 import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from wirelens.llm import chat, common, decontamination, packing, pseudonyms, queries, repeats, simhash, toxicity, url_filter, vector_dedup, warc
@@ -350,14 +352,79 @@ def test_repeats_equal_brute_force(spark):
     assert found == plain_repeats(rows)
 
 
-def test_repeats_over_chunks_and_edges(spark, monkeypatch):
-    long = " ".join(texts(400, 7, 50))
-    rows = [(1, long[:20000]), (2, long[10000:30000]), (3, long[15000:15200])]
-    found = {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in by_id(repeats.remove_repeats(spark.createDataFrame(rows, DOCS))).items()}
-    assert found == plain_repeats(rows)
+def found_repeats(df):
+    return {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in by_id(repeats.remove_repeats(df)).items()}
+
+
+def test_repeats_of_long_texts_over_chunks_indexes_and_shards(spark):
+    """A text over a chunk's bytes, variants over an index's, text over a shard's; the last rows differ in single bytes."""
+    rng = random.Random(11)
+    long = "".join(rng.choice("abcdefghij ") for _ in range(900_000))
+    rows = [(9, long), (3, long[500_000:810_000]), (1, long[100:400] + "|" + long[600_000:600_049]), (12, long[:300_000] + "ä" + long[300_000:])]
+    base = "".join(rng.choice("klmnopqrst") for _ in range(60_000))
+    for i in range(50):
+        at = sorted(rng.sample(range(60_000), 900))
+        rows.append((100 + i, "".join(base[a:b] + rng.choice("XYZ") for a, b in zip([0, *at], [*at, 60_000], strict=True))))
+    assert sum(len(t) for _, t in rows) > repeats.SHARD_BYTES / 2 and len(long) > repeats.CHUNK_BYTES
+    assert found_repeats(spark.createDataFrame(rows, DOCS).repartition(3)) == plain_repeats(rows)
+
+
+def test_repeats_with_small_blocks_shards_and_hot_anchors(spark, monkeypatch):
+    """One line that all documents have within other text, so that its anchors are hot; all bounds are small."""
+    rng = random.Random(12)
+    line = "the line that is in every document of this corpus, word by word"
+    own = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    rows = [(i * 7 % 101, own(rng.randrange(90)) + line[: rng.randrange(30, 64)] + own(rng.randrange(90)) + line) for i in range(100)]
+    whole = cut_whole(rows)
+    for name, value in (("CHUNK_BYTES", 700), ("INDEX_BYTES", 500), ("SHARD_BYTES", 2000), ("COMBINE_BYTES", 3000), ("HOME_BYTES", 2000)):
+        monkeypatch.setattr(repeats, name, value)
+    monkeypatch.setattr(repeats, "hot_anchors", lambda rows: whole[:40])
+    assert find_small(rows) == {(d, a, b) for d, t in rows for a, b in plain_spans(rows, d, t)}
+    assert len(whole) > 40
+
+
+def cut_whole(rows):
+    """Anchors, the most frequent first."""
+    data = [t.encode() for _, t in rows]
+    sizes = np.array([len(t) for t in data])
+    s = repeats.cut(np.frombuffer(b"".join(data), np.uint8), np.cumsum(sizes), np.array([d for d, _ in rows]), np.arange(len(rows)))
+    anchor, n = np.unique(s.anchor(), return_counts=True)
+    return np.sort(anchor[np.argsort(-n)])
+
+
+def plain_spans(rows, doc, text):
+    first = {}
+    for i, t in sorted(rows):
+        for p in range(len(t) - 49):
+            first.setdefault(t[p : p + 50], i)
+    hit = [p for p in range(len(text) - 49) if first[text[p : p + 50]] < doc]
+    return repeats.merged(np.array(hit, int), np.array(hit, int) + 50)
+
+
+def find_small(rows):
+    """Spans by the operator's parts, without Spark: dealt in batches, hot anchors by their sides, and gathered by shard."""
+    hot, shards, spans = repeats.hot_anchors(None), 7, []
+    table = pa.record_batch([pa.array([d for d, _ in rows]), pa.array([t for _, t in rows]), pa.array(range(len(rows)), pa.int64())], ["doc_id", "text", "row"])
+    dealt = {}
+    for shard, home, data in (x for b in repeats.dealer(hot, shards, 3)(iter([table.slice(i, 9) for i in range(0, len(rows), 9)])) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+        (spans if home is not None else dealt.setdefault(shard, [])).append(data)
+    parts = [np.frombuffer(zstandard.decompress(d), "<i8").reshape(4, -1) for d in spans]
+    parts += [np.stack(repeats.shard_spans(repeats.Segments.unpack(blobs))) for blobs in dealt.values()]
+    doc, _, low, high = np.concatenate(parts, axis=1)
+    return {(d, a, b) for d in set(doc.tolist()) for a, b in repeats.merged(low[doc == d], high[doc == d])}
+
+
+def test_equal_names_of_unequal_segments_are_told_apart():
+    data = np.frombuffer(b"x" * 50 + b"y" * 50 + b"x" * 50, np.uint8)
+    s = repeats.Segments(*(np.array(x) for x in ([1, 2, 3], [0, 1, 2], [0, 0, 0], [50, 50, 50], [0, 0, 0])), np.zeros(3, np.uint64), np.array([0, 50, 100]), data)
+    order, start, _, repeat = repeats.split_repeats(s)
+    assert len(start) == 2 and s.doc[order[repeat]].tolist() == [3]
+
+
+def test_repeats_edges(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
     same = repeats.remove_repeats(spark.createDataFrame([(None, "y" * 80), (1, "y" * 80), (1, "y" * 80)], DOCS)).collect()
-    assert [r.n_removed for r in same] == [0, 0, 0]
+    assert [r.n_removed for r in same] == [0, 0, 0] and {r.doc_id for r in same} == {None, 1}
 
 
 def test_run_length_index_statistics():

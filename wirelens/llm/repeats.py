@@ -2,14 +2,17 @@
 
 Every window of LENGTH bytes has an anchor: its least-hashed run of ANCHOR bytes. Equal windows have equal anchors, so
 consecutive windows with one anchor are kept together as a segment (their common text) and dealt out by the anchor's
-hash: windows that can be equal meet in one shard, and no shard needs more than its part of the text.
-
-Equal segments are one variant from the start, already in the task that cuts the texts: all but those of the least
-document are repeats as a whole. Anchors with several variants go into the shard's index: the Burrows-Wheeler transform
-of the variants' text, run-length compressed, with the text positions at run starts and the run ends before them as
-samples. Between samples, in text order, the preceding suffix moves along with the position and the length of its match
-shrinks by one; so matching statistics stream through the text from the samples alone. Chains of matches of at least
-LENGTH bytes are classes of equal windows, and a window is a repeat if its class has a smaller document.
+hash: windows that can be equal meet in one shard, and no shard needs more than its part of the text. Anchors that a
+sample shows to be hot are dealt out further: equal windows agree on their anchor and, to its right or to its left, on
+half of their other bytes, so a hot anchor's segments go by the hash of either side.
+
+Equal segments (by 64-bit names, then byte by byte) are one variant from the start, already in the task that cuts the
+texts: all but those of the least document are repeats as a whole. Anchors with several variants go into the shard's
+index: the Burrows-Wheeler transform of the variants' text, run-length compressed, with the text positions at run starts
+and the run ends before them as samples. Between samples, in text order, the preceding suffix moves along with the
+position and the length of its match shrinks by one; so matching statistics stream through the text from the samples
+alone. Chains of matches of at least LENGTH bytes are classes of equal windows, and a window is a repeat if its class has
+a smaller document.
 """
 
 from __future__ import annotations
@@ -27,119 +30,167 @@ from pyspark.sql import functions as F
 from wirelens.llm.common import grouped_runs, materialize
 
 LENGTH, ANCHOR = 50, 12
-#: Bytes of text that are cut at once, that a shard has about, and that one index has about.
+#: Bytes of text that are hashed at once, that a shard has about, and that one index has about.
 CHUNK_BYTES, SHARD_BYTES, INDEX_BYTES = 256 << 10, 6 << 20, 1 << 20
-#: Bytes of text whose segments are combined before they are sent, and bytes of segments that are put together at once.
-COMBINE_BYTES, GATHER_BYTES = 6 << 20, 512 << 10
+#: Bytes of text whose segments are combined before they are sent, and bytes of documents that are settled together.
+COMBINE_BYTES, HOME_BYTES = 10 << 20, 16 << 20
+#: Effort of the compression of segments.
+LEVEL = 5
+#: An anchor is hot if its variants have more than a shard's bytes, by the rows of which the hash is 0 modulo SAMPLE.
+SAMPLE = 32
 
 #: Equal windows agree on their anchor and, on one side of it at least, on half of the window's other bytes.
 SIDE = ANCHOR + (LENGTH - ANCHOR) // 2
+#: Windows with one anchor cover at most so many bytes.
+MOST = 2 * LENGTH - ANCHOR
 
 _U8 = np.uint64
-#: Odd multipliers for the hashes of 2, 4, 8, ... bytes.
+#: Odd multipliers of the hashes.
 _MIX = [_U8(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _PLACE_BITS = 24  # places within a chunk
+_HALF = _U8(32)
 
 
 def _mixed(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
-    x = a * _MIX[k] + b
+    x = a * _MIX[k]
+    x += b
     x ^= x >> _U8(31)
     x *= _MIX[(k + 1) % len(_MIX)]
     return x
 
 
+def eights(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as numbers, without a copy."""
+    return np.ndarray((max(0, len(text) - 7),), "<u8", text, strides=(1,))
+
+
+def anchors_at(words: np.ndarray, at: np.ndarray | slice, further: np.ndarray | slice) -> np.ndarray:
+    """Hashes of the runs of ANCHOR bytes whose first and last eight bytes are words at these places."""
+    return _mixed(words[at], words[further], 0)
+
+
+def names_of(words: np.ndarray, at: np.ndarray, size: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Names of segments: half of their anchor's hash, then half of that of all their bytes."""
+    found = size.astype(_U8)
+    for k in range(0, MOST, 8):
+        found = _mixed(found, words[at + np.minimum(k, size - 8)], 1 + k // 8 % 4)
+    return anchor >> _HALF << _HALF | found >> _HALF
+
+
+def sides_of(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes (odd) of the SIDE bytes from places on."""
+    found = _mixed(words[at], words[at + 8], 2)
+    return _mixed(_mixed(found, words[at + 16], 3), words[at + SIDE - 8], 4) | _U8(1)
+
+
 class Segments:
-    """Columns of segments: doc and row (of the document), start, size, anchor, id (of the whole segment), and their text."""
+    """Columns of segments: doc and row (of the document), start, size, place (of the anchor in it), name, and where each
+    is in text."""
+
+    NAMES = ("doc", "row", "start", "size", "place", "name", "at")
 
-    NAMES = ("doc", "row", "start", "size", "anchor", "id")
+    def __init__(self, doc, row, start, size, place, name, at, text: np.ndarray):
+        self.doc, self.row, self.start, self.size, self.place, self.name, self.at, self.text = doc, row, start, size, place, name, at, text
 
-    def __init__(self, doc, row, start, size, anchor, id, text: np.ndarray, right=None, left=None):
-        self.doc, self.row, self.start, self.size, self.anchor, self.id, self.text = doc, row, start, size, anchor, id, text
-        self.right, self.left = right, left
-        self.at = np.r_[0, np.cumsum(size)[:-1]].astype(np.int64) if len(size) else np.zeros(0, np.int64)
+    def anchor(self) -> np.ndarray:
+        return self.name >> _HALF
 
     def take(self, which: np.ndarray) -> Segments:
-        return Segments(*(getattr(self, n)[which] for n in self.NAMES), gather(self.text, self.at[which], self.size[which]))
+        return Segments(*(getattr(self, n)[which] for n in self.NAMES), self.text)
+
+    def sides(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the anchor with its right and with its left side; 0 where the segment is too short for it."""
+        words, first = eights(self.text), self.at + self.place
+        right, left = self.place + SIDE <= self.size, self.place + ANCHOR >= SIDE
+        out = np.zeros(len(first), _U8), np.zeros(len(first), _U8)
+        out[0][right], out[1][left] = sides_of(words, first[right]), sides_of(words, first[left] + ANCHOR - SIDE)
+        return out
 
     def pack(self) -> bytes:
-        """Compressed; a document's numbers are there once, and what identify() finds again is left out."""
+        """Compressed; a document's numbers are there once, and hashes are left out."""
         new = np.flatnonzero(np.r_[True, (self.row[1:] != self.row[:-1]) | (self.doc[1:] != self.doc[:-1])])
         counts = np.diff(np.r_[new, len(self.row)])
-        parts = [np.array([len(new), len(self.row)], "<i8"), self.doc[new].astype("<i8"), self.row[new].astype("<i8"), counts.astype("<i4"), np.diff(self.start, prepend=0).astype("<i8"), self.size.astype("u1"), self.text]
-        return zstandard.compress(b"".join(x.tobytes() for x in parts), 6)
+        parts = [np.array([len(new), len(self.row)], "<i8"), self.doc[new].astype("<i8"), self.row[new].astype("<i8"), counts.astype("<i4"), np.diff(self.start, prepend=0).astype("<i8"), self.size.astype("u1"), self.place.astype("u1"), gather(self.text, self.at, self.size)]
+        return zstandard.compress(b"".join(x.tobytes() for x in parts), LEVEL)
 
     @classmethod
     def unpack(cls, blobs: list[bytes]) -> Segments:
-        parts: list[list[np.ndarray]] = [[] for _ in range(5)]
+        parts: list[list[np.ndarray]] = [[] for _ in range(6)]
         for blob in blobs:
             raw, at = zstandard.decompress(blob), 16
             docs, n = np.frombuffer(raw, "<i8", 2).tolist()
             found = []
-            for kind, count in (("<i8", docs), ("<i8", docs), ("<i4", docs), ("<i8", n), ("u1", n)):
+            for kind, count in (("<i8", docs), ("<i8", docs), ("<i4", docs), ("<i8", n), ("u1", n), ("u1", n)):
                 found.append(np.frombuffer(raw, kind, count, at))
                 at += found[-1].nbytes
-            doc, row, counts, steps, size = found
-            for x, y in zip(parts, (np.repeat(doc, counts), np.repeat(row, counts), np.cumsum(steps), size.astype(np.int32), np.frombuffer(raw, np.uint8, -1, at)), strict=True):
+            doc, row, counts, steps, size, place = found
+            for x, y in zip(parts, (np.repeat(doc, counts), np.repeat(row, counts), np.cumsum(steps), size.astype(np.int64), place.astype(np.int64), np.frombuffer(raw, np.uint8, -1, at)), strict=True):
                 x.append(y)
-        doc, row, start, size, text = (np.concatenate(x) for x in parts)
-        anchor, name, right, left = identify(text, size)
-        return cls(doc, row, start, size, anchor, name, text, right, left)
-
-    @classmethod
-    def join(cls, parts: list[Segments]) -> Segments:
-        return cls(*(np.concatenate([getattr(p, n) for p in parts]) for n in (*cls.NAMES, "text")))
+        doc, row, start, size, place, text = (np.concatenate(x) for x in parts)
+        at, words = np.cumsum(size) - size, eights(text)
+        return cls(doc, row, start, size, place, names_of(words, at, size, anchors_at(words, at + place, at + place + ANCHOR - 8)), at, text)
 
 
 def gather(text: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The parts of text of these places and sizes, one after another; made in pieces, so that little else is held."""
-    ends = np.cumsum(size, dtype=np.int64)
-    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
-    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(GATHER_BYTES, len(out), GATHER_BYTES)), len(at)])
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        low = int(ends[a - 1]) if a else 0
-        step = np.ones(int(ends[b - 1]) - low, np.int64)
-        step[np.r_[0, ends[a : b - 1] - low]] = np.r_[at[a], at[a + 1 : b] - at[a : b - 1] - size[a : b - 1] + 1]
-        out[low : ends[b - 1]] = text[np.cumsum(step, out=step)]
-    return out
-
-
-def hashes_of(text: np.ndarray) -> dict[int, np.ndarray]:
-    """Hashes of all runs of ANCHOR, of SIDE and of 32 bytes."""
-    found, n = {1: text.astype(_U8) + _U8(1)}, len(text)
-    for k, m in enumerate((1, 2, 4, 8, 16)):
-        found[2 * m] = _mixed(found[m][: n - 2 * m + 1], found[m][m : n - m + 1], k)
-        if m == 8:
-            found[ANCHOR] = _mixed(found[8][: n - ANCHOR + 1], found[4][8 : n - ANCHOR + 9], 4)
-    found[SIDE] = _mixed(found[16][: n - SIDE + 1], found[16][SIDE - 16 : n - 15], 3)
-    return {m: found[m] for m in (ANCHOR, SIDE, 32)}
-
-
-def names_of(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Ids of segments at places first: hashes of their first and last windows, which cover them, and of their size."""
-    window = lambda s: _mixed(hashes[s], hashes[s + LENGTH - 32], 5)
-    return _mixed(window(first), window(first + size - LENGTH) + size.astype(_U8), 2)
-
-
-def identify(text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of segments that lie one after another in text: anchor (the least hash), id, and hashes of the anchor with its
-    right and with its left side (0 where the segment is too short for it)."""
-    ends = np.cumsum(size, dtype=np.int64)
-    out = [np.zeros(len(size), _U8) for _ in range(4)]
-    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(GATHER_BYTES, len(text), GATHER_BYTES)), len(size)])
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        low = int(ends[a - 1]) if a else 0
-        hashes, end = hashes_of(text[low : ends[b - 1]]), ends[a:b] - low
-        first, own = end - size[a:b], hashes[ANCHOR]
-        for j in range(1, ANCHOR):  # runs over a segment's end don't count
-            own[(end - j)[end - j < len(own)]] = _U8(2**64 - 1)
-        anchor = np.minimum.reduceat(own, first)
-        at = np.flatnonzero(own == np.repeat(anchor, size[a:b])[: len(own)])
-        at = at[np.searchsorted(at, first)]  # the first place of each segment's anchor
-        right, left = at + SIDE <= end, at + ANCHOR - SIDE >= first
-        out[0][a:b], out[1][a:b] = anchor, names_of(hashes[32], first, size[a:b])
-        out[2][a:b][right] = hashes[SIDE][at[right]] | _U8(1)
-        out[3][a:b][left] = hashes[SIDE][at[left] + ANCHOR - SIDE] | _U8(1)
-    return tuple(out)
+    """The parts of text of these places and sizes, one after another."""
+    ends = np.cumsum(size)
+    step = np.ones(int(ends[-1]) if len(ends) else 0, np.int32)
+    step[np.r_[0, ends[:-1]][: len(ends)]] = np.r_[at[:1], at[1:] - at[:-1] - size[:-1] + 1]
+    return text[np.cumsum(step, out=step)]
+
+
+def cut(text: np.ndarray, ends: np.ndarray, docs: np.ndarray, rows: np.ndarray) -> Segments:
+    """Segments of documents that lie one after another in text, each up to its end."""
+    n, width, words = len(text), LENGTH - ANCHOR + 1, eights(text)
+    parts: list[list[np.ndarray]] = [[] for _ in range(4)]
+    for low in range(0, n - LENGTH + 1, CHUNK_BYTES):
+        m = min(CHUNK_BYTES + LENGTH - 1, n - low)
+        own = anchors_at(words, slice(low, low + m - ANCHOR + 1), slice(low + ANCHOR - 8, low + m - 7))
+        key = own >> _U8(_PLACE_BITS) << _U8(_PLACE_BITS) | np.arange(len(own), dtype=_U8)
+        reach = 1
+        while 2 * reach <= width:
+            key = np.minimum(key[:-reach], key[reach:])
+            reach *= 2
+        key = np.minimum(key[: len(key) - (width - reach)], key[width - reach :])
+        place = (key & _U8((1 << _PLACE_BITS) - 1)).astype(np.int64)
+        good = np.ones(len(place) + 2, bool)  # windows within one document; a place more on either side
+        good[[0, -1]] = False
+        for e in ends[np.searchsorted(ends, low, "right") : np.searchsorted(ends, low + m, "left")].tolist():
+            good[max(1, e - low - LENGTH + 2) : e - low + 1] = False
+        turn = np.r_[True, place[1:] != place[:-1], True]
+        first, last = (np.flatnonzero(good[1:-1] & (x | ~y)) for x, y in ((turn[:-1], good[:-2]), (turn[1:], good[2:])))
+        for x, y in zip(parts, (first + low, last - first + LENGTH, place[first] - first, own[place[first]]), strict=True):
+            x.append(y)
+    at, size, place, anchor = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in parts)
+    which = np.searchsorted(ends, at, "right")
+    return Segments(docs[which], rows[which], at - np.r_[0, ends[:-1]][which], size, place, names_of(words, at, size, anchor.astype(_U8)), at, text)
+
+
+def split_repeats(s: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the segments by name; where each variant starts in it, and its least document; and, of all in that order,
+    whether a smaller document has the same segment."""
+    order = np.argsort(s.name)
+    name, doc = s.name[order], s.doc[order]
+    new = np.r_[True, name[1:] != name[:-1]][: len(name)]
+    if len(odd := unequal(s, order, np.flatnonzero(~new))):
+        exact: dict[bytes, int] = {}
+        for k in np.flatnonzero(np.isin(s.name, name[odd])):
+            own = exact.setdefault(s.text[s.at[k] : s.at[k] + s.size[k]].tobytes(), len(exact))
+            s.name[k] = s.name[k] >> _HALF << _HALF | _U8(own)
+        return split_repeats(s)
+    start = np.flatnonzero(new)
+    least = np.minimum.reduceat(doc, start) if len(start) else start
+    return order, start, least, doc > np.repeat(least, np.diff(np.r_[start, len(order)]))
+
+
+def unequal(s: Segments, order: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Of these numbers in order those whose segments' bytes differ from those before them, although names are equal."""
+    words, x, y = eights(s.text), order[which], order[which - 1]
+    differ = s.size[x] != s.size[y]
+    for k in range(0, MOST, 8):
+        step = np.minimum(k, np.minimum(s.size[x], s.size[y]) - 8)
+        differ |= words[s.at[x] + step] != words[s.at[y] + step]
+    return which[differ]
 
 
 def may_share(anchor: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -152,79 +203,6 @@ def may_share(anchor: np.ndarray, right: np.ndarray, left: np.ndarray) -> np.nda
     return found
 
 
-def cut_chunk(texts: list[bytes], docs: np.ndarray, rows: np.ndarray, bases: np.ndarray) -> Segments | None:
-    """Segments of some texts (parts of documents that start at bases), which together have fewer than 2**24 bytes."""
-    text = np.frombuffer(b"".join(texts), np.uint8)
-    n, length = len(text), LENGTH
-    width = length - ANCHOR + 1
-    if n < length:
-        return None
-    hashes = hashes_of(text)
-    own = hashes[ANCHOR]
-    key = own >> _U8(_PLACE_BITS) << _U8(_PLACE_BITS) | np.arange(len(own), dtype=_U8)
-    reach = 1
-    while 2 * reach <= width:
-        key = np.minimum(key[:-reach], key[reach:])
-        reach *= 2
-    if width > reach:
-        key = np.minimum(key[: len(key) - (width - reach)], key[width - reach :])
-    place = (key & _U8((1 << _PLACE_BITS) - 1)).astype(np.int64)
-    # windows within one text: all starts but the last length - 1 of each
-    sizes = np.array([len(t) for t in texts])
-    ends = np.cumsum(sizes)
-    good = np.ones(len(place), bool)
-    for e in ends[:-1]:
-        good[max(0, e - length + 1) : e] = False
-    starts = np.flatnonzero(good)
-    if not len(starts):
-        return None
-    which = np.searchsorted(ends, starts, side="right")
-    inside = starts + length <= ends[which]
-    starts, which = starts[inside], which[inside]
-    if not len(starts):
-        return None
-    anchor = place[starts]
-    new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1) | (which[1:] != which[:-1])])
-    first, last = starts[new], starts[np.r_[new[1:], len(starts)] - 1]
-    size = (last - first + length).astype(np.int32)
-    t = which[new]
-    return Segments(docs[t], rows[t], first - np.r_[0, ends[:-1]][t] + bases[t], size, own[anchor[new]], names_of(hashes[32], first, size), gather(text, first, size))
-
-
-def cut(batch: pa.RecordBatch) -> Segments | None:
-    """Segments of a batch of (doc, row, text), cut in chunks; long texts in parts that overlap by a window less a byte."""
-    found, texts, meta, have = [], [], [], 0
-
-    def flush() -> None:
-        nonlocal texts, meta, have
-        if texts and (s := cut_chunk(texts, *(np.array(x, np.int64) for x in zip(*meta, strict=True)))):
-            found.append(s)
-        texts, meta, have = [], [], 0
-
-    for doc, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
-        data = (text or "").encode("utf-8", "surrogatepass")
-        for base in range(0, max(1, len(data) - LENGTH + 1), CHUNK_BYTES):
-            part = data[base : base + CHUNK_BYTES + LENGTH - 1]
-            if len(part) < LENGTH:
-                continue
-            if have + len(part) > 2 * CHUNK_BYTES:
-                flush()
-            texts.append(part), meta.append((doc, row, base))
-            have += len(part)
-    flush()
-    return Segments.join(found) if found else None
-
-
-def split_repeats(s: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the segments by anchor, id and document; where each variant starts in it; and, of all in that order,
-    whether a smaller document has the same segment."""
-    order = np.lexsort((s.doc, s.id, s.anchor))
-    a, i, d = s.anchor[order], s.id[order], s.doc[order]
-    start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (i[1:] != i[:-1])])
-    least = np.repeat(d[start], np.diff(np.r_[start, len(order)]))
-    return order, start, d > least
-
-
 class RunLengthIndex:
     """The run-length compressed Burrows-Wheeler transform of some texts, sampled at run ends.
 
@@ -252,24 +230,31 @@ class RunLengthIndex:
         self.match = self._common(self.sample, self.above)
 
     def _sort(self, depth: int) -> np.ndarray:
-        """All suffixes in order, by doubling the compared length from 8 bytes on."""
+        """All suffixes in order, by doubling the compared length from five bytes on."""
         n, padded = len(self.symbols), np.r_[self.symbols, np.zeros(8, np.uint8)].astype(_U8)
         key = np.zeros(n, _U8)
         for j in range(8):
             key = key << _U8(8) | np.where(self.left >= j, padded[j : n + j], _U8(0))
-        self.eight = key
-        order = np.argsort(key, kind="stable")
-        h = 8
+        self.eight, bits, places = key, n.bit_length(), np.arange(n, dtype=_U8)
+
+        def ordered(key: np.ndarray, width: int) -> np.ndarray:
+            """Places by key (of so many bits), then by place: as one sort of numbers where both fit into one."""
+            if width + bits > 64:
+                return np.argsort(key, kind="stable")
+            return (np.sort(key << _U8(bits) | places) & _U8((1 << bits) - 1)).astype(np.int64)
+
+        h, key = 5, key >> _U8(24)
+        order = ordered(key, 40)
         while True:
             k = key[order]
             same = (k[1:] == k[:-1]) & (self.left[order[1:]] >= h)  # those that have ended differ by their ends
-            rank = np.empty(n, _U8)
-            rank[order] = np.cumsum(np.r_[0, ~same]).astype(_U8)
             if h >= depth or not same.any():
                 return order
-            further = np.minimum(np.arange(n) + h, n - 1)
-            key = rank << _U8(32) | np.where(self.left >= h, rank[further], _U8(0))
-            order, h = np.argsort(key, kind="stable"), 2 * h
+            rank = np.empty(n, _U8)
+            rank[order] = np.cumsum(np.r_[0, ~same]).astype(_U8)
+            key = rank << _U8(bits)
+            key[:-h] |= np.where(self.left[:-h] >= h, rank[h:], _U8(0))
+            order, h = ordered(key, 2 * bits), 2 * h
 
     def _common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Length of the common text from places p and q on, within their texts; 0 where q is negative."""
@@ -325,28 +310,27 @@ def repeated_windows(text: np.ndarray, size: np.ndarray, doc: np.ndarray, length
 
 def shard_spans(s: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """doc, row, start and end of the repeats among a shard's segments."""
-    order, start, repeat = split_repeats(s)
+    order, start, least, repeat = split_repeats(s)
     whole = order[repeat]
     out = [(s.doc[whole], s.row[whole], s.start[whole], s.start[whole] + s.size[whole])]
-    variant = order[start]
-    chosen = np.flatnonzero(may_share(s.anchor[variant], s.right[variant], s.left[variant]))
-    anchor, doc = s.anchor[variant[chosen]], s.doc[variant[chosen]]
+    variants = s.take(order[start])
+    chosen = np.flatnonzero(may_share(variants.anchor(), *variants.sides()))
+    anchor, doc = variants.anchor()[chosen], least[chosen]
     group = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]) if len(chosen) else chosen
     if len(chosen):
         several = np.minimum.reduceat(doc, group) != np.maximum.reduceat(doc, group)
         chosen = chosen[np.repeat(several, np.diff(np.r_[group, len(chosen)]))]
-        anchor = s.anchor[variant[chosen]]
+        anchor = variants.anchor()[chosen]
     if len(chosen):
         # indexes of bounded size; an anchor's variants stay together
-        volume = np.cumsum(s.size[variant[chosen]].astype(np.int64) + 1)
-        part = (volume - 1) // INDEX_BYTES
+        part = (np.cumsum(variants.size[chosen] + 1) - 1) // INDEX_BYTES
         fresh = np.r_[True, anchor[1:] != anchor[:-1]]
         part = part[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
         length = np.diff(np.r_[start, len(order)])
         for p in np.unique(part):
             own = chosen[part == p]
-            v = variant[own]
-            which, at = repeated_windows(gather(s.text, s.at[v], s.size[v]), s.size[v], s.doc[v])
+            v = variants.take(own)
+            which, at = repeated_windows(gather(v.text, v.at, v.size), v.size, least[own])
             if not len(which):
                 continue
             new = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (at[1:] != at[:-1] + 1)])
@@ -372,41 +356,81 @@ def spans_batch(doc: np.ndarray, row: np.ndarray, low: np.ndarray, high: np.ndar
     return pa.record_batch([pa.array(home[new]), pa.array(data, pa.binary())], ["home", "data"])
 
 
-def find_repeats(rows: DataFrame, shards: int) -> DataFrame:
-    """home and data (packed spans) of the repeats in rows of (doc_id, row, text)."""
+def batches_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """text, ends, doc_id (0 for null), row and whether there is a doc_id, of batches' documents (null texts are empty),
+    about most bytes at a time."""
+    held, have = [], 0
+
+    def joined() -> tuple[np.ndarray, ...]:
+        text, sizes, docs, rows, known = (np.concatenate(x) for x in zip(*held, strict=True))
+        return text, np.cumsum(sizes), docs, rows, known
+
+    for batch in batches:
+        for part in (batch.slice(at, 500) for at in range(0, batch.num_rows, 500)):
+            texts = pc.fill_null(part.column("text"), "").cast(pa.large_binary())
+            ends = np.frombuffer(texts.buffers()[1], "<i8", len(texts) + 1, 8 * texts.offset)
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+            held.append((data, np.diff(ends), pc.fill_null(part.column("doc_id"), 0).to_numpy(), part.column("row").to_numpy(), pc.is_valid(part.column("doc_id")).to_numpy(zero_copy_only=False)))
+            have += len(data)
+            if have > most:
+                yield joined()
+                held, have = [], 0
+    if held:
+        yield joined()
+
+
+def hot_anchors(rows: DataFrame) -> np.ndarray:
+    """Anchors whose variants have more than a shard's bytes, as estimated from every SAMPLE-th row; sorted.
+
+    There are at most as many as there are shards' bytes in all segments. They only decide where segments go.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for text, ends, doc, row, _ in batches_of(batches, COMBINE_BYTES):
+            s = cut(text, ends, doc, row)
+            name, variant = np.unique(s.name, return_index=True)
+            anchor, back = np.unique(name >> _HALF, return_inverse=True)
+            yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(np.bincount(back, s.size[variant], len(anchor)).astype(np.int64))], ["anchor", "bytes"])
+
+    counted = rows.where(F.pmod("row", F.lit(SAMPLE)) == 0).mapInArrow(count, "anchor bigint, bytes bigint").groupBy("anchor").agg(F.sum("bytes").alias("bytes"))
+    found = counted.where(F.col("bytes") * SAMPLE > SHARD_BYTES).select("anchor").toPandas()
+    return np.sort(found["anchor"].to_numpy(np.int64).view(_U8))
+
+
+def dealer(hot: np.ndarray, shards: int, homes: int):
+    """A function from batches of (doc_id, text, row) to rows of shard and data (packed segments), or of home and data
+    (packed spans of what a smaller document of the task has as a whole)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, have = [], 0
-
-        def send() -> Iterator[pa.RecordBatch]:
-            nonlocal held, have
-            parts = [s for b in held if (s := cut(b))]
-            held, have = [], 0
-            if not parts:
-                return
-            s = Segments.join(parts)
-            order, _, repeat = split_repeats(s)
-            done = order[repeat]  # a smaller document of this task has the whole segment: its place is all that is sent
-            covered = spans_batch(s.doc[done], s.row[done], s.start[done], s.start[done] + s.size[done], shards)
+        for text, ends, doc, row, _ in batches_of(batches, COMBINE_BYTES):
+            s = cut(text, ends, doc, row)
+            order, _, _, repeat = split_repeats(s)
+            done = order[repeat]
+            covered = spans_batch(s.doc[done], s.row[done], s.start[done], s.start[done] + s.size[done], homes)
             kept = s.take(np.sort(order[~repeat]))
-            shard = (kept.anchor % _U8(shards)).astype(np.int64)
-            by = np.argsort(shard, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, shard[by][1:] != shard[by][:-1]])
-            yield pa.record_batch(
-                [pa.array(shard[by[cuts]]), pa.nulls(len(cuts)).cast(pa.int64()), pa.array([kept.take(by[a:b]).pack() for a, b in zip(cuts, np.r_[cuts[1:], len(by)], strict=True)], pa.binary())],
-                ["shard", "home", "data"],
-            )
+            goes, hashes = np.arange(len(kept.at)), kept.anchor()
+            if (warm := np.isin(hashes, hot)).any():
+                right, left = kept.take(goes[warm]).sides()
+                ways = [(goes[~warm], hashes[~warm]), *((goes[warm][side > 0], side[side > 0] >> _HALF) for side in (right, left))]
+                goes, hashes = (np.concatenate(x) for x in zip(*ways, strict=True))
+            shard = (hashes % _U8(shards)).astype(np.int64)
+            by = np.lexsort((goes, shard))
+            shard, goes = shard[by], goes[by]
+            cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else goes
+            blobs = [kept.take(goes[a:b]).pack() for a, b in zip(cuts, np.r_[cuts[1:], len(goes)], strict=True)] if len(cuts) else []
+            yield pa.record_batch([pa.array(shard[cuts]), pa.nulls(len(cuts)).cast(pa.int64()), pa.array(blobs, pa.binary())], ["shard", "home", "data"])
             if covered.num_rows:
                 yield pa.record_batch([covered.column(0), *covered.columns], ["shard", "home", "data"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                held.append(part := batch.slice(at, 1000))
-                have += part.column("text").nbytes
-                if have > COMBINE_BYTES:
-                    yield from send()
-        if held:
-            yield from send()
+    return deal
+
+
+def find_repeats(rows: DataFrame, shards: int, homes: int) -> DataFrame:
+    """home and data (packed spans) of the repeats in rows of (doc_id, row, text)."""
+    hot = rows.sparkSession.sparkContext.broadcast(hot_anchors(rows) if shards > 1 else np.zeros(0, _U8))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from dealer(hot.value, shards, homes)(batches)
 
     def gathered(table: pa.Table, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
         for a, b in zip(start, end, strict=True):
@@ -414,7 +438,7 @@ def find_repeats(rows: DataFrame, shards: int) -> DataFrame:
             placed = pc.is_valid(own.column("home"))
             yield from own.filter(placed).select(["home", "data"]).to_batches()
             if blobs := own.filter(pc.invert(placed)).column("data").to_pylist():
-                yield spans_batch(*shard_spans(Segments.unpack(blobs)), shards)
+                yield spans_batch(*shard_spans(Segments.unpack(blobs)), homes)
 
     dealt = rows.mapInArrow(deal, "shard bigint, home bigint, data binary")
     return grouped_runs(dealt, "shard", [], gathered, "home bigint, data binary")
@@ -442,14 +466,26 @@ def remaining(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
-def _squeezed(texts: pa.Array) -> pa.Array:
-    """Texts as compressed bytes, for the way through a shuffle; null for null."""
-    squeeze = zstandard.ZstdCompressor(3).compress
-    return pa.array([None if t is None else squeeze(t.encode("utf-8", "surrogatepass")) for t in texts.to_pylist()], pa.binary())
+def carried(rows: DataFrame, homes: int) -> DataFrame:
+    """home and data (packed documents) of rows of (doc_id, row, text): all that go to one home from a task in one piece."""
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(3).compress
+        for text, ends, doc, row, known in batches_of(batches, COMBINE_BYTES):
+            home, size = row % homes, np.diff(ends, prepend=0)
+            by = np.argsort(home, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, home[by][1:] != home[by][:-1]])
+            packed = []
+            for a, b in zip(cuts, np.r_[cuts[1:], len(by)], strict=True):
+                own = by[a:b]
+                packed.append(squeeze(b"".join([np.array([len(own)], "<i8").tobytes(), *(x[own].astype("<i8").tobytes() for x in (doc, known, row, size)), *(text[ends[i] - size[i] : ends[i]].tobytes() for i in own)])))
+            yield pa.record_batch([pa.array(home[by[cuts]]), pa.array(packed, pa.binary())], ["home", "data"])
+
+    return rows.mapInArrow(carry, "home bigint, data binary").withColumn("kind", F.lit(1))
 
 
 def _settle(table: pa.Table, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The results of each home's documents, from their spans."""
+    """The results of each home's documents, from their spans; a task's share of them at a time."""
     for s, e in zip(start, end, strict=True):
         own = table.slice(s, e - s)
         is_doc = pc.equal(own.column("kind"), 1)
@@ -457,14 +493,17 @@ def _settle(table: pa.Table, start: np.ndarray, end: np.ndarray) -> Iterator[pa.
         doc, row, low, high = np.concatenate(parts, axis=1) if parts else np.zeros((4, 0), np.int64)
         order = np.argsort(row, kind="stable")
         doc, row, low, high = doc[order], row[order], low[order], high[order]
-        docs, found = own.filter(is_doc), []
-        for doc_id, key, text in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "row", "data")), strict=True):
-            data = zstandard.decompress(text) if text is not None else b""
-            a, b = np.searchsorted(row, key, "left"), np.searchsorted(row, key, "right")
-            mine = np.arange(a, b)[doc[a:b] == doc_id] if doc_id is not None else np.arange(0)
-            ranges = merged(low[mine], high[mine])
-            found.append({"doc_id": doc_id, "n_bytes": len(data), "n_removed": sum(y - x for x, y in ranges), "n_spans": len(ranges), "kept_sha256": hashlib.sha256(remaining(data, ranges)).hexdigest(), "spans": [{"start": x, "end": y} for x, y in ranges]})
-        if found:
+        for blob in own.filter(is_doc).column("data"):
+            raw = zstandard.decompress(blob.as_py())
+            n = int(np.frombuffer(raw, "<i8", 1)[0])
+            ids, known, keys, sizes = np.frombuffer(raw, "<i8", 4 * n, 8).reshape(4, n).tolist()
+            at, found = 8 + 32 * n, []
+            for doc_id, there, key, size in zip(ids, known, keys, sizes, strict=True):
+                data, at = raw[at : at + size], at + size
+                a, b = np.searchsorted(row, key, "left"), np.searchsorted(row, key, "right")
+                mine = np.arange(a, b)[doc[a:b] == doc_id] if there else np.arange(0)
+                ranges = merged(low[mine], high[mine])
+                found.append({"doc_id": doc_id if there else None, "n_bytes": size, "n_removed": sum(y - x for x, y in ranges), "n_spans": len(ranges), "kept_sha256": hashlib.sha256(remaining(data, ranges)).hexdigest(), "spans": [{"start": x, "end": y} for x, y in ranges]})
             yield pa.RecordBatch.from_pylist(found, _RESULT_ARROW)
 
 
@@ -473,12 +512,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A byte is removed if a string of LENGTH bytes over it also starts in a document with a smaller doc_id. Null texts
     are empty. Rows of one doc_id are never smaller than each other and each keep what the others hold; a row with a
-    null doc_id is left whole and takes nothing from others. Other columns are ignored.
+    null doc_id is left whole and takes nothing from others. Texts of any length are cut whole; other columns are
+    ignored; no rows give none.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
     usable = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    volume = usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-volume // SHARD_BYTES))
-    spans = materialize(find_repeats(usable, shards), "spans").withColumn("kind", F.lit(0))
-    texts = rows.select(F.pmod("row", F.lit(shards)).alias("home"), "doc_id", "row", F.lit(1).alias("kind"), F.arrow_udf(_squeezed, "binary").asNondeterministic()(F.col("text")).alias("data"))
-    return grouped_runs(texts.unionByName(spans, allowMissingColumns=True), "home", ["kind"], _settle, RESULT)
+    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards, homes = max(1, -(-volume // SHARD_BYTES)), max(1, -(-volume // HOME_BYTES))
+    spans = materialize(find_repeats(usable, shards, homes), "spans").withColumn("kind", F.lit(0))
+    return grouped_runs(carried(rows, homes).unionByName(spans), "home", ["kind"], _settle, RESULT)
