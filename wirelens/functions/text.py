@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once however often then looks at it."""
+    return F.transform(F.array(value), then)[0]
+
+
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with more columns, each computed once a row, whatever looks at it later.
+
+    As the one element of an array that is unpacked again, they are not copied into filters and projections above.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def matches(text: Column, *patterns: str) -> Column:
     """Whether any of the patterns is found in text."""
     return text.rlike("(?U)" + "|".join(f"(?:{p})" for p in patterns))
@@ -138,12 +152,13 @@ def stem(token: Column, suffixes: tuple[str, ...], roles: tuple[str, ...]) -> Co
     bare = F.trim(F.replace(fold(token), F.lit("ё"), F.lit("е")), F.lit("-"))
 
     def cut(t: Column, options: tuple[str, ...]) -> Column:
-        if not options:
-            return t
-        longest_first = "|".join(sorted(options, key=len, reverse=True))
-        return F.regexp_replace(t, f"^(.{{4,}}?)(?:{longest_first})$", "$1")
+        found = t
+        for n in sorted({len(o) for o in options}):  # the longest is looked for first
+            ends = F.right(t, F.lit(n)).isin(*[o for o in options if len(o) == n])
+            found = F.when((F.length(t) >= n + 4) & ends, F.substring(t, F.lit(1), F.length(t) - n)).otherwise(found)
+        return found
 
-    return cut(cut(bare, suffixes), roles)
+    return let(bare, lambda b: let(cut(b, suffixes), lambda c: cut(c, roles)))
 
 
 def sorted_set(values: Column) -> Column:

@@ -7,12 +7,13 @@ condition on a flag.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirelens.functions.rulepacks import RulePack
-from wirelens.functions.text import extract_all, fold, matches, replace
+from wirelens.functions.text import extract_all, fold, matches, once, replace
 
 
 def item_text(title: str = "title", description: str = "description") -> Column:
@@ -29,23 +30,28 @@ def stem_pattern(stem: str, pack: RulePack) -> str:
     return rf"(?<!\w){re.escape(stem)}{pack.guards.get(stem, '')}"
 
 
-def mentions(text: Column, stem: str, pack: RulePack) -> Column:
-    """Whether a stem is in the text, from the start of a word on."""
-    looked_at = without_requested(text, pack) if stem in pack.requested_stems else text
-    return matches(looked_at, stem_pattern(stem, pack))
+def with_mentions(items: DataFrame, pack: RulePack) -> DataFrame:
+    """Items with _text (folded title and description) and _mentions: all of the pack's stems that are in it from the
+    start of a word on. Both are computed once; a stem's pattern is only tried where its letters are there."""
+    text, factual = F.col("_text"), F.col("_factual")
+    read = once(items, _text=item_text())
+    read = once(read, _factual=without_requested(text, pack)) if pack.requested else read.withColumn("_factual", text)
+    stems = list(dict.fromkeys([*pack.topics, *pack.outcomes, *pack.scores]))
+    looked_at = {s: factual if s in pack.requested_stems else text for s in stems}
+    found = F.array(*[F.when(F.contains(looked_at[s], F.lit(s)) & matches(looked_at[s], stem_pattern(s, pack)), F.lit(s)) for s in stems])
+    return once(read, _mentions=F.array_compact(found)).drop("_factual")
 
 
-def mentioned(text: Column, stems: tuple[str, ...], pack: RulePack) -> Column:
-    """The stems that are in the text, in the pack's order."""
+def mentioned(stems: tuple[str, ...]) -> Column:
+    """Of these stems those that are in the text, in their order."""
     if not stems:
         return F.array().cast("array<string>")
-    found = F.array(*[F.when(mentions(text, s, pack), F.lit(s)) for s in stems])
-    return F.filter(found, lambda s: s.isNotNull())
+    return F.array_intersect(F.array(*map(F.lit, stems)), F.col("_mentions"))
 
 
-def score(text: Column, pack: RulePack) -> Column:
+def score(pack: RulePack) -> Column:
     """The greatest severity mentioned and the sum of the slight bonuses, up to the pack's limit."""
-    points = {s: F.when(mentions(text, s, pack), F.lit(p)).otherwise(F.lit(0)) for s, p in pack.scores.items()}
+    points = {s: F.when(F.array_contains("_mentions", s), F.lit(p)).otherwise(F.lit(0)) for s, p in pack.scores.items()}
     heavy = [c for s, c in points.items() if pack.scores[s] > 1]
     slight = [c for s, c in points.items() if pack.scores[s] <= 1]
     bonus = F.least(sum(slight[1:], slight[0]), F.lit(pack.bonus_limit)) if slight else F.lit(0)
@@ -57,22 +63,26 @@ def _joined(words: Column) -> Column:
     return F.array_join(words, ", ")
 
 
-def classify(items: DataFrame, pack: RulePack, vetoes: list[tuple[str, Column]] = ()) -> DataFrame:
+def classify(items: DataFrame, pack: RulePack, vetoes: list[tuple[str, Column]] = (), scored: bool = False) -> DataFrame:
     """Items (title, description) with matched_topics, strong_topics, contextual_topics, ignored_fragments,
-    admission_reason, rejection_reason, effective_rejection_reason and admitted.
+    admission_reason, rejection_reason, effective_rejection_reason and admitted; if scored, also score.
 
     vetoes: reasons and conditions that reject an item whatever it is about, in order. rejection_reason may also stand
     on admitted items (as background); effective_rejection_reason is there for the others only.
     """
     text = F.col("_text")
     none = F.array().cast("array<string>")
-    seen = items.withColumn("_text", item_text()).withColumns({
-        "matched_topics": mentioned(text, pack.topics, pack),
-        "_outcomes": mentioned(text, pack.outcomes, pack),
-        "ignored_fragments": extract_all(text, f"(?i){pack.requested}") if pack.requested else none,
-        "_excluded": F.exists(F.array(*map(F.lit, pack.excluded)), lambda w: F.contains(text, w)) if pack.excluded else F.lit(False),
-        "_figurative": matches(text, *pack.figurative) if pack.figurative else F.lit(False),
-    })
+    seen = once(
+        with_mentions(items, pack),
+        matched_topics=mentioned(pack.topics),
+        _outcomes=mentioned(pack.outcomes),
+        ignored_fragments=extract_all(text, f"(?i){pack.requested}") if pack.requested else none,
+        _excluded=any_of([F.contains(text, F.lit(w)) for w in pack.excluded]),
+        _figurative=matches(text, *pack.figurative) if pack.figurative else F.lit(False),
+        **({"score": score(pack)} if scored else {}),
+        **{f"_veto_{k}": condition for k, (_, condition) in enumerate(vetoes)},
+    )
+    vetoes = [(reason, F.col(f"_veto_{k}")) for k, (reason, _) in enumerate(vetoes)]
     of = lambda stems: F.filter("matched_topics", lambda t: t.isin(*stems)) if stems else none
     parts = seen.withColumns({"_strong": of(pack.strong), "contextual_topics": of(pack.contextual)}).withColumn("_conditional", F.filter("contextual_topics", lambda t: t.isin(*pack.conditional)) if pack.conditional else none)
     severe = (F.size("_conditional") > 0) & (F.size("_outcomes") > 0)
@@ -96,7 +106,11 @@ def classify(items: DataFrame, pack: RulePack, vetoes: list[tuple[str, Column]]
     for _, veto in vetoes:
         admitted = admitted & ~veto
     done = parts.withColumns({"strong_topics": F.when(severe, F.array_append("_strong", derived)).otherwise(F.col("_strong")), "admission_reason": admission, "rejection_reason": reason, "admitted": admitted})
-    return done.withColumn("effective_rejection_reason", F.when(~F.col("admitted"), F.col("rejection_reason"))).drop("_text", "_outcomes", "_excluded", "_figurative", "_strong", "_conditional")
+    return done.withColumn("effective_rejection_reason", F.when(~F.col("admitted"), F.col("rejection_reason"))).drop("_text", "_mentions", "_outcomes", "_excluded", "_figurative", "_strong", "_conditional", *[f"_veto_{k}" for k in range(len(vetoes))])
+
+
+def any_of(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
 def first_reason(cascade: list[tuple[str | Column, Column]]) -> Column:
@@ -109,7 +123,7 @@ def first_reason(cascade: list[tuple[str | Column, Column]]) -> Column:
 
 
 def add_score(items: DataFrame, pack: RulePack) -> DataFrame:
-    return items.withColumn("_text", item_text()).withColumn("score", score(F.col("_text"), pack)).drop("_text")
+    return with_mentions(items, pack).withColumn("score", score(pack)).drop("_text", "_mentions")
 
 
 def minimum_score(items: DataFrame, least: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -10,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wirelens.functions.storage import checkpointed
+from wirelens.functions.storage import materialize
 from wirelens.functions.rulepacks import RulePack
-from wirelens.functions.text import extract_all, first_present, fold, normalize_title, sorted_set, stem
+from wirelens.functions.text import extract_all, first_present, fold, normalize_title, once, sorted_set, stem
 from wirelens.operators.graph import components
 
 #: How much text and time is compared, and the thresholds.
@@ -33,11 +34,12 @@ def families(strong_topics: Column, pack: RulePack) -> Column:
 
 def tokens(text: Column, pack: RulePack) -> Column:
     """Stems of a text's words that may tell one event from another, sorted."""
-    words = F.filter(extract_all(fold(text), pack.token), lambda w: (F.length(w) >= 4) & ~w.isin(*pack.stop_words))
-    stems = F.filter(F.transform(words, lambda w: stem(w, pack.suffixes, pack.role_suffixes)), lambda s: F.length(s) >= 4)
-    general = [s for own in pack.families.values() for s in own]
-    noise = lambda s: F.exists(F.array(*map(F.lit, pack.noise_prefixes)), lambda p: F.startswith(s, p)) | F.exists(F.array(*map(F.lit, general)), lambda g: F.contains(s, g))
-    return sorted_set(F.filter(stems, lambda s: ~noise(s)))
+    words = F.filter(F.array_distinct(extract_all(fold(text), pack.token)), lambda w: (F.length(w) >= 4) & ~w.isin(*pack.stop_words))
+    stems = F.array_distinct(F.transform(words, lambda w: stem(w, pack.suffixes, pack.role_suffixes)))
+    noise = [rf"^(?:{'|'.join(map(re.escape, pack.noise_prefixes))})"] if pack.noise_prefixes else []
+    noise += [re.escape(s) for own in pack.families.values() for s in own]
+    telling = lambda s: (F.length(s) >= 4) & (~s.rlike("|".join(noise)) if noise else F.lit(True))
+    return F.array_sort(F.filter(stems, telling))
 
 
 def locations(text: Column, pack: RulePack) -> Column:
@@ -53,10 +55,10 @@ def fingerprint(items: DataFrame, pack: RulePack, name: str = "event_fingerprint
     """Items (title, description, article_text, strong_topics) with their FINGERPRINT."""
     body = first_present(F.col("article_text"), F.col("description"))
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.substring(body, 1, TEXT_LIMIT))
-    own = items.withColumn("_text", text)
+    own = once(items, _text=text)
     t = F.col("_text")
     parts = {"topics": families(F.col("strong_topics"), pack), "tokens": tokens(t, pack), "locations": locations(t, pack), "lead_tokens": tokens(F.substring(t, 1, LEAD_LIMIT), pack), "local_locations": local_locations(t, pack)}
-    return own.withColumn(name, F.struct(*[c.alias(n) for n, c in parts.items()])).drop("_text")
+    return once(own, **{name: F.struct(*[c.alias(n) for n, c in parts.items()])}).drop("_text")
 
 
 def title_ratio(a: Column, b: Column) -> Column:
@@ -205,10 +207,10 @@ def remove_duplicates(items: DataFrame, pack: RulePack) -> DataFrame:
     which compares each item with what remains so far and may put the better of two in the other's place, runs inside
     each connected component, and components run in parallel. Fingerprints of pairs are compared beforehand.
     """
-    items = items.transform(checkpointed)  # read several times below; fingerprints are made once
+    items = items.transform(materialize)  # read several times below; fingerprints are made once
     slim = items.select("ordinal", "url", "score", "article_text", "image_url", normalize_title(F.col("title")).alias("norm"), locations(F.coalesce("title", F.lit("")), pack).alias("places"))
     first = lambda key: slim.groupBy(key).agg(F.min("ordinal").alias("a"), F.collect_list("ordinal").alias("all")).select("a", F.explode("all").alias("b"))
-    events = event_pairs(items, items, pack.lead_noise).where("l_id < r_id").select("l_id", "r_id").transform(checkpointed)
+    events = event_pairs(items, items, pack.lead_noise).where("l_id < r_id").select("l_id", "r_id").transform(materialize)
     titles = slim.groupBy("norm").agg(F.min("ordinal").alias("id")).withColumnRenamed("norm", "title")
     similar = title_pairs(titles).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
     links = first("url").unionByName(first("norm")).unionByName(similar).unionByName(events.select(F.col("l_id").alias("a"), F.col("r_id").alias("b")))
@@ -228,7 +230,7 @@ def remove_duplicates(items: DataFrame, pack: RulePack) -> DataFrame:
 def unpublished(items: DataFrame, history: DataFrame, lead_noise: tuple[str, ...] = ()) -> DataFrame:
     """Items whose url is not in the history and whose event isn't either. history: url, published_at (text or
     timestamp), event_fingerprint (null for old rows, which only their url can match)."""
-    items, history = items.transform(checkpointed), history.transform(checkpointed)
+    items, history = items.transform(materialize), history.transform(materialize)
     at = F.col("published_at") if dict(history.dtypes)["published_at"] == "timestamp" else F.col("published_at").try_cast("timestamp")
     old = history.where(F.col("event_fingerprint").isNotNull()).select(F.monotonically_increasing_id().alias("h"), at.alias("published_at"), "event_fingerprint")
     told = event_pairs(items, old, lead_noise, right_id="h").select(F.col("l_id").alias("ordinal")).distinct()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wirelens.functions.storage import checkpointed
+from wirelens.functions.storage import materialize
 from wirelens.functions import text as tx
 from wirelens.functions.dates import event_date_label, publication_date, rfc822
 from wirelens.functions.rulepacks import SYNTHETIC as PACK
@@ -80,7 +80,7 @@ judged AS (SELECT *, supported AND len(matched) > 0 AND NOT excl AS admitted,
 
 
 def classified(spark, sf_dir) -> DataFrame:
-    return cl.add_score(cl.classify(news(spark, sf_dir), PACK), PACK)
+    return cl.classify(news(spark, sf_dir), PACK, scored=True)
 
 
 @query(f"WITH {CLASSIFIED} SELECT ordinal, score, array_to_string(strong, ',') AS topics FROM judged WHERE admitted AND score >= 4 ORDER BY score DESC, ordinal LIMIT 20")
@@ -287,7 +287,7 @@ WHERE n >= 5 AND n / least(x, y) >= 0.45 AND (placed OR (n >= 7 AND n / (x + y -
 )
 def event_pairs_blocked(spark, sf_dir):
     """Pairs of one event within 36 hours by family and time bucket."""
-    p = printed(spark, sf_dir).select("ordinal", "published_at", "event_fingerprint").transform(checkpointed)
+    p = printed(spark, sf_dir).select("ordinal", "published_at", "event_fingerprint").transform(materialize)
     pairs = ev.event_pairs(p, p).where("l_id < r_id")
     return pairs.select("l_id", "r_id", F.size("details.shared_tokens").alias("shared"), F.round("details.token_overlap", 6).alias("overlap"), F.round("details.token_jaccard", 6).alias("jaccard"))
 
