@@ -2,45 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own_dir: dict[str, str] = {}
+from wirelens.functions.storage import materialize, new_path, shared_dir
+from wirelens.operators.graph import components
+
+__all__ = ["components", "fresh", "grouped_runs", "local_roots", "materialize", "new_path", "runs", "shared_dir", "skew_join"]
 
 #: A key with at least this share of all rows counts as heavy, so that there are at most 1 / share heavy keys.
 HEAVY_SHARE = 1 / 500
 HEAVY_LEAST = 50
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = tempfile.mkdtemp(prefix="wirelens-")
-    return _own_dir[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/wirelens/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(name: str, taken: list[str]) -> str:
     """A column name that clashes with none of those taken."""
     lower = {x.lower() for x in taken}
@@ -109,37 +87,6 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of undirected edges (a long, b long): (node, root), root the least node of the component.
-
-    Each round every node points to its least neighbour and edges are redrawn between the targets; edges shrink by a
-    factor each round, so rounds grow with the logarithm of the nodes. Aggregates combine before their shuffle, and
-    joins of two written tables let adaptive execution split a hot node. Nulls are ignored.
-    """
-    spark = edges.sparkSession
-    edges = materialize(
-        edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
-    )
-    steps: list[DataFrame] = []
-    for _ in range(rounds):
-        if edges.isEmpty():
-            break
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).withColumnRenamed("a", "node"), "step")
-        steps.append(step)
-        moved = edges.join(step.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(step.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
-        edges = materialize(moved.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    if not steps:
-        return spark.createDataFrame([], "node long, root long")
-    found = steps[-1].withColumnRenamed("to", "root")
-    for step in reversed(steps[:-1]):
-        later = found.select(F.col("node").alias("to"), F.col("root").alias("later"))
-        found = materialize(step.join(later, "to", "left").select("node", F.coalesce("later", "to").alias("root")), "roots")
-    return found
-
-
 def grouped_runs(df: DataFrame, key: str, order: list[str], function: Callable, schema: str) -> DataFrame:
     """Deal rows out by key, sort, and give function the whole runs of each key as runs() does."""
 
