@@ -159,6 +159,16 @@ def stage_counts(items: DataFrame, flags: list[str]) -> DataFrame:
     return items.agg(*columns)
 
 
+def selected_report(items: DataFrame, key: str) -> DataFrame:
+    """Why each selected item came so far."""
+    return items.select(key, "title", "matched_topics", "strong_topics", "contextual_topics", "score", "admission_reason", "rejection_reason")
+
+
+def ranked_report(items: DataFrame, n: int = 10) -> DataFrame:
+    """The first n of the ranked items with their numbers from 1."""
+    return rank(items, n).withColumn("number", F.row_number().over(Window.orderBy(F.desc("score"), F.asc("ordinal"))))  # n rows
+
+
 def rejected_report(items: DataFrame, n: int = 5) -> DataFrame:
     """The rejected items with a topic that scored best."""
     return rank(items.where(~F.col("admitted") & (F.size("matched_topics") > 0))).limit(n)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelens.functions.text import escape_xml
+from wirelens.functions.text import escape_xml, host
 
 #: Labels of an event's and a person's status.
 EVENT_STATUS = {
@@ -58,6 +58,23 @@ def event_problems() -> Column:
     return F.filter(F.array(*[F.when(c, F.lit(f)) for f, c in bad.items()]), lambda f: f.isNotNull())
 
 
+def place_line(*parts: Column) -> Column:
+    """Parts of a place in one line."""
+    return F.concat_ws(", ", *parts)
+
+
+def source_name(sources: Column, url: Column) -> Column:
+    """The name under which the sources (url, name; the last of equal urls) list a url, else its host."""
+    named = F.element_at(F.filter(sources, lambda s: s["url"] == url)["name"], F.lit(-1))
+    return F.coalesce(F.when(F.exists(sources, lambda s: s["url"] == url), named), host(url))
+
+
+def registry_number(index: Column) -> Column:
+    """A row's place from 0 as a number from 1 of three digits at least."""
+    number = (index + 1).cast("string")
+    return F.lpad(number, F.greatest(F.lit(3), F.length(number)), F.lit("0"))
+
+
 def label(value: Column, labels: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]), value)
 

@@ -377,12 +377,12 @@ def cards(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return docs.select(
         F.col("doc_id").cast("string").alias("event_id"), F.lit("crime").alias("section"), F.when(F.col("quality") == 1, "ready").otherwise("draft").alias("publication_status"),
-        F.substring("text", 1, 60).alias("title"), F.substring(F.coalesce("text", F.lit("")), 1, 80).alias("summary"), F.array("source").alias("sources"),
+        F.substring_index("text", "\n", 1).alias("title"), F.coalesce("text", F.lit("")).alias("summary"), F.array("source").alias("sources"),
         F.when(F.col("n_chars") > 500, F.array("lang")).otherwise(F.array().cast("array<string>")).alias("updates"), (F.col("toxic") == 1).alias("demo"), F.lit("2024-01-01T00:00:00.000Z").alias("lastmod"),
     )
 
 
-_SHOWN = "quality = 1 AND trim(substr(coalesce(text, ''), 1, 80)) <> '' AND (coalesce(toxic = 1, FALSE) OR n_chars > 500)"
+_SHOWN = "quality = 1 AND trim(coalesce(text, '')) <> '' AND (coalesce(toxic = 1, FALSE) OR n_chars > 500)"
 
 
 @query(f"SELECT CAST(doc_id AS VARCHAR) AS event_id FROM documents LEFT JOIN labels USING (doc_id) WHERE {_SHOWN}")
@@ -460,13 +460,46 @@ def article_clean_takewhile(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(clean_paragraphs(lines, ("copyright",), ("the ",))).alias("digest"))
 
 
-@query()
+def _escaped(x: str) -> str:
+    return f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
+
+
+def _unescaped(x: str) -> str:
+    return f"replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', chr(39)), '&amp;', '&')"
+
+
+def _short(source: str, text: str, limit: str, into: str) -> str:
+    """CTEs that cut column text of source to limit escaped characters, as column of into."""
+    lines = rf"list_transform(regexp_split_to_array(coalesce({text}, ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')))"
+    end = rf"regexp_extract(cut, '(?s)^(.*[.!?])[ \n]', 1)"
+    word = r"regexp_extract(cut, '(?s)^(.+)[ \n]', 1)"
+    return f"""{into}1 AS (SELECT *, array_to_string(list_filter({lines}, lambda x: x <> ''), chr(10) || chr(10)) AS clean FROM {source}),
+{into}2 AS (SELECT *, {_escaped('clean')} AS esc FROM {into}1),
+{into}3 AS (SELECT *, rtrim({_unescaped(f"regexp_replace(substr(esc, 1, greatest({limit} - 1, 0)), '&[^;]*$', '')")}, ' ' || chr(10)) AS cut FROM {into}2),
+{into}4 AS (SELECT *, rtrim(CASE WHEN {end} <> '' AND length({end}) - 1 >= length(cut) // 2 THEN {end} WHEN {word} <> '' THEN {word} ELSE cut END, ' ' || chr(10)) AS kept FROM {into}3),
+{into} AS (SELECT * EXCLUDE (clean, esc, cut, kept), CASE WHEN length(esc) <= greatest({limit}, 0) THEN clean WHEN kept <> '' THEN kept || '…' ELSE '' END AS {into}_text FROM {into}4)"""
+
+
+_TAGGED = ", ".join(f"CASE WHEN list_contains(matched, '{t}') THEN '{tag}' END" for t, tag in ((t, PACK.tags[t]) for t in PACK.topics if t in PACK.tags))
+#: Tags in the topics' order, each once, at most four.
+_TAGS = f"list_filter([{_TAGGED}], lambda x: x IS NOT NULL)"
+_ONCE = "array_to_string(list_filter(tags, lambda x, i: NOT list_contains(tags[1:i - 1], x))[1:4], ' ')"
+_MONTH = "['января','февраля','марта','апреля','мая','июня','июля','августа','сентября','октября','ноября','декабря'][month(published_at)]"
+
+
+@query(
+    f"""WITH {CLASSIFIED}, tagged AS (SELECT ordinal, title, description, source, url, published_at, {_TAGS} AS tags FROM judged), {_short('tagged', 'title', '500', 'head')},
+framed AS (SELECT *, '🔴 <b>' || {_escaped('head_text')} || '</b>' AS head, '📅 ' || day(published_at) || ' ' || {_MONTH} || ' ' || year(published_at) || chr(10) || '📰 ' || {_escaped('source')} || chr(10) || chr(10) || '🔗 <a href="' || {_escaped('url')} || '">Читать источник</a>' || CASE WHEN len(tags) > 0 THEN chr(10) || chr(10) || {_ONCE} ELSE '' END AS foot FROM head),
+roomy AS (SELECT *, greatest(0, 3996 - length(head) - length(foot)) AS room FROM framed), {_short('roomy', 'description', 'room', 'body')},
+posts AS (SELECT ordinal, head || CASE WHEN body_text <> '' THEN chr(10) || chr(10) || {_escaped('body_text')} ELSE '' END || chr(10) || chr(10) || foot AS post FROM body)
+SELECT ordinal, length(post) AS n, md5(post) AS digest FROM posts"""
+)
 def render_post_length(spark, sf_dir):
     posts = render(classified(spark, sf_dir).withColumn("article_text", F.lit(None).cast("string")), PACK)
     return posts.select("ordinal", F.length("post").alias("n"), F.md5("post").alias("digest"))
 
 
-@query()
+@query(f"WITH {_short('documents', 'text', '300', 'short')} SELECT doc_id, short_text AS short FROM short")
 def truncate_escaped(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", truncate(F.col("text"), F.lit(300)).alias("short"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirelens.functions.dates import rfc822
+from wirelens.functions.storage import materialize
 from wirelens.functions.text import clean_description
 from wirelens.sources.dom import Node, parse
 
@@ -20,9 +21,15 @@ HISTORY = "title string, url string, published_at string, source string, event_f
 POST = "message_id string, text string, published_at string, image_url string, source_url string"
 
 
-def source_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """Sources of a JSON catalogue; one that says nothing about it is enabled."""
-    return spark.read.schema(SOURCE).json(path, multiLine=True).withColumn("enabled", F.coalesce("enabled", F.lit(True)))
+def source_catalogue(spark: SparkSession, path: str, one_array: bool = True) -> DataFrame:
+    """Sources of a JSON catalogue (an array, or lines); one that says nothing about it is enabled."""
+    return spark.read.schema(SOURCE).json(path, multiLine=one_array).withColumn("enabled", F.coalesce("enabled", F.lit(True)))
+
+
+def unknown_types(sources: DataFrame, read: tuple[str, ...] = ("rss", "html")) -> DataFrame:
+    """Sources of a type that no reader takes, with a warning; they bring no rows."""
+    warning = F.concat(F.lit("unknown source type: "), F.coalesce("type", F.lit("none")))
+    return sources.where(~F.coalesce(F.col("type").isin(*read), F.lit(False))).withColumn("warning", warning)
 
 
 def source_counts(sources: DataFrame) -> DataFrame:
@@ -50,20 +57,38 @@ def union_in_order(parts: list[DataFrame]) -> DataFrame:
 
 
 def read_history(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """The published items. A missing or broken history is empty, or an error if strict."""
-    reader = spark.read.schema(HISTORY)
-    if strict:
-        return reader.option("mode", "FAILFAST").json(path)
+    """The published items, of JSON lines or of one JSON array. A missing or broken history is empty; if strict it is an
+    error at once."""
+    reader = spark.read.schema(HISTORY).option("mode", "FAILFAST" if strict else "DROPMALFORMED")
     try:
-        return reader.option("mode", "DROPMALFORMED").json(path)
+        first = spark.read.text(path).where(F.trim("value") != "").first()
+        rows = reader.json(path, multiLine=first is not None and first["value"].lstrip().startswith("["))
     except AnalysisException:
+        if strict:
+            raise
         return spark.createDataFrame([], HISTORY)
+    return materialize(rows, "history") if strict else rows
+
+
+def read_cards(spark: SparkSession, path: str, files: str = "*.md*") -> DataFrame:
+    """Cards of text files below a path: fields (the front matter's simple values by name) and body."""
+    cards = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", files).text(path)
+    front = F.regexp_extract("value", r"(?s)^---\n(.*?)\n---", 1)
+    lines = F.filter(F.split(front, "\n"), lambda line: line.rlike(r"^\w+:\s*\S"))
+    pairs = F.transform(lines, lambda line: F.struct(F.regexp_extract(line, r"^(\w+):", 1).alias("key"), F.regexp_replace(line, r"^\w+:\s*[\"']?|[\"']?\s*$", "").alias("value")))
+    return cards.select(F.map_from_entries(F.array_distinct(pairs)).alias("fields"), F.regexp_replace("value", r"(?s)^---\n.*?\n---\n*", "").alias("body"))
+
+
+def read_json_cards(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Cards of JSON files, one to a file, below a path."""
+    return spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path, multiLine=True)
 
 
-def card_urls(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct url values in the cards (text files with front matter) below a path."""
-    cards = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md*").text(path)
-    return cards.select(F.explode(F.regexp_extract_all("value", F.lit(r'(?m)^\s*(?:- )?url:\s*"([^"]+)"'), F.lit(1))).alias("url")).distinct()
+def card_urls(spark: SparkSession, path: str, files: str = "*.md*") -> DataFrame:
+    """Distinct http(s) urls in the cards (text files with front matter) below a path, quoted either way or not at all."""
+    cards = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", files).text(path)
+    url = F.regexp_extract("value", r"^\s*(?:- )?url:\s*[\"']?(https?://[^\"'\s]+)", 1)
+    return cards.select(url.alias("url")).where("url <> ''").distinct()
 
 
 #: Words of a link to the source, and where a post's picture is.

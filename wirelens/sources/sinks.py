@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wirelens.functions.storage import materialize
 from wirelens.operators.events import history_rows
 from wirelens.operators.feed import sitemap_rows
 
@@ -17,6 +18,11 @@ def append_history(items: DataFrame, path: str) -> None:
     history_rows(items).write.mode("append").json(path)
 
 
+def rewrite_history(rows: DataFrame, path: str) -> None:
+    """Put these rows in the place of a history, which they may have been read from."""
+    materialize(rows, "history").write.mode("overwrite").json(path)
+
+
 def quoted(value: Column) -> Column:
     """A scalar as a JSON string, which front matter takes too."""
     return F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
