@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirelens.llm.chat import format_chats
+from wirelens.llm.common import materialize
 from wirelens.llm.decontamination import contamination
 from wirelens.llm.packing import pack_documents
 from wirelens.llm.pseudonyms import pseudonymized
@@ -31,22 +32,30 @@ URL_RULES = [
     Rule("allow", "com", "/fr/"),
     Rule("block", "com", "/de/"),
 ]
-#: Hosts with one of these words in a label are listed for blocking.
-BLOCKED_HOSTS = r"(^|[.-])(spam|pills|casino|warez|clickbait|phish)[a-z]*([.-]|$)"
+
+
+def thin_hosts(pages: DataFrame) -> DataFrame:
+    """key: hosts whose pages are on average shorter (in bytes) than all pages are."""
+    sizes = materialize(pages.groupBy(host_of(F.col("url")).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes")), "hosts")
+    whole = sizes.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
+    mean = (whole["bytes"] or 0) / (whole["n"] or 1)
+    return sizes.where(F.col("bytes") < F.col("n") * F.lit(mean)).select("key")
 
 
 def op6_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts with thin pages are listed for blocking."""
     pages = table(spark, sf_dir, "pages")
-    listed = pages.select(host_of(F.col("url")).alias("key")).where(F.col("key").rlike(BLOCKED_HOSTS)).distinct()
-    return judge_urls(pages, URL_RULES, listed)
+    return judge_urls(pages, URL_RULES, thin_hosts(pages))
 
 
-OP6_SQL = rf"""
+OP6_SQL = r"""
 WITH parts AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), split AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
+), sized AS (
+  SELECT host, coalesce(octet_length(encode(html)), 0) AS b FROM split JOIN pages ON split.page_id IS NOT DISTINCT FROM pages.page_id
 ), ruled AS (
   SELECT page_id, host, path, CASE
     WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
@@ -57,7 +66,7 @@ WITH parts AS (
 )
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-    WHEN regexp_matches(host, '{BLOCKED_HOSTS}') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
+    WHEN host IN (SELECT host FROM sized GROUP BY host HAVING sum(b) < count(*) * (SELECT sum(b) / count(*) FROM sized)) THEN 'block' ELSE 'allow' END AS verdict FROM ruled
 """
 
 # ---------------------------------------------------------------- op9

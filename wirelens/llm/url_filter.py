@@ -3,7 +3,10 @@
 Level 0 of the cascade holds the listed keys, level 1 the other keys of the universe that level 0 lets through, level 2
 the listed keys that level 1 lets through, and so on until a level lets nothing wrong through. The first level that
 does not hold a key decides: not listed at an even level, listed at an odd one. For every key of the universe the
-answer is exact. A query needs a few bit tests per row and no join, however long the key list is.
+answer is exact. A query needs a few bit tests per row and no join with keys, however long the key list is.
+
+Keys are dealt out by a hash into parts, each with levels of its own of about PART_BYTES. One part's levels go along with
+the query as scalars; of several, each row meets the bits of its part by the part's number.
 
 All of it is DataFrame functions.
 """
@@ -15,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import materialize
+from wirelens.llm.common import fresh, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -23,8 +26,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FIRST_BITS, FIRST_HASHES = 10, 7
 LATER_BITS, LATER_HASHES = 4, 3
 
-#: All levels together may have this many bytes; a longer key list is answered by a shuffled join instead.
-MAX_BYTES = 64 << 20
+#: Bytes that a part's levels have about.
+PART_BYTES = 1 << 20
 MAX_LEVELS = 60
 
 
@@ -72,13 +75,12 @@ def longest_rule(rules: list[Rule], host: Column, path: Column) -> Column:
 
 @dataclass(frozen=True)
 class Level:
-    words: DataFrame  # one row: words array<bigint>
-    n_words: int
+    words: DataFrame  # a row for each part: part, words array<bigint>
+    n_words: int  # of each part
     hashes: int
     seed: int
 
-    def holds(self, key: Column) -> Column:
-        words = self.words.scalar()
+    def holds(self, key: Column, words: Column) -> Column:
         at = places(key, self.n_words, self.hashes, self.seed)
         return _all([F.bit_get(F.element_at(words, F.shiftright(p, 6).cast("int") + 1), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in at])
 
@@ -97,19 +99,23 @@ def places(key: Column, n_words: int, hashes: int, seed: int) -> list[Column]:
     return [F.pmod(first + second * i, F.lit(m)) for i in range(hashes)]
 
 
-def build_level(keys: DataFrame, n: int, number: int) -> Level:
-    """A Bloom filter over the n keys of column key. Bits are combined by word before the shuffle."""
+def part_of(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(parts)).cast("int")
+
+
+def build_level(keys: DataFrame, n: int, number: int, parts: int = 1) -> Level:
+    """Bloom filters over the n keys of column key, one for each part. Bits are combined by word before the shuffle."""
     bits, hashes = (FIRST_BITS, FIRST_HASHES) if number == 0 else (LATER_BITS, LATER_HASHES)
-    n_words = max(1, -(-n * bits // 64))
+    n_words = max(1, -(-n * bits // (64 * parts)))
     spark = keys.sparkSession
     ones = (
-        keys.select(F.explode(F.array(*places(F.col("key"), n_words, hashes, number))).alias("p"))
-        .select(F.expr("p div 64").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("bit"))
+        keys.select(part_of(F.col("key"), parts).alias("part"), F.explode(F.array(*places(F.col("key"), n_words, hashes, number))).alias("p"))
+        .select((F.col("part") * F.lit(n_words).cast("long") + F.expr("p div 64")).alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("bit"))
         .groupBy("w")
         .agg(F.bit_or("bit").alias("bits"))
     )
-    filled = spark.range(n_words).join(ones, F.col("id") == F.col("w"), "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    words = filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("words"))
+    filled = spark.range(parts * n_words).join(ones, F.col("id") == F.col("w"), "left").select(F.expr(f"cast(id div {n_words} as int)").alias("part"), "id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    words = filled.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("words"))
     return Level(materialize(words, f"level{number}"), n_words, hashes, number)
 
 
@@ -118,38 +124,43 @@ class Cascade:
 
     def __init__(self, universe: DataFrame, listed: DataFrame):
         """universe: column key, every key to be asked for. listed: column key. Repeats do no harm."""
-        spark = universe.sparkSession
         listed = listed.select("key").where("key is not null").distinct().withColumn("listed", F.lit(True))
         keys = universe.select("key").where("key is not null").distinct().join(listed, "key", "full").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
-        self.keys = materialize(keys, "keys")
+        keys = materialize(keys, "keys")
         self.levels: list[Level] = []
-        encoded, other = self.keys.where("listed").select("key"), self.keys.where("not listed").select("key")
+        encoded, other = keys.where("listed").select("key"), keys.where("not listed").select("key")
         n = encoded.count()
-        self.too_large = n * FIRST_BITS // 8 * 2 > MAX_BYTES
-        while n and not self.too_large:
+        self.parts = max(1, -(-n * FIRST_BITS * 2 // (8 * PART_BYTES)))
+        while n:
             if len(self.levels) == MAX_LEVELS:
                 raise RuntimeError("the cascade does not end")
-            self.levels.append(level := build_level(encoded, n, len(self.levels)))
-            wrong = materialize(other.where(level.holds(F.col("key"))), "wrong")
+            self.levels.append(level := build_level(encoded, n, len(self.levels), self.parts))
+            wrong = materialize(self._with(other, "key", [level], "held").where("held").select("key"), "wrong")
             encoded, other, n = wrong, encoded, wrong.count()
 
-    def holds(self, key: Column) -> Column:
-        """Whether key is listed, for rows whose keys are in the universe."""
-        found = F.lit(bool(len(self.levels) % 2))
-        for number in range(len(self.levels) - 1, -1, -1):
-            found = F.when(self.levels[number].holds(key), found).otherwise(F.lit(bool(number % 2)))
+    def _with(self, df: DataFrame, key: str, levels: list[Level], into: str) -> DataFrame:
+        """df with column into: what the levels say of its keys, with their bits at hand."""
+        value = F.col(key)
+        if self.parts == 1:
+            return df.withColumn(into, self._says(value, levels, [x.words.select("words").scalar() for x in levels]))
+        part, bits = fresh("part", df.columns), [fresh(f"level{k}", df.columns) for k in range(len(levels))]
+        held = None
+        for level, name in zip(levels, bits, strict=True):
+            own = level.words.select(F.col("part").alias(part), F.col("words").alias(name))
+            held = own if held is None else held.join(own, part)
+        rows = df.withColumn(part, F.coalesce(part_of(value, self.parts), F.lit(0))).join(held, part)
+        return rows.select(*df.columns, self._says(value, levels, [F.col(b) for b in bits]).alias(into))
+
+    @staticmethod
+    def _says(key: Column, levels: list[Level], words: list[Column]) -> Column:
+        found = F.lit(bool(len(levels) % 2))
+        for number in range(len(levels) - 1, -1, -1):
+            found = F.when(levels[number].holds(key, words[number]), found).otherwise(F.lit(bool(number % 2)))
         return F.coalesce(F.when(key.isNotNull(), found), F.lit(False))
 
     def mark(self, df: DataFrame, key: str, into: str) -> DataFrame:
-        """df with a boolean column into: whether column key is listed.
-
-        Where the levels would pass MAX_BYTES, the answer comes from a shuffled join on the listed keys.
-        """
-        if not self.too_large:
-            return df.withColumn(into, self.holds(F.col(key)))
-        listed = self.keys.where("listed").select(F.col("key").alias(f"{key}_listed"), F.lit(True).alias(f"{into}_found"))
-        joined = df.join(listed, F.col(key) == F.col(f"{key}_listed"), "left")
-        return joined.withColumn(into, F.coalesce(f"{into}_found", F.lit(False))).drop(f"{key}_listed", f"{into}_found")
+        """df with a boolean column into: whether column key, a key of the universe or null, is listed."""
+        return self._with(df, key, self.levels, into) if self.levels else df.withColumn(into, F.lit(False))
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], listed: DataFrame) -> DataFrame:
