@@ -253,6 +253,24 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive(df.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_warc_headers_and_file_sizes(spark, tmp_path, monkeypatch):
+    """Ids are unique, revisits name their response, and large payloads don't share files with many others."""
+    monkeypatch.setattr(warc, "CLASSES", (200, 5000))
+    monkeypatch.setattr(warc, "FILE_BYTES", 6000)
+    page, other = "<p>" + "x" * 120, "y" * 150
+    rows = [(1, "http://a/", page), (1, "http://b/", other), (2, "http://c/", page), (3, "http://d/", page), (4, "u", "z" * 4000), (5, "u", "z" * 4001), (6, "u", "w" * 9000), (7, "u", "w" * 9001), (8, "r", "q" * 300), (8, "r", "q" * 300), (9, "r", "q" * 300)]
+    path = str(tmp_path / "w")
+    found = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path).collect()
+    assert len(found) == len(rows) and sorted(r.page_id for r in found if r.refers_to is not None) == [2, 3, 9]
+    heads = [h for f in (tmp_path / "w").rglob("*.gz") for h, _ in warc.parse_archive(f.read_bytes())]
+    ids = {h["WARC-Record-ID"]: h for h in heads}
+    assert len(ids) == len(rows)
+    for h in heads:
+        if h["WARC-Type"] == "revisit" and h["X-Page-ID"] != "9":
+            assert ids[h["WARC-Refers-To"]]["X-Page-ID"] == "1" and h["WARC-Refers-To-Target-URI"] == "http://a/" and h["WARC-Refers-To-Date"] == h["WARC-Date"]
+    assert max(sum(int(h["X-Payload-Length"]) for h, _ in warc.parse_archive(f.read_bytes())) for f in (tmp_path / "w").rglob("*.gz")) <= 9001
+
+
 # ---------------------------------------------------------------- op5
 
 
@@ -312,11 +330,30 @@ def test_cascade_is_exact(spark):
     assert len(cascade.levels) > 1
     marked = cascade.mark(universe, "key", "hit").collect()
     assert all(r.hit == (r.key not in (None, "") and int(r.key[1:]) % 7 == 0) for r in marked)
-    cascade.too_large = True
-    assert {tuple(r) for r in cascade.mark(universe, "key", "hit").collect()} == {tuple(r) for r in marked}
     assert url_filter.Cascade(universe, listed.limit(0)).mark(universe, "key", "hit").where("hit").count() == 0
 
 
+def test_cascade_of_many_keys_in_parts(spark, monkeypatch):
+    """120,000 listed keys of 400,000, in one part and in several; a third of the rows has one key."""
+    universe = spark.range(400_000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("key"), F.col("id"), F.lit(1).alias("part"))
+    rows = universe.unionByName(spark.range(200_000).select(F.lit("h70").alias("key"), F.lit(70).alias("id"), F.lit(2).alias("part"))).unionByName(spark.createDataFrame([(None, 1, 3)], "key string, id long, part int"))
+    listed = universe.where("id % 10 in (0, 3, 7)").select("key")
+    for bound, parts in ((1 << 20, 1), (1 << 16, 5)):
+        monkeypatch.setattr(url_filter, "PART_BYTES", bound)
+        cascade = url_filter.Cascade(rows, listed)
+        assert (cascade.parts > 1) == (parts > 1) and len(cascade.levels) > 2
+        wrong = cascade.mark(rows, "key", "hit").where("hit <> (key is not null and id % 10 in (0, 3, 7))")
+        assert wrong.count() == 0 and cascade.mark(rows, "key", "hit").count() == 600_001
+
+
+def test_urls_of_odd_rows(spark):
+    odd = spark.createDataFrame([(1, None, "x"), (None, "http://A.com/fr/", None), (1, None, "x"), (3, "http://b.net/" + "p" * 100_000, "")], "page_id long, url string, verdict string")
+    listed = spark.createDataFrame([("b.net",), ("",)], "key string")
+    found = sorted(map(tuple, url_filter.judge_urls(odd, queries.URL_RULES, listed).select("page_id", "host", "rule", "verdict").collect()), key=str)
+    assert found == [(1, "", None, "block"), (1, "", None, "block"), (3, "b.net", None, "block"), (None, "a.com", "com/fr/", "allow")]
+    assert url_filter.judge_urls(odd.limit(0), queries.URL_RULES, listed).count() == 0
+
+
 def test_url_parts(spark):
     urls = [None, "", "no scheme", "HTTP://A.Example.ORG", "x://h/p?q://z", "x://h?p/q", "x://H#f/", "://only/path/"]
     df = spark.createDataFrame([(u,) for u in urls], "url string").select(url_filter.host_of(F.col("url")).alias("h"), url_filter.path_of(F.col("url")).alias("p"))

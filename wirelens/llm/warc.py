@@ -26,8 +26,10 @@ VERSION, END = "WARC/1.1", "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Rows in a batch that a reading task gives out.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
-#: An archive file is closed after so many records.
-FILE_RECORDS = 50_000
+#: Payload bytes that an archive file has at most, unless one payload has more; files are read again as one value each.
+FILE_BYTES = 256 << 20
+#: Bounds of the payloads' classes of size; the records of a class go into files of their own.
+CLASSES = (16 << 10, 256 << 10, 4 << 20, 64 << 20)
 
 RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
 
@@ -37,40 +39,51 @@ def _payload(html: Column) -> Column:
 
 
 def resolve(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """page_id, url, html, payload_bytes, payload_digest, refers_to (null for responses).
+    """page_id, url, html, payload_bytes, payload_digest, refers_to (null for responses), refers_to_url, and named: whether
+    no other row has the id and payload of the row (of the response, for revisits).
 
     Rows of one payload that share the least page_id are all responses; a null page_id revisits the least id, if any.
     """
     headed = pages.select("page_id", "url", "html").withColumns({"payload_bytes": F.octet_length(_payload(F.col("html"))).cast("long"), "payload_digest": F.sha2(_payload(F.col("html")), 256)})
-    heads = materialize(headed.select("page_id", "payload_bytes", "payload_digest"), "heads")
-    first = heads.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    heads = materialize(headed.select("page_id", "url", "payload_bytes", "payload_digest"), "heads")
+    by_page = heads.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "page_id").agg(F.count(F.lit(1)).alias("times"), F.min("url").alias("url"))
+    first = by_page.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.sum("times").alias("n"), F.min_by(F.struct("times", "url"), "page_id").alias("response"))
     shared = materialize(first.where("n > 1 and first is not null"), "shared")
     joined = skew_join(headed, shared, "payload_digest", "n", how="left")
-    return joined.withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first")), F.col("first"))).drop("first")
+    revisit = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
+    alone = F.coalesce(F.col("response.times"), F.lit(1)) == 1
+    told = {"refers_to": F.when(revisit, F.col("first")), "refers_to_url": F.when(revisit, F.col("response.url")), "named": alone & (F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()}
+    return joined.withColumns(told | {"named": F.when(revisit, alone).otherwise(told["named"])}).drop("first", "response")
 
 
-def _uri(kind: str, value: Column) -> Column:
-    """A urn:uuid made from the value, the same for the same page."""
-    h = F.md5(F.concat(F.lit(kind), F.coalesce(value.cast("string"), F.lit("null"))))
+def _uri(*values: Column) -> Column:
+    """A urn:uuid made from the values."""
+    h = F.md5(F.concat_ws("|", *[F.coalesce(v.cast("string"), F.lit("null")) for v in values]))
     return F.concat(F.lit("<urn:uuid:"), *[x for i, (a, n) in enumerate([(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]) for x in ([F.lit("-")] if i else []) + [F.substring(h, a, n)]], F.lit(">"))
 
 
-def records(resolved: DataFrame, date: str) -> Column:
-    """A whole record but for the line ends that close it."""
+def records(resolved: DataFrame, date: str | None) -> Column:
+    """A whole record but for the line ends that close it. date: when the pages were fetched; null for now.
+
+    A response's id comes from its page_id and payload, so that revisits can name it; all other ids are drawn at random.
+    """
+    fetched = F.lit(date) if date else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     revisit = F.col("refers_to").isNotNull()
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(END))
-    clean = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
+    clean = lambda url: F.regexp_replace(F.regexp_replace(url, "\r", "%0D"), "\n", "%0A")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(END * 2))
     body = F.when(revisit, F.lit("")).otherwise(F.coalesce("html", F.lit("")))
     optional = lambda name, value: F.coalesce(line(name, value), F.lit(""))
     return F.concat(
         F.lit(f"{VERSION}{END}"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", _uri("page", F.col("page_id"))),
-        line("WARC-Date", F.lit(date)),
-        optional("WARC-Target-URI", clean),
+        line("WARC-Record-ID", F.when(~revisit & F.col("named"), _uri(F.col("page_id"), F.col("payload_digest"))).otherwise(F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")))),
+        line("WARC-Date", fetched),
+        optional("WARC-Target-URI", clean("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _uri("page", F.col("refers_to"))), line("X-Refers-To-Page", F.col("refers_to").cast("string")))).otherwise(""),
+        F.when(revisit, line("WARC-Profile", F.lit(PROFILE))).otherwise(""),
+        F.when(revisit & F.col("named"), line("WARC-Refers-To", _uri(F.col("refers_to"), F.col("payload_digest")))).otherwise(""),
+        F.when(revisit, F.concat(optional("WARC-Refers-To-Target-URI", clean("refers_to_url")), line("WARC-Refers-To-Date", fetched), line("X-Refers-To-Page", F.col("refers_to").cast("string")))).otherwise(""),
         optional("X-Page-ID", F.col("page_id").cast("string")),
         line("X-Payload-Length", F.col("payload_bytes").cast("string")),
         F.lit(f"Content-Type: application/http; msgtype=response{END}"),
@@ -81,10 +94,21 @@ def records(resolved: DataFrame, date: str) -> Column:
     )
 
 
-def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write one gzipped archive for each task's records, committed by Spark's protocol; a failed task leaves nothing."""
-    rows = resolved.select(records(resolved, date).alias("value"))
-    rows.write.option("lineSep", END * 2).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def write_archives(resolved: DataFrame, path: str, date: str | None = None) -> None:
+    """Write gzipped archives of each task's records, committed by Spark's protocol; a failed task leaves nothing.
+
+    Each class of payload sizes that there is is written in a pass of its own, as many records to a file as FILE_BYTES
+    hold of its largest.
+    """
+    size = F.lit(len(CLASSES))
+    for k, bound in reversed(list(enumerate(CLASSES))):
+        size = F.when(F.col("payload_bytes") <= bound, k).otherwise(size)
+    there = sorted(r[0] for r in resolved.select(size.alias("size")).distinct().collect())  # at most five
+    for k in there or [0]:
+        own = resolved.where(size == k) if len(there) > 1 else resolved
+        most = max(1, FILE_BYTES // CLASSES[k]) if k < len(CLASSES) else 1
+        rows = own.select(records(own, date).alias("value"))
+        rows.write.option("lineSep", END * 2).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", most).text(f"{path}/size{k}")
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -141,7 +165,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         if rows:
             yield give(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", True).load(path).select("content")
     return files.mapInArrow(read, RECORD)
 
 
