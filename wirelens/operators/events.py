@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,8 @@ TEXT_LIMIT, LEAD_LIMIT = 1600, 300
 WINDOW_SECONDS = 36 * 3600
 SHARED, OVERLAP, DENSE_SHARED, JACCARD, LEAD_SHARED = 5, 0.45, 7, 0.20, 7
 TITLE = 0.75
+#: Titles in a block.
+TITLE_BLOCK = 256
 
 FINGERPRINT = T.StructType([T.StructField(n, T.ArrayType(T.StringType())) for n in ("topics", "tokens", "locations", "lead_tokens", "local_locations")])
 
@@ -139,30 +141,66 @@ def event_pairs(left: DataFrame, right: DataFrame, lead_noise: tuple[str, ...] =
     return compared.where("details.is_duplicate").select("l_id", "r_id", "details")
 
 
-def _letters(title: Column) -> Column:
-    """A title's characters, each with its number among equal ones, rarest kind first: for set joins on multisets."""
-    chars = F.array_sort(F.split(title, ""))
-    numbered = F.transform(chars, lambda c, i: F.concat(c, F.lit("#"), (i - F.array_position(chars, c) + 1).cast("string")))
-    return numbered
+def longest_common(masks: dict[str, int], n: int, text: str) -> int:
+    """Length of the longest common subsequence of text and another text of n characters, given as masks: each character's
+    places as bits. Row by row of the table, a row's steps being the zeros of one number."""
+    row = full = (1 << n) - 1
+    for c in text:
+        here = row & masks.get(c, 0)
+        row = ((row + here) | (row - here)) & full
+    return n - row.bit_count()
 
 
-def title_pairs(titles: DataFrame, least: float = TITLE) -> DataFrame:
+def alike_titles(left: list[tuple[int, str]], right: list[tuple[int, str]], least: float) -> list[tuple[int, int]]:
+    """Ids (the lesser first) of titles of left and right with a ratio of at least least in either order.
+
+    Matching blocks are a common subsequence, so the ratio itself is only taken where the longest one is long enough.
+    """
+    found = []
+    for b_id, b in right:
+        masks: dict[str, int] = {}
+        for k, c in enumerate(b):
+            masks[c] = masks.get(c, 0) | 1 << k
+        for a_id, a in left:
+            whole = len(a) + len(b)
+            if 2 * min(len(a), len(b)) < least * whole or a_id == b_id or 2 * longest_common(masks, len(b), a) < least * whole:
+                continue
+            if max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= least:
+                found.append((min(a_id, b_id), max(a_id, b_id)))
+    return found
+
+
+def title_pairs(titles: DataFrame, least: float = TITLE, block: int = TITLE_BLOCK) -> DataFrame:
     """l_id and r_id of titles (id, title; distinct normalized ones) with a ratio of at least least in either order.
 
-    No match is lost: two titles of lengths a and b can only reach the ratio if they share least / 2 * (a + b)
-    characters (as multisets). So the shorter must share one of the characters that come first in a fixed order,
-    leaving out as many as may be missing; lengths bound each other too. The ratio is computed for what is left.
+    No match is lost: titles are numbered by length and cut into blocks of about block titles, and each block meets those
+    blocks whose lengths the ratio allows. No task holds more than two blocks, however many titles have one length.
     """
-    sized = titles.withColumn("n", F.length("title")).withColumn("letters", _letters(F.col("title")))
-    # of n characters at least this share is in common with a partner as short as the ratio allows
-    need = F.ceil(F.col("n") * (least / 2) * (1 + least / (2 - least)))
-    keyed = sized.select("id", "title", "n", F.explode(F.slice("letters", 1, F.greatest(F.lit(1), F.col("n") - need + 1).cast("int"))).alias("letter"))
-    left = keyed.select("letter", *[F.col(c).alias(f"l_{c}") for c in ("id", "title", "n")])
-    right = keyed.select("letter", *[F.col(c).alias(f"r_{c}") for c in ("id", "title", "n")])
-    bound = (F.col("l_id") < F.col("r_id")) & (2 * F.least("l_n", "r_n") >= least * (F.col("l_n") + F.col("r_n")))
-    pairs = left.join(right, "letter").where(bound).dropDuplicates(["l_id", "r_id"])
-    either = F.greatest(title_ratio(F.col("l_title"), F.col("r_title")), title_ratio(F.col("r_title"), F.col("l_title")))
-    return pairs.where(either >= least).select("l_id", "r_id")
+    spark = titles.sparkSession
+    sized = materialize(titles.where("title is not null").select("id", "title", F.length("title").cast("long").alias("n")), "titles")
+    longest = sized.agg(F.max("n")).first()[0]
+    if longest is None:
+        return spark.createDataFrame([], "l_id long, r_id long")
+    far = (2 - least) / least  # how many times as long a partner can be
+    # a row for each length up to the longest title's longest partner, with how many titles are no longer
+    lengths = spark.range(int(longest * far) + 2).withColumnRenamed("id", "n").join(sized.groupBy("n").agg(F.count(F.lit(1)).alias("own")), "n", "left")
+    known = materialize(lengths.select("n", F.coalesce("own", F.lit(0)).alias("own"), F.sum(F.coalesce("own", F.lit(0))).over(Window.orderBy("n")).alias("upto")), "lengths")
+    upto = lambda c, name: known.select(F.col("n").alias(c), F.col("upto").alias(name))
+    ranged = sized.withColumns({"up": F.floor(F.col("n") * far + 1e-9), "down": F.greatest(F.ceil(F.col("n") / far - 1e-9) - 1, F.lit(0))})
+    told = ranged.join(known, "n").join(upto("up", "last"), "up").join(upto("down", "before"), "down")
+    number = F.col("upto") - F.col("own") + F.pmod(F.xxhash64("id"), "own")
+    part = lambda c: F.floor(c / block)
+    placed = told.select("id", "title", part(number).alias("part"), F.explode(F.sequence(F.least(part(F.col("before")), part(number)), F.greatest(part(F.col("last") - 1), part(number)))).alias("other"))
+    dealt = placed.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        side = lambda k: list(rows.loc[rows["part"] == rows[k].iloc[0], ["id", "title"]].itertuples(index=False, name=None))
+        left, right = side("low"), side("high")
+        if rows["low"].iloc[0] != rows["high"].iloc[0]:
+            return pd.DataFrame(alike_titles(left, right, least), columns=["l_id", "r_id"])
+        return pd.DataFrame([p for k, x in enumerate(right) for p in alike_titles(left[:k], [x], least)], columns=["l_id", "r_id"])
+
+    return dealt.groupBy("low", "high").applyInPandas(compare, "l_id long, r_id long")
 
 
 def _better(old: dict, new: dict) -> bool:
@@ -209,21 +247,20 @@ def remove_duplicates(items: DataFrame, pack: RulePack) -> DataFrame:
     """
     items = items.transform(materialize)  # read several times below; fingerprints are made once
     slim = items.select("ordinal", "url", "score", "article_text", "image_url", normalize_title(F.col("title")).alias("norm"), locations(F.coalesce("title", F.lit("")), pack).alias("places"))
-    first = lambda key: slim.groupBy(key).agg(F.min("ordinal").alias("a"), F.collect_list("ordinal").alias("all")).select("a", F.explode("all").alias("b"))
+    first = lambda key: slim.join(slim.groupBy(key).agg(F.min("ordinal").alias("a")), key).select("a", F.col("ordinal").alias("b"))
     events = event_pairs(items, items, pack.lead_noise).where("l_id < r_id").select("l_id", "r_id").transform(materialize)
     titles = slim.groupBy("norm").agg(F.min("ordinal").alias("id")).withColumnRenamed("norm", "title")
     similar = title_pairs(titles).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
     links = first("url").unionByName(first("norm")).unionByName(similar).unionByName(events.select(F.col("l_id").alias("a"), F.col("r_id").alias("b")))
     roots = components(links.select(F.col("a").cast("long"), F.col("b").cast("long")))
     placed = slim.join(roots, F.col("ordinal") == F.col("node"), "left").withColumn("component", F.coalesce("root", F.col("ordinal").cast("long"))).drop("node", "root")
-    own = events.join(placed.select(F.col("ordinal").alias("l_id"), "component"), "l_id").groupBy("component").agg(F.collect_list(F.struct("l_id", "r_id")).alias("pairs"))
+    own = events.join(placed.select(F.col("ordinal").alias("l_id"), "component"), "l_id").transform(materialize)
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = pdf["pairs"].iloc[0]
-        known = {(p["l_id"], p["r_id"]) for p in pairs} if pairs is not None else set()
-        return pd.DataFrame(fold_component(pdf.to_dict("records"), known), columns=["slot_ordinal", "ordinal"])
+    def scan(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        known = set(zip(pairs["l_id"], pairs["r_id"], strict=True))
+        return pd.DataFrame(fold_component(rows.to_dict("records"), known), columns=["slot_ordinal", "ordinal"])
 
-    kept = placed.join(own, "component", "left").groupBy("component").applyInPandas(scan, "slot_ordinal long, ordinal long")
+    kept = placed.groupBy("component").cogroup(own.groupBy("component")).applyInPandas(scan, "slot_ordinal long, ordinal long")
     return items.join(kept, "ordinal")
 
 
