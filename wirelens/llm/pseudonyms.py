@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from wirelens.llm.common import fresh
 
 ROUNDS = 8
-#: Steps of a walk at most; the least share of valid strings in a format is 0.28, so a walk is shorter but once in 10**13.
-WALK = 96
+#: Steps of a walk at most; the least share of valid strings in a format is 0.28, so a walk is shorter but once in 10**28.
+#: A longer one is an error: no invalid value is given out.
+WALK = 200
 FIRST_DAY, DAYS = "1900-01-01", 73_049  # to 2099-12-31
 
 _L, _R = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
@@ -87,7 +88,8 @@ def walk(value: Column, kind: str, key: str, valid: Callable[[Column], Column],
     """feistel() again and again until the value is valid: a permutation of the valid values."""
     step = lambda x: feistel(x, kind, key, back)
     turns = F.sequence(F.lit(1), F.lit(WALK))
-    return F.aggregate(turns, step(value), lambda acc, _: F.when(valid(acc), acc).otherwise(step(acc)))
+    found = F.aggregate(turns, step(value), lambda acc, _: F.when(valid(acc), acc).otherwise(step(acc)))
+    return let(found, lambda x: F.when(valid(x), x).otherwise(F.raise_error(F.lit("no valid value within WALK steps")).cast("string")))
 
 
 def _digits(m: Column) -> Column:
