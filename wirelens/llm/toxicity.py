@@ -30,7 +30,6 @@ PREFIXES = range(3, 9)
 PRECISION, MARGIN, LEAST_DOCS = 0.8, 4.0, 4
 #: A hit weighs the logarithm of its term's likelihood ratio, at most this.
 MOST_WEIGHT = 5.0
-MAX_TERMS = 20_000
 #: Misspellings: edits, and the least length of a term that they are allowed for.
 EDITS, LEAST_FUZZY = 1, 5
 #: Characters on either side of a hit that are looked at, and what a quoted or reported hit counts.
@@ -274,14 +273,15 @@ def choose_terms(counted: DataFrame, all_toxic: int, all_clean: int) -> Lexicon:
     marked = counted.where((F.col("feature") != "") & (k >= LEAST_DOCS)).where((precision >= PRECISION) & (nats >= math.log(counted.count()) + MARGIN))
     # of about equal evidence, a whole word before a beginning and a long beginning before a short one
     worth = nats * F.when(F.col("feature").endswith("*"), 1.0).otherwise(1.1)
-    found = marked.select("feature", "toxic", "clean", F.round(worth, 6).alias("worth")).orderBy(F.desc("worth"), F.desc(F.length("feature")), "feature").limit(MAX_TERMS).collect()
-    words, starts = {}, {}
+    found = marked.select("feature", "toxic", "clean", F.round(worth, 6).alias("worth")).orderBy(F.desc("worth"), F.desc(F.length("feature")), "feature").collect()  # no more than words of the bounded training rows
+    words, starts, covering = {}, {}, set()  # covering: the beginnings of all chosen terms
     for r in found:  # the best evidence first; what a beginning or word of better evidence covers is left out
         f, own = r["feature"], r["feature"].removesuffix("*")
         if any(own[:n] in starts for n in range(1, len(own) + 1)):
             continue
-        if f != own and (any(s.startswith(own) for s in starts) or any(w.startswith(own) for w in words)):
+        if f != own and own in covering:
             continue
+        covering.update(own[:n] for n in range(1, len(own) + 1))
         (words if f == own else starts)[own] = weigh(r["toxic"], r["clean"], all_toxic, all_clean)
     return Lexicon(words, starts, misspellings(counted, words, all_toxic, all_clean))
 
@@ -296,7 +296,7 @@ def misspellings(counted: DataFrame, words: dict[str, float], all_toxic: int, al
             yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))], ["term", "clean", "toxic"])
 
     own = counted.where("feature <> '' and feature not like '%*'").mapInArrow(near, "term string, clean bigint, toxic bigint")
-    seen = {r["term"]: r for r in own.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()}  # MAX_TERMS rows at most
+    seen = {r["term"]: r for r in own.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()}  # a row for each term at most
     return {w: p / 2 if w not in seen else max(0.0, min(p, weigh(seen[w]["toxic"], seen[w]["clean"], all_toxic, all_clean))) for w, p in words.items()}
 
 
