@@ -110,7 +110,8 @@ def test_title_pairs_lose_nothing(spark):
     df = spark.createDataFrame(list(enumerate(titles)), "id long, title string")
     ratio = lambda x, y: SequenceMatcher(None, x, y).ratio()
     true = {(i, j) for i in range(len(titles)) for j in range(i + 1, len(titles)) if max(ratio(titles[i], titles[j]), ratio(titles[j], titles[i])) >= 0.75}
-    assert {(r.l_id, r.r_id) for r in title_pairs(df).collect()} == true and true
+    for block in (256, 7):
+        assert {(r.l_id, r.r_id) for r in title_pairs(df, block=block).collect()} == true and true
 
 
 def test_title_ratio_depends_on_order(spark):
