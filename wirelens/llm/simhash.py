@@ -159,28 +159,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
 
 # ---------------------------------------------------------------- by similarity
 
-#: Least shingle hashes of a text that its sketch holds, and those of them whose pairs are keys too.
+#: Least shingle hashes of a text that its sketch holds (the upper half of each), and those whose pairs are keys too.
 SKETCH, LEADERS = 128, 6
-#: In the first pass, buckets up to this size are compared in full; in larger ones each text with its neighbours by
-#: fingerprint and the first. The second pass finds what that leaves out.
-FULL, NEIGHBOURS = 32, 4
+#: Buckets of the second pass up to this size are compared side by side, larger ones in blocks.
+FULL = 32
 SIMILARITY = 0.8
 #: Pairs are compared by whole sets unless their sketches are this far under the similarity: seven standard errors.
 MARGIN = 0.25
-#: Texts that the shingles' frequencies are learnt from, and how many frequent ones are told apart. Only cost depends on it.
-LEARNT_TEXTS, FREQUENT = 5_000, 100_000
+#: The shingles' frequencies are learnt from one text of so many; so many frequent ones, at most, are told apart (16 bytes
+#: each). Only cost depends on it.
+EVERY, FREQUENT = 8, 400_000
 
 TRAITS = "struct<node:bigint,fp:bigint,keys:array<bigint>,sketch:binary>"
 _TRAITS_ARROW = pa.struct([("node", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
 
 def similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two texts' sets of shingles: exact where both have at most SKETCH, else an estimate."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    """An estimate of the Jaccard similarity of two texts' sets of shingles."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
     if not len(x) or not len(y):
         return float(len(x) == len(y))
     union = np.union1d(x, y)
-    if len(x) == SKETCH or len(y) == SKETCH:
+    if len(x) >= SKETCH - 1 or len(y) >= SKETCH - 1:
         union = union[:SKETCH]
     return float(np.isin(union, np.intersect1d(x, y, assume_unique=True), assume_unique=True).mean())
 
@@ -201,30 +201,20 @@ def _traits(n: int) -> Callable:
                 fp, least = fingerprint_of(hashes), whole[:SKETCH]
                 pairs = [int(least[i] * np.uint64(3) ^ least[j]) for i in range(min(LEADERS, len(least))) for j in range(i + (len(least) > 1), min(LEADERS, len(least)))]
                 keys = [signed(k) for k in pairs] + [signed((fp & int(m)) * 31 + k + 1 & (1 << 64) - 1) for k, m in enumerate(tables)]
-                found.append({"node": _node(whole), "fp": fp, "keys": keys, "sketch": least.tobytes()})
+                found.append({"node": _node(whole), "fp": fp, "keys": keys, "sketch": np.unique((least >> np.uint64(32)).astype(np.uint32)).tobytes()})
             yield pa.array(found, _TRAITS_ARROW)
 
     return F.arrow_udf(traits, TRAITS).asNondeterministic()
 
 
 def _pairs(table: pa.Table, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of each bucket every text with the first and with the next by fingerprint: likely links, which join most groups."""
     node, size = table.column("node").to_numpy(), end - start
-    left, right = [], []
-    for step in range(1, FULL):
-        s, e = start[size > step], end[size > step]
-        if not len(s):
-            break
-        if step > NEIGHBOURS:
-            s, e = s[e - s <= FULL], e[e - s <= FULL]
-        counts = e - s - step
-        a = np.repeat(s - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum()) if len(s) else s
-        left.append(a), right.append(a + step)
-    for s, e in zip(start[size > FULL], end[size > FULL], strict=True):
-        right.append(np.arange(s + 1, e)), left.append(np.full(e - s - 1, s))
-    if left:
-        a, b = node[np.concatenate(left)], node[np.concatenate(right)]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
-        yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+    first = np.repeat(start, size)
+    own = np.flatnonzero(np.arange(len(node)) > first)
+    a, b = node[np.r_[first[own], own - 1]], node[np.r_[own, own]]
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
+    yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
 def _sets(n: int) -> Callable:
@@ -250,22 +240,19 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, le
         told = []
         for a, b in zip(x.to_pylist(), y.to_pylist(), strict=True):
             common = len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
-            told.append(common / (len(a) // 8 + len(b) // 8 - common) >= least)
+            union = len(a) // 8 + len(b) // 8 - common
+            told.append(not union or common / union >= least)
         return pa.array(told, pa.bool_())
 
     def both(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
         x, y = (values.withColumnsRenamed({"node": c, name: v}) for c, v in (("a", "x"), ("b", "y")))
         return pairs.join(x, "a").join(y, "b")
 
-    whole = (F.length("x") < 8 * SKETCH) & (F.length("y") < 8 * SKETCH)  # the sketches are the sets
-    sketched = both(pairs, nodes.select("node", "sketch"), "sketch").select("a", "b", estimate("x", "y").alias("near"), whole.alias("whole"))
-    near = materialize(sketched.where(F.col("near") >= F.when(F.col("whole"), least).otherwise(least - MARGIN)).select("a", "b", "whole"), "near")
-    open_ = near.where(~F.col("whole")).select("a", "b")
-    asked = open_.select(F.col("a").alias("node")).union(open_.select(F.col("b").alias("node"))).distinct()
+    near = materialize(both(pairs, nodes.select("node", "sketch"), "sketch").where(estimate("x", "y") >= least - MARGIN).select("a", "b"), "near")
+    asked = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
     rows = docs.join(nodes.join(asked, "node", "left_semi").select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = materialize(rows.select(_sets(shingle)(F.col("text")).alias("t")).select("t.*").dropDuplicates(["node"]), "sets")
-    verified = both(open_, sets, "whole").where(alike("x", "y")).select("a", "b")
-    return materialize(near.where("whole").select("a", "b").unionByName(verified), "alike")
+    return materialize(both(near, sets, "whole").where(alike("x", "y")).select("a", "b"), "alike")
 
 
 def _prefixes(n: int, least: float, shared, sample: int, texts: int) -> Callable:
@@ -343,21 +330,25 @@ def _remaining(docs: DataFrame, nodes: DataFrame, joined: DataFrame, shingle: in
     n - least * n + 1 in any fixed order. Shingles that are frequent in a sample come last, which keeps buckets short.
     """
     spark, n = docs.sparkSession, nodes.count()
-    every = max(1, n // LEARNT_TEXTS)
-    firsts = nodes.select(F.col("first").alias("doc_id")).distinct()
-    sample = docs.join(firsts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0), "doc_id", "left_semi")
+    every = min(EVERY, max(1, n))
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # numbers of the task's texts, so that its copies count once
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                yield pa.record_batch([pa.array(np.unique(shingle_hashes(text, shingle)).view(np.int64))], ["token"])
+                whole = np.unique(shingle_hashes(text, shingle))
+                if (node := _node(whole)) not in seen:
+                    seen.add(node)
+                    yield pa.record_batch([pa.array(whole.view(np.int64))], ["token"])
 
     counted = sample.select("text").mapInArrow(tokens, "token bigint").groupBy("token").agg(F.count(F.lit(1)).alias("times"))
     often = counted.where("times > 2").orderBy(F.desc("times"), "token").limit(FREQUENT).toPandas()
     known, times = often["token"].to_numpy(np.int64).view(np.uint64), often["times"].to_numpy(np.int64)
     order = np.argsort(known)
     shared = spark.sparkContext.broadcast((known[order], times[order]))
-    dealt = docs.join(firsts, "doc_id", "left_semi").select(_prefixes(shingle, least, shared, -(-n // every), n)(F.col("text")).alias("t")).select("t.*")
+    # copies go where their node's group is joined: texts themselves are never shuffled
+    dealt = docs.select(_prefixes(shingle, least, shared, -(-n // every), n)(F.col("text")).alias("t")).select("t.*").groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "keys", "traits")])
     rooted = dealt.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", F.explode(F.arrays_zip("keys", "traits")).alias("k"))
     rows = rooted.select(F.col("k.keys").alias("bucket"), "node", "root", "size", F.col("k.traits").alias("trait"))
     return materialize(grouped_runs(rows, "bucket", ["size", "node"], _possible(least), "a bigint, b bigint").distinct(), "remaining")
@@ -372,7 +363,7 @@ def representatives(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY
     are one group. Null ids are left out.
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    found = materialize(docs.select("doc_id", _traits(shingle)(F.col("text")).alias("t")).select("doc_id", "t.*"), "traits")
+    found = docs.select("doc_id", _traits(shingle)(F.col("text")).alias("t")).select("doc_id", "t.*")
     nodes = materialize(found.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")), "texts")
     dealt = nodes.select("node", "fp", F.explode("keys").alias("bucket"))
     pairs = materialize(grouped_runs(dealt, "bucket", ["fp", "node"], _pairs, "a bigint, b bigint").distinct(), "pairs")
