@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from wirelens.llm.chat import format_chats
 from wirelens.llm.common import materialize
 from wirelens.llm.decontamination import contamination
+from wirelens.llm.fingerprints import compare_with_edits
 from wirelens.llm.packing import pack_documents
+from wirelens.llm.phrases import collocations
 from wirelens.llm.pseudonyms import pseudonymized
 from wirelens.llm.repeats import remove_repeats
+from wirelens.llm.search import ranked
 from wirelens.llm.simhash import near_duplicates
 from wirelens.llm.toxicity import toxicity
 from wirelens.llm.url_filter import Rule, host_of, judge_urls
@@ -170,5 +173,58 @@ def op1_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op1_chat_repair": op1_chat_repair, "op7_repeats": op7_repeats, "op8_pseudonyms": op8_pseudonyms, "op2_toxicity": op2_toxicity, "op10_pivot_index": op10_pivot_index, "op4_warc": op4_warc, "op3_simhash": op3_simhash, "op5_packing": op5_packing, "op9_decontamination": op9_decontamination, "op6_url_cascade": op6_url_cascade}
-ORACLES = {"op10_pivot_index": OP10_SQL, "op4_warc": OP4_SQL, "op9_decontamination": OP9_SQL, "op6_url_cascade": OP6_SQL}
+# ---------------------------------------------------------------- op11
+
+
+def op11_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+own AS (SELECT * FROM d WHERE len(w) > 0),
+g AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM own),
+i AS (SELECT DISTINCT item_id, text FROM benchmark),
+q AS (SELECT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM i),
+qt AS (SELECT item_id, text, t, count(*) AS times FROM q GROUP BY ALL),
+p AS (SELECT row, doc_id, n, t, count(*) AS tf FROM (SELECT row, doc_id, len(w) AS n, unnest(w) AS t FROM own) WHERE t IN (SELECT t FROM qt) GROUP BY ALL),
+wt AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight FROM (SELECT t, count(*) AS df FROM p GROUP BY t), g),
+s AS (SELECT item_id, text, row, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score FROM p JOIN wt USING (t) JOIN qt USING (t), g GROUP BY item_id, text, row, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+# ---------------------------------------------------------------- op12
+
+
+def op12_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- op13
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(w[s:s + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+k AS (SELECT lang, m, phrase, a, k, array_to_string(w[:k], ' ') AS left_part, array_to_string(w[k + 1:], ' ') AS right_part FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (SELECT k.lang, k.phrase, k.a, x.a AS l, y.a AS r, n, k, CAST((CAST(1000 AS HUGEINT) * k.a * n) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = k.left_part JOIN f y ON y.lang = k.lang AND y.phrase = k.right_part JOIN n ON n.lang = k.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT DISTINCT o.lang, array_to_string(o.w[o.s:o.s + o.z - 1], ' ') AS phrase, o.a FROM (SELECT lang, w, a, z, unnest(range(1, m - z + 2)) AS s FROM c, (SELECT unnest(range(2, 5)) AS z) WHERE z < m) o),
+x AS (SELECT lang, phrase, max(a) AS a FROM i GROUP BY ALL),
+t AS (SELECT b.* FROM b LEFT JOIN x ON x.lang = b.lang AND x.phrase = b.phrase WHERE x.a IS NULL OR 100 * x.a < 100 * b.a),
+r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM t)
+SELECT * FROM r WHERE rank <= 2000
+"""
+
+QUERIES = {"op11_maxscore": op11_maxscore, "op12_bottom_k": op12_bottom_k, "op13_collocations": op13_collocations, "op1_chat_repair": op1_chat_repair, "op7_repeats": op7_repeats, "op8_pseudonyms": op8_pseudonyms, "op2_toxicity": op2_toxicity, "op10_pivot_index": op10_pivot_index, "op4_warc": op4_warc, "op3_simhash": op3_simhash, "op5_packing": op5_packing, "op9_decontamination": op9_decontamination, "op6_url_cascade": op6_url_cascade}
+ORACLES = {"op10_pivot_index": OP10_SQL, "op4_warc": OP4_SQL, "op9_decontamination": OP9_SQL, "op6_url_cascade": OP6_SQL, "op11_maxscore": OP11_SQL, "op13_collocations": OP13_SQL}
