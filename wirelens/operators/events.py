@@ -1,10 +1,11 @@
-"""Event fingerprints, their comparison, and duplicates among items and against a history."""
+"""Event fingerprints and their comparison, similar titles, and what a history keeps."""
 
 from __future__ import annotations
 
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,8 +14,7 @@ from pyspark.sql import types as T
 
 from wirelens.functions.storage import materialize
 from wirelens.functions.rulepacks import RulePack
-from wirelens.functions.text import extract_all, first_present, fold, normalize_title, once, sorted_set, stem
-from wirelens.operators.graph import components
+from wirelens.functions.text import extract_all, first_present, fold, once, sorted_set, stem
 
 #: How much text and time is compared, and the thresholds.
 TEXT_LIMIT, LEAD_LIMIT = 1600, 300
@@ -23,6 +23,9 @@ SHARED, OVERLAP, DENSE_SHARED, JACCARD, LEAD_SHARED = 5, 0.45, 7, 0.20, 7
 TITLE = 0.75
 #: Titles in a block.
 TITLE_BLOCK = 256
+#: Classes of characters by which titles are compared before their letters are aligned.
+LETTERS = 61
+PAIR = "l_id long, r_id long, forward boolean, backward boolean"
 
 FINGERPRINT = T.StructType([T.StructField(n, T.ArrayType(T.StringType())) for n in ("topics", "tokens", "locations", "lead_tokens", "local_locations")])
 
@@ -118,29 +121,6 @@ def compare(a: Column, b: Column, a_at: Column, b_at: Column, lead_noise: tuple[
     )
 
 
-def _bucket(at: Column) -> Column:
-    return F.floor(F.unix_timestamp(at) / WINDOW_SECONDS)
-
-
-def near_in_time(left: DataFrame, right: DataFrame, keys: str = "topic") -> DataFrame:
-    """Pairs of rows of left (l_*) and right (r_*) with an equal key that are within the window: an equi-join on key and
-    time bucket, of which the right side is put into its neighbours too; the exact bound is left to the caller."""
-    far = right.withColumn("bucket", F.explode(F.array(F.col("r_bucket") - 1, F.col("r_bucket"), F.col("r_bucket") + 1)))
-    return left.withColumn("bucket", F.col("l_bucket")).join(far, [keys, "bucket"])
-
-
-def _side(items: DataFrame, prefix: str, id_: str) -> DataFrame:
-    own = items.where(F.col("published_at").isNotNull()).select(F.col(id_).alias(f"{prefix}_id"), F.col("published_at").alias(f"{prefix}_at"), F.col("event_fingerprint").alias(f"{prefix}_print"))
-    return own.withColumn(f"{prefix}_bucket", _bucket(F.col(f"{prefix}_at"))).withColumn("topic", F.explode(f"{prefix}_print.topics"))
-
-
-def event_pairs(left: DataFrame, right: DataFrame, lead_noise: tuple[str, ...] = (), left_id: str = "ordinal", right_id: str = "ordinal") -> DataFrame:
-    """l_id, r_id and details of all pairs of the two inputs that tell of one event; no pair twice, no cross join."""
-    pairs = near_in_time(_side(left, "l", left_id), _side(right, "r", right_id)).dropDuplicates(["l_id", "r_id"])
-    compared = pairs.withColumn("details", compare(F.col("l_print"), F.col("r_print"), F.col("l_at"), F.col("r_at"), lead_noise))
-    return compared.where("details.is_duplicate").select("l_id", "r_id", "details")
-
-
 def longest_common(masks: dict[str, int], n: int, text: str) -> int:
     """Length of the longest common subsequence of text and another text of n characters, given as masks: each character's
     places as bits. Row by row of the table, a row's steps being the zeros of one number."""
@@ -151,36 +131,63 @@ def longest_common(masks: dict[str, int], n: int, text: str) -> int:
     return n - row.bit_count()
 
 
-def alike_titles(left: list[tuple[int, str]], right: list[tuple[int, str]], least: float) -> list[tuple[int, int]]:
-    """Ids (the lesser first) of titles of left and right with a ratio of at least least in either order.
+def alike_titles(left: list[tuple[int, str]], right: list[tuple[int, str]], least: float, once: bool = False) -> list[tuple[int, int, bool, bool]]:
+    """Ids (the lesser first) of titles of left and right with a ratio of at least least in either order, and in which:
+    the lesser first, the lesser second. once: left and right are the same, and each pair is compared once.
 
     Matching blocks are a common subsequence, so the ratio itself is only taken where the longest one is long enough.
     """
     found = []
-    for b_id, b in right:
+    near = may_be_alike([t for _, t in left], [t for _, t in right], least)
+    if once:
+        near &= np.array([i for i, _ in left])[:, None] < np.array([i for i, _ in right])[None, :]
+    for j, (b_id, b) in enumerate(right):
+        own = np.flatnonzero(near[:, j])
         masks: dict[str, int] = {}
-        for k, c in enumerate(b):
+        for k, c in enumerate(b if len(own) else ""):
             masks[c] = masks.get(c, 0) | 1 << k
-        for a_id, a in left:
-            whole = len(a) + len(b)
-            if 2 * min(len(a), len(b)) < least * whole or a_id == b_id or 2 * longest_common(masks, len(b), a) < least * whole:
+        for a_id, a in (left[i] for i in own):
+            if a_id == b_id or 2 * longest_common(masks, len(b), a) < least * (len(a) + len(b)):
                 continue
-            if max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= least:
-                found.append((min(a_id, b_id), max(a_id, b_id)))
+            first, second = SequenceMatcher(None, a, b).ratio() >= least, SequenceMatcher(None, b, a).ratio() >= least
+            if first or second:
+                found.append((a_id, b_id, first, second) if a_id < b_id else (b_id, a_id, second, first))
     return found
 
 
+def letter_counts(titles: list[str]) -> np.ndarray:
+    """How often each title has the characters of each of LETTERS classes."""
+    out = np.zeros((len(titles), LETTERS), np.int32)
+    for i, t in enumerate(titles):
+        out[i] = np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) % LETTERS, minlength=LETTERS)
+    return out
+
+
+def may_be_alike(left: list[str], right: list[str], least: float) -> np.ndarray:
+    """Which pairs can have the ratio: what two titles match is at most what their counts of characters share, so these
+    differ by at most 1 - least of both lengths together."""
+    a, b = letter_counts(left), letter_counts(right)
+    lengths = np.array([len(t) for t in left])[:, None] + np.array([len(t) for t in right])[None, :]
+    apart = np.zeros(lengths.shape, np.int32)
+    for k in range(LETTERS):
+        apart += np.abs(a[:, k][:, None] - b[:, k][None, :])
+    return apart <= (1 - least) * lengths + 1e-6
+
+
 def title_pairs(titles: DataFrame, least: float = TITLE, block: int = TITLE_BLOCK) -> DataFrame:
-    """l_id and r_id of titles (id, title; distinct normalized ones) with a ratio of at least least in either order.
+    """l_id and r_id of titles (id, title; distinct normalized ones) with a ratio of at least least in either order, and
+    whether l compared with r (forward) and r with l (backward) have it.
 
     No match is lost: titles are numbered by length and cut into blocks of about block titles, and each block meets those
     blocks whose lengths the ratio allows. No task holds more than two blocks, however many titles have one length.
     """
     spark = titles.sparkSession
+    if least >= 1:  # only equal titles have that ratio
+        return spark.createDataFrame([], PAIR)
     sized = materialize(titles.where("title is not null").select("id", "title", F.length("title").cast("long").alias("n")), "titles")
     longest = sized.agg(F.max("n")).first()[0]
     if longest is None:
-        return spark.createDataFrame([], "l_id long, r_id long")
+        return spark.createDataFrame([], PAIR)
     far = (2 - least) / least  # how many times as long a partner can be
     # a row for each length up to the longest title's longest partner, with how many titles are no longer
     lengths = spark.range(int(longest * far) + 2).withColumnRenamed("id", "n").join(sized.groupBy("n").agg(F.count(F.lit(1)).alias("own")), "n", "left")
@@ -197,81 +204,10 @@ def title_pairs(titles: DataFrame, least: float = TITLE, block: int = TITLE_BLOC
         side = lambda k: list(rows.loc[rows["part"] == rows[k].iloc[0], ["id", "title"]].itertuples(index=False, name=None))
         left, right = side("low"), side("high")
         if rows["low"].iloc[0] != rows["high"].iloc[0]:
-            return pd.DataFrame(alike_titles(left, right, least), columns=["l_id", "r_id"])
-        return pd.DataFrame([p for k, x in enumerate(right) for p in alike_titles(left[:k], [x], least)], columns=["l_id", "r_id"])
-
-    return dealt.groupBy("low", "high").applyInPandas(compare, "l_id long, r_id long")
-
-
-def _better(old: dict, new: dict) -> bool:
-    """Whether the newcomer is preferred: by score, then by text, picture and length of text."""
-    quality = lambda x: (x["score"] or 0, bool(x["article_text"]), bool(x["image_url"]), len(x["article_text"] or ""))
-    return quality(new) > quality(old) if (old["score"] or 0) == (new["score"] or 0) else (new["score"] or 0) > (old["score"] or 0)
-
-
-def _titles_match(new: dict, old: dict) -> bool:
-    if SequenceMatcher(None, new["norm"], old["norm"]).ratio() < TITLE:
-        return False
-    a, b = set(new["places"]), set(old["places"])
-    return not (a and b and a.isdisjoint(b))
-
-
-def fold_component(rows: list[dict], duplicates: set[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(slot, ordinal) of what remains of one component, visited in order; duplicates: pairs that tell of one event."""
-    kept: list[dict] = []
-    slots: list[int] = []
-    urls: set[str] = set()
-    for new in sorted(rows, key=lambda r: r["ordinal"]):
-        if new["url"] in urls:
-            continue
-        for i, old in enumerate(kept):
-            if _titles_match(new, old):
-                break
-            if (min(new["ordinal"], old["ordinal"]), max(new["ordinal"], old["ordinal"])) in duplicates:
-                if _better(old, new):
-                    kept[i] = new
-                urls.add(new["url"])
-                break
-        else:
-            kept.append(new), slots.append(new["ordinal"]), urls.add(new["url"])
-    return [(s, r["ordinal"]) for s, r in zip(slots, kept, strict=True)]
-
-
-def remove_duplicates(items: DataFrame, pack: RulePack) -> DataFrame:
-    """What remains of items (unique ordinal, event_fingerprint, title, url, score, ...) in their order, with the
-    slot_ordinal each one stands at.
-
-    Same url, similar title and same event are links; items that no links connect never meet. So the ordered scan,
-    which compares each item with what remains so far and may put the better of two in the other's place, runs inside
-    each connected component, and components run in parallel. Fingerprints of pairs are compared beforehand.
-    """
-    items = items.transform(materialize)  # read several times below; fingerprints are made once
-    slim = items.select("ordinal", "url", "score", "article_text", "image_url", normalize_title(F.col("title")).alias("norm"), locations(F.coalesce("title", F.lit("")), pack).alias("places"))
-    first = lambda key: slim.join(slim.groupBy(key).agg(F.min("ordinal").alias("a")), key).select("a", F.col("ordinal").alias("b"))
-    events = event_pairs(items, items, pack.lead_noise).where("l_id < r_id").select("l_id", "r_id").transform(materialize)
-    titles = slim.groupBy("norm").agg(F.min("ordinal").alias("id")).withColumnRenamed("norm", "title")
-    similar = title_pairs(titles).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
-    links = first("url").unionByName(first("norm")).unionByName(similar).unionByName(events.select(F.col("l_id").alias("a"), F.col("r_id").alias("b")))
-    roots = components(links.select(F.col("a").cast("long"), F.col("b").cast("long")))
-    placed = slim.join(roots, F.col("ordinal") == F.col("node"), "left").withColumn("component", F.coalesce("root", F.col("ordinal").cast("long"))).drop("node", "root")
-    own = events.join(placed.select(F.col("ordinal").alias("l_id"), "component"), "l_id").transform(materialize)
-
-    def scan(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        known = set(zip(pairs["l_id"], pairs["r_id"], strict=True))
-        return pd.DataFrame(fold_component(rows.to_dict("records"), known), columns=["slot_ordinal", "ordinal"])
-
-    kept = placed.groupBy("component").cogroup(own.groupBy("component")).applyInPandas(scan, "slot_ordinal long, ordinal long")
-    return items.join(kept, "ordinal")
-
-
-def unpublished(items: DataFrame, history: DataFrame, lead_noise: tuple[str, ...] = ()) -> DataFrame:
-    """Items whose url is not in the history and whose event isn't either. history: url, published_at (text or
-    timestamp), event_fingerprint (null for old rows, which only their url can match)."""
-    items, history = items.transform(materialize), history.transform(materialize)
-    at = F.col("published_at") if dict(history.dtypes)["published_at"] == "timestamp" else F.col("published_at").try_cast("timestamp")
-    old = history.where(F.col("event_fingerprint").isNotNull()).select(F.monotonically_increasing_id().alias("h"), at.alias("published_at"), "event_fingerprint")
-    told = event_pairs(items, old, lead_noise, right_id="h").select(F.col("l_id").alias("ordinal")).distinct()
-    return items.join(history.select("url").distinct(), "url", "left_anti").join(told, "ordinal", "left_anti")
+            return pd.DataFrame(alike_titles(left, right, least), columns=["l_id", "r_id", "forward", "backward"])
+        return pd.DataFrame(alike_titles(left, right, least, once=True), columns=["l_id", "r_id", "forward", "backward"])
+
+    return dealt.groupBy("low", "high").applyInPandas(compare, PAIR)
 
 
 def history_rows(items: DataFrame) -> DataFrame:
