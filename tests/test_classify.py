@@ -78,7 +78,7 @@ POLICY = [
     ("Политик раскрыл отношения с убитым лидером страны", "", "political_commentary"),
     ("Канцлер прокомментировал визит: убийца возвращается на место преступления", "", "political_rhetoric"),
     ("МИД выразил протест в связи с убийством туриста", "", "diplomatic_reaction"),
-    ("Морпех убил женщину; МИД выразил протест из-за убийства", "", None),
+    ("Водитель убил попутчика; МИД выразил протест в связи с убийством", "", None),
     ("На базе ввели запрет на выход военных после убийства женщины", "", "military_crime_response"),
     ("Почти все пленницы подверглись изнасилованию, заявил министр", "", "aggregate_political_statement"),
     ("Убийство в центре: главные новости 5 мая", "Что произошло за сутки. Убит мужчина.", "news_roundup"),
@@ -101,7 +101,7 @@ POLICY = [
     ("Убийство мужчины, 1978 года рождения", "", None),
     ("Раскрыто убийство 2026 года", "", None),
     ("Раскрыто убийство двадцатилетней давности", "", "stale_event"),
-    ("Убийцу арестовали спустя полтора года", "", "stale_event"),
+    ("Убийцу сторожа нашли спустя полтора года", "", "stale_event"),
     ("Женщина убита 5 мая прошлого года", "", "stale_event"),
 ]
 

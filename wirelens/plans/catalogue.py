@@ -13,7 +13,7 @@ from wirelens.functions.dates import event_date_label, publication_date, rfc822
 from wirelens.functions.rulepacks import SYNTHETIC as PACK
 from wirelens.operators import classify as cl
 from wirelens.operators import events as ev
-from wirelens.operators import feed, intake
+from wirelens.operators import duplicates, feed, intake, pairs
 from wirelens.operators.render import render, tags, truncate, usable_image
 
 NOW = "2024-01-31 00:00:00"
@@ -262,7 +262,7 @@ def location_tokens(spark, sf_dir):
 
 
 def printed(spark, sf_dir) -> DataFrame:
-    items = cl.add_score(cl.classify(news(spark, sf_dir), PACK), PACK).withColumns({"article_text": F.lit(None).cast("string"), "image_url": F.lit(None).cast("string")})
+    items = classified(spark, sf_dir).withColumns({"article_text": F.lit(None).cast("string"), "image_url": F.lit(None).cast("string")})
     return ev.fingerprint(items, PACK)
 
 
@@ -286,23 +286,23 @@ SELECT l_id, r_id, CAST(n AS INTEGER) AS shared, round(n / least(x, y), 6) AS ov
 WHERE n >= 5 AND n / least(x, y) >= 0.45 AND (placed OR (n >= 7 AND n / (x + y - n) >= 0.20))"""
 )
 def event_pairs_blocked(spark, sf_dir):
-    """Pairs of one event within 36 hours by family and time bucket."""
+    """Pairs of one event within 36 hours by rare tokens in family and time bucket."""
     p = printed(spark, sf_dir).select("ordinal", "published_at", "event_fingerprint").transform(materialize)
-    pairs = ev.event_pairs(p, p).where("l_id < r_id")
-    return pairs.select("l_id", "r_id", F.size("details.shared_tokens").alias("shared"), F.round("details.token_overlap", 6).alias("overlap"), F.round("details.token_jaccard", 6).alias("jaccard"))
+    found = pairs.event_pairs(p, p).where("l_id < r_id")
+    return found.select("l_id", "r_id", F.size("details.shared_tokens").alias("shared"), F.round("details.token_overlap", 6).alias("overlap"), F.round("details.token_jaccard", 6).alias("jaccard"))
 
 
 @query("SELECT a.o_orderkey AS first_key, b.o_orderkey AS second_key FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND abs(epoch(a.o_orderdate) - epoch(b.o_orderdate)) <= 129600")
 def interval_pairs_36h(spark, sf_dir):
     side = lambda p: table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("topic"), F.col("o_orderkey").alias(f"{p}_id"), F.unix_timestamp("o_orderdate").alias(f"{p}_at"), F.floor(F.unix_timestamp("o_orderdate") / 129600).alias(f"{p}_bucket"))
-    near = ev.near_in_time(side("l"), side("r")).where((F.col("l_id") < F.col("r_id")) & (F.abs(F.col("l_at") - F.col("r_at")) <= 129600))
+    near = pairs.near_in_time(side("l"), side("r")).where((F.col("l_id") < F.col("r_id")) & (F.abs(F.col("l_at") - F.col("r_at")) <= 129600))
     return near.select(F.col("l_id").alias("first_key"), F.col("r_id").alias("second_key"))
 
 
 @query()
 def greedy_dedup(spark, sf_dir):
     """What remains of admitted items after url, title and event duplicates (2.10)."""
-    kept = ev.remove_duplicates(printed(spark, sf_dir).where("admitted"), PACK)
+    kept = duplicates.remove_duplicates(printed(spark, sf_dir).where("admitted"), PACK)
     return kept.select("ordinal", "slot_ordinal", "score")
 
 
@@ -516,4 +516,4 @@ def article_paragraphs(spark, sf_dir):
 def title_similarity_pairs(spark, sf_dir):
     """Pairs of documents' titles that are alike (A7); a title that several have stands for the least of them."""
     rows = news(spark, sf_dir).select("ordinal", tx.normalize_title(F.col("title")).alias("title"))
-    return ev.title_pairs(rows.groupBy("title").agg(F.min("ordinal").alias("id")))
+    return ev.title_pairs(rows.groupBy("title").agg(F.min("ordinal").alias("id"))).select("l_id", "r_id")

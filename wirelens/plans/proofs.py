@@ -16,7 +16,7 @@ from wirelens.functions.rulepacks import RUSSIAN
 from wirelens.functions.storage import materialize, new_path
 from wirelens.operators import classify as cl
 from wirelens.operators import events as ev
-from wirelens.operators import feed, intake, policy
+from wirelens.operators import feed, intake, pairs, policy
 from wirelens.operators.render import spaced
 from wirelens.plans.catalogue import PRINTED, printed, query, table
 from wirelens.sources import feeds, sinks
@@ -48,7 +48,7 @@ POLICY = [
     ("Политик раскрыл отношения с убитым лидером страны", "", "political_commentary"),
     ("Канцлер прокомментировал визит: убийца возвращается на место преступления", "", "political_rhetoric"),
     ("МИД выразил протест в связи с убийством туриста", "", "diplomatic_reaction"),
-    ("Морпех убил женщину; МИД выразил протест из-за убийства", "", None),
+    ("Водитель убил попутчика; МИД выразил протест в связи с убийством", "", None),
     ("На базе ввели запрет на выход военных после убийства женщины", "", "military_crime_response"),
     ("Почти все пленницы подверглись изнасилованию, заявил министр", "", "aggregate_political_statement"),
     ("Убийство в центре: главные новости 5 мая", "Что произошло за сутки. Убит мужчина.", "news_roundup"),
@@ -71,7 +71,7 @@ POLICY = [
     ("Убийство мужчины, 1978 года рождения", "", None),
     ("Раскрыто убийство 2026 года", "", None),
     ("Раскрыто убийство двадцатилетней давности", "", "stale_event"),
-    ("Убийцу арестовали спустя полтора года", "", "stale_event"),
+    ("Убийцу сторожа нашли спустя полтора года", "", "stale_event"),
     ("Женщина убита 5 мая прошлого года", "", "stale_event"),
 ]
 
@@ -252,7 +252,7 @@ def unpublished_urls(spark, sf_dir):
     """Items that a history without fingerprints does not know by url."""
     items = printed(spark, sf_dir)
     past = items.where("ordinal % 3 = 0").select("url", "published_at", F.lit(None).cast(ev.FINGERPRINT).alias("event_fingerprint"))
-    return ev.unpublished(items, past).select("ordinal")
+    return pairs.unpublished(items, past).select("ordinal")
 
 
 _DUPLICATE = """len(list_intersect(a.topics, b.topics)) > 0 AND abs(epoch(a.published_at) - epoch(b.published_at)) <= 129600 AND least(len(a.tokens), len(b.tokens)) > 0
@@ -265,7 +265,7 @@ def unpublished_events(spark, sf_dir):
     """Items whose event a history of other urls does not tell."""
     items = printed(spark, sf_dir)
     past = ev.history_rows(items.where("ordinal % 2 = 1"))
-    return ev.unpublished(items.where("ordinal % 2 = 0"), past, ()).select("ordinal")
+    return pairs.unpublished(items.where("ordinal % 2 = 0"), past, ()).select("ordinal")
 
 
 _SCAN = 60

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.functions.storage import materialize
 from wirelens.operators.events import history_rows
 from wirelens.operators.feed import sitemap_rows
 
@@ -19,8 +20,24 @@ def append_history(items: DataFrame, path: str) -> None:
 
 
 def rewrite_history(rows: DataFrame, path: str) -> None:
-    """Put these rows in the place of a history, which they may have been read from."""
-    materialize(rows, "history").write.mode("overwrite").json(path)
+    """Put these rows in the place of a history, which they may have been read from.
+
+    Rows are written beside the history, which is then moved away and replaced: until then it stays as it was, and a
+    failure between the two moves leaves it under `<path>.before`. Where readers must never meet that gap, keep the
+    history as a VersionedTable.
+    """
+    spark = rows.sparkSession
+    whole, aside, before = path.rstrip("/"), f"{path.rstrip('/')}.next-{uuid.uuid4().hex}", f"{path.rstrip('/')}.before"
+    rows.write.json(aside)
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    files = at(whole).getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(at(whole)):
+        files.delete(at(before), True)
+        if not files.rename(at(whole), at(before)):
+            raise OSError(f"{whole} cannot be moved")
+    if not files.rename(at(aside), at(whole)):
+        raise OSError(f"{aside} cannot be moved to {whole}")
+    files.delete(at(before), True)
 
 
 def quoted(value: Column) -> Column:

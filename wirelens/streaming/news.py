@@ -34,6 +34,26 @@ def counts_by_window(items: DataFrame, width: str = "1 hour", slide: str | None
     return grouped.agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "source", "n")
 
 
+def sessions(items: DataFrame, gap: str = "30 minutes", at: str = "published_at", key: str = "source") -> DataFrame:
+    """start, end, key and n: runs of a key's items that lie less than gap apart. Of a stream, a session is given out when
+    the watermark has passed its end; state is that of open sessions."""
+    grouped = items.groupBy(F.session_window(at, gap).alias("w"), key)
+    return grouped.agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
+
+
+def near_published(items: DataFrame, published: DataFrame, key: str, at: str = "published_at", lookback: str = "3 days", hours: int = 36) -> DataFrame:
+    """Items with those published rows of an equal key that lie within so many hours, as columns of a prefix `old_`.
+
+    Both may be streams: both get watermarks, and the bound on time lets either side's rows go when none can match.
+    """
+    old = published.select(*[F.col(c).alias(f"old_{c}") for c in published.columns])
+    if items.isStreaming:
+        items, old = items.withWatermark(at, lookback), old.withWatermark(f"old_{at}", lookback)
+    span = F.expr(f"INTERVAL {hours} HOURS")
+    near = (F.col(key) == F.col(f"old_{key}")) & (F.col(f"old_{at}") >= F.col(at) - span) & (F.col(f"old_{at}") <= F.col(at) + span)
+    return items.join(old, near)
+
+
 def append_history(items: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Append rows to a history of Parquet files, each exactly once: the checkpoint holds what is done."""
     writer = items.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
