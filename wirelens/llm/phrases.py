@@ -13,7 +13,7 @@ All is by language: buckets are of the language and the words.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import count
 from operator import itemgetter
@@ -33,6 +33,8 @@ LONGEST, LEAST, SCALE, TOP = 5, 100, 1000, 2000
 INSIDE = 100
 #: Text (characters) that is tokenized, and compiled into one automaton, at a time.
 CHUNK = 4 << 20
+#: Phrases that a task adds up over its chunks before it passes them on.
+SUMMED = 400_000
 #: Parts in which a language's best are looked for before they are ranked.
 SALT = 64
 UNKNOWN = "und"
@@ -160,14 +162,27 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     runs = context.broadcast(bitmaps.reached(texts.mapInArrow(of_runs, bitmaps.SLICES), runs_width, least))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, Counter] = defaultdict(Counter)
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            for lang, own in sums.items():
+                yield pa.record_batch([pa.array([lang] * len(own), pa.string()), pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())], ["lang", "phrase", "f"])
+            sums.clear()
+
         for lang, own in chunks(batches):
             chunk = Words(lang, own)
             often = bitmaps.has(words.value, chunk.buckets(words_width))
             found, covered = candidates(chunk, often, runs.value)
-            times = count_matches(chunk, found, covered) if found else np.zeros(0, np.int64)
-            single = np.flatnonzero(often & (chunk.times > 0))
-            phrases = [*found, *[chunk.distinct[i].decode() for i in single.tolist()], ""]
-            yield pa.record_batch([pa.array([lang] * len(phrases)), pa.array(phrases), pa.array(np.r_[times, chunk.times[single], chunk.times.sum()])], ["lang", "phrase", "f"])
+            single = np.flatnonzero(often & (chunk.times > 0)).tolist()
+            total = sums[lang]
+            for phrase, n in zip(found, count_matches(chunk, found, covered).tolist() if found else (), strict=True):
+                total[phrase] += n
+            for i in single:
+                total[chunk.distinct[i].decode()] += int(chunk.times[i])
+            total[""] += int(chunk.times.sum())
+            if sum(map(len, sums.values())) > SUMMED:
+                yield from summed()
+        yield from summed()
 
     counted = texts.mapInArrow(scan, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     return materialize(counted.where((F.col("f") >= least) | (F.col("phrase") == "")), "phrases")
