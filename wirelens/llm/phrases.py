@@ -13,7 +13,7 @@ All is by language: buckets are of the language and the words.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
 from operator import itemgetter
@@ -35,6 +35,8 @@ INSIDE = 100
 CHUNK = 4 << 20
 #: Phrases that a task adds up over its chunks before it passes them on.
 SUMMED = 400_000
+#: Parts into which phrases are dealt to be summed: this many, or one for so many bytes of text in large corpora.
+PARTS, PART_BYTES = 256, 16 << 20
 #: Parts in which a language's best are looked for before they are ranked.
 SALT = 64
 UNKNOWN = "und"
@@ -133,6 +135,43 @@ def count_matches(chunk: Words, found: list[str], covered: np.ndarray) -> np.nda
     return np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int64), minlength=len(found))
 
 
+DEALT = "part int, lang array<string>, phrase array<string>, f array<bigint>"
+
+
+def _dealt(sums: dict[tuple[str, str], int], parts: int) -> Iterator[pa.RecordBatch]:
+    """A task's sums, by parts of the phrases' hashes: a row for each part, so that no phrase is a row of its own."""
+    by_part: dict[int, list[tuple[str, str, int]]] = defaultdict(list)
+    for (lang, phrase), n in sums.items():
+        by_part[xxhash.xxh64_intdigest(phrase) % parts].append((lang, phrase, n))
+    for part, own in by_part.items():
+        lists = [pa.array([list(c)], t) for c, t in zip(zip(*own, strict=True), (pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64())), strict=True)]
+        yield pa.record_batch([pa.array([part], pa.int32()), *lists], ["part", "lang", "phrase", "f"])
+
+
+def _summed(least: int):
+    """Rows sorted by part to sums of at least least, and the number of words of each language. Memory holds a part."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, sums = None, defaultdict(int)
+
+        def told() -> pa.RecordBatch:
+            kept = [(lang, phrase, n) for (lang, phrase), n in sums.items() if n >= least or not phrase]
+            columns = list(zip(*kept, strict=True)) or [()] * 3
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "phrase", "f"])
+
+        for batch in batches:
+            for k, langs, phrases, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if k != part:
+                    yield told()
+                    part = k
+                    sums.clear()
+                for lang, phrase, n in zip(langs, phrases, counts, strict=True):
+                    sums[lang, phrase] += n
+        yield told()
+
+    return add
+
+
 def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """lang, phrase and f: every word and run of up to LONGEST words that occurs at least least times in a language, and
     under an empty phrase the language's number of words; written. docs: lang, text."""
@@ -142,6 +181,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     # a bucket holds a third of the least count on average, if words have six bytes
     words_width, runs_width = bitmaps.width_for(size / 6 * 3 / least), bitmaps.width_for(size / 6 * (LONGEST - 1) * 3 / least)
 
+    parts = max(PARTS, size // PART_BYTES)
+
     def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = bitmaps.Counts(words_width, least)
         for lang, own in chunks(batches):
@@ -162,30 +203,23 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     runs = context.broadcast(bitmaps.reached(texts.mapInArrow(of_runs, bitmaps.SLICES), runs_width, least))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, Counter] = defaultdict(Counter)
-
-        def summed() -> Iterator[pa.RecordBatch]:
-            for lang, own in sums.items():
-                yield pa.record_batch([pa.array([lang] * len(own), pa.string()), pa.array(own.keys(), pa.string()), pa.array(own.values(), pa.int64())], ["lang", "phrase", "f"])
-            sums.clear()
-
+        sums: dict[tuple[str, str], int] = defaultdict(int)
         for lang, own in chunks(batches):
             chunk = Words(lang, own)
             often = bitmaps.has(words.value, chunk.buckets(words_width))
             found, covered = candidates(chunk, often, runs.value)
-            single = np.flatnonzero(often & (chunk.times > 0)).tolist()
-            total = sums[lang]
             for phrase, n in zip(found, count_matches(chunk, found, covered).tolist() if found else (), strict=True):
-                total[phrase] += n
-            for i in single:
-                total[chunk.distinct[i].decode()] += int(chunk.times[i])
-            total[""] += int(chunk.times.sum())
-            if sum(map(len, sums.values())) > SUMMED:
-                yield from summed()
-        yield from summed()
-
-    counted = texts.mapInArrow(scan, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    return materialize(counted.where((F.col("f") >= least) | (F.col("phrase") == "")), "phrases")
+                sums[lang, phrase] += n
+            for i in np.flatnonzero(often & (chunk.times > 0)).tolist():
+                sums[lang, chunk.distinct[i].decode()] += int(chunk.times[i])
+            sums[lang, ""] += int(chunk.times.sum())
+            if len(sums) > SUMMED:
+                yield from _dealt(sums, parts)
+                sums.clear()
+        yield from _dealt(sums, parts)
+
+    counted = texts.mapInArrow(scan, DEALT).repartition("part").sortWithinPartitions("part").mapInArrow(_summed(least), "lang string, phrase string, f bigint")
+    return materialize(counted, "phrases")
 
 
 def _whole(c: Column) -> Column:
