@@ -2,7 +2,8 @@
 
 Each stage takes the session, the documents that the stage before it kept, and the folder of tables; it is written as
 Parquet and read again as the next stage's documents. Null ids: such a document is judged like any other, but never
-taken for a copy.
+taken for a copy. Rows that share an id are rows like others: of a group of near-copies one row stays, even if several
+have the least id.
 """
 
 from __future__ import annotations
@@ -10,13 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.llm.common import materialize
+from wirelens.llm.common import fresh, materialize
 from wirelens.llm.decontamination import is_contaminated, mark_contamination
 from wirelens.llm.packing import pack_documents
 from wirelens.llm.pseudonyms import pseudonymize
 from wirelens.llm.queries import PSEUDONYM_KEY, table
 from wirelens.llm.simhash import representatives
 from wirelens.llm.toxicity import CUT, mark_toxicity
+from wirelens.operators.order import numbered
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +29,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least id, of each group of near-copies (five-word shingles, similarity of 0.8)."""
+    if not docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return _drop_near_copies_of_rows(docs)
     kept = materialize(representatives(docs, shingle=5, least=0.8), "kept")
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
 
 
+def _drop_near_copies_of_rows(docs: DataFrame) -> DataFrame:
+    """The same where ids repeat: rows get numbers of their own, in the order of their ids, and are told apart by these."""
+    row = fresh("row", docs.columns)
+    named = materialize(numbered(docs.where(F.col("doc_id").isNotNull()), [F.col("doc_id"), F.xxhash64("text")], row), "rows")
+    given = named.select(F.col(row).alias("doc_id"), "text")
+    kept = materialize(representatives(given, shingle=5, least=0.8), "kept").withColumnRenamed("doc_id", row)
+    return named.join(kept, row, "left_semi").drop(row).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words are in windows of benchmark items."""
     marked, name = mark_contamination(docs, table(spark, sf_dir, "benchmark"))
