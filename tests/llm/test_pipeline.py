@@ -111,3 +111,14 @@ def test_near_copies_are_exact_at_the_threshold(spark, words):
     kept = {r.doc_id for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(rows) // 2 < len(set(group)) < len(rows)
     assert kept == set(group)
+
+
+def test_near_copies_that_share_an_id(spark):
+    """Of a group one row stays, with the least id, also where rows share it; other columns go along; null ids stay."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "a"), (1, text, "b"), (2, text, "c"), (3, "quite another text than that", "d"), (3, "and a third one", "e"), (3, "and a third one", "f"), (None, text, "g"), (None, text, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    found = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert found.columns == docs.columns
+    kept = sorted((r.doc_id or 0, r.text) for r in found.collect())
+    assert kept == sorted([(0, text), (0, text), (1, text), (3, "quite another text than that"), (3, "and a third one")])
