@@ -4,7 +4,9 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from wirelens.functions.rulepacks import RUSSIAN
-from wirelens.sources import feeds, sinks
+from wirelens.operators.classify import write_with_counts
+from wirelens.operators.render import CAPTION, POST, render
+from wirelens.sources import feeds, sinks, table_functions
 from wirelens.sources.listing import read_listings
 from wirelens.streaming import news
 
@@ -106,3 +108,38 @@ def test_stream(spark, tmp_path):
     assert run() == [1]
     put("2.json", (3, "Убит мужчина", "u1", "b", "2026-09-20T12:00:00Z"), (4, "Раскрыто убийство", "u4", "b", "2026-09-21T10:00:00Z"))
     assert run() == [1, 4]
+
+
+def test_card_loaders(spark, tmp_path):
+    (tmp_path / "cards/a").mkdir(parents=True)
+    (tmp_path / "cards/a/one.md").write_text('---\nevent_id: "e1"\ntitle: \'Two words\'\nplain: yes\nempty:\n---\n\nThe body.\n', "utf-8")
+    (tmp_path / "cards/bare.md").write_text("no front matter", "utf-8")
+    (tmp_path / "cards/two.json").write_text('{\n "event_id": "e2",\n "sources": [{"url": "http://x"}]\n}', "utf-8")
+    found = {r.body.strip(): r.fields for r in feeds.read_cards(spark, str(tmp_path / "cards")).collect()}
+    assert found == {"The body.": {"event_id": "e1", "title": "Two words", "plain": "yes"}, "no front matter": {}}
+    (row,) = feeds.read_json_cards(spark, str(tmp_path / "cards"), "event_id string, sources array<struct<url:string>>").collect()
+    assert (row.event_id, row.sources[0].url) == ("e2", "http://x")
+
+
+def test_captions_are_shorter_posts(spark):
+    item = [("Заголовок & ещё", "Первое предложение. " * 90, None, "Источник", "http://x/1?a=1&b=2", datetime(2026, 9, 1, tzinfo=timezone.utc), ["убий"])]
+    df = spark.createDataFrame(item, "title string, description string, article_text string, source string, url string, published_at timestamp, matched_topics array<string>")
+    post, caption = (render(df, RUSSIAN, limit, "text").first().text for limit in (POST, CAPTION))
+    assert len(caption) <= CAPTION < len(post) <= POST and "…" in caption and caption.splitlines()[0] == post.splitlines()[0] and caption.splitlines()[-1] == post.splitlines()[-1]
+
+
+def test_writes_quarantine_what_stages_stop(spark, tmp_path):
+    rows = spark.createDataFrame([(1, True, True), (2, True, None), (3, False, True), (4, None, False)], "n int, a boolean, b boolean")
+    counts = write_with_counts(rows, {"first": F.col("a"), "second": F.col("b")}, str(tmp_path / "w"))
+    assert counts == {"collected": 4, "first": 2, "second": 1, "stopped_first": 2, "stopped_second": 1}
+    back = {r.n: (r.passed, r.stopped) for r in spark.read.parquet(str(tmp_path / "w")).collect()}
+    assert back == {1: ("true", None), 2: ("false", "second"), 3: ("false", "first"), 4: ("false", "first")}
+    assert write_with_counts(rows.where("false"), {"first": F.col("a")}, str(tmp_path / "e")) == {"collected": 0, "first": 0, "stopped_first": 0}
+
+
+def test_table_functions_in_sql(spark):
+    table_functions.register(spark)
+    pages = spark.createDataFrame([(1, '<p>a <a href="/x?a=1&amp;b=2"> one  two </a><a name="n">no</a></p><h2> </h2><a href="">e</a>'), (2, None), (3, "")], "id int, html string")
+    links = spark.sql("SELECT id, l.* FROM {pages}, LATERAL page_links(html) l", pages=pages).collect()
+    assert [tuple(r) for r in links] == [(1, 0, "/x?a=1&b=2", "one two"), (1, 1, "", "e")]
+    assert [tuple(r) for r in spark.sql("SELECT id, b.* FROM {pages}, LATERAL page_blocks(html) b", pages=pages).collect()][0][:3] == (1, 0, "p")

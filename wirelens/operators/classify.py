@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from wirelens.functions.rulepacks import RulePack
@@ -172,3 +172,20 @@ def ranked_report(items: DataFrame, n: int = 10) -> DataFrame:
 def rejected_report(items: DataFrame, n: int = 5) -> DataFrame:
     """The rejected items with a topic that scored best."""
     return rank(items.where(~F.col("admitted") & (F.size("matched_topics") > 0))).limit(n)
+
+
+def write_with_counts(items: DataFrame, stages: dict[str, Column], path: str) -> dict[str, int]:
+    """Write items below path, those that pass all stages as `passed=true` and all others, quarantined with the first stage
+    that stops them (`stopped`), as `passed=false`; and give the counts, taken in the pass that writes.
+
+    Counts: collected; for each stage those that pass it and all before it; for each stage those that it stops first
+    (`stopped_<stage>`). A null condition doesn't hold. One scan, no second pass.
+    """
+    stopped = F.coalesce(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in stages.items()])
+    marked = items.withColumn("stopped", stopped).withColumn("passed", F.col("stopped").isNull())
+    names, seen = list(stages), Observation()
+    passing = [(F.col("passed") | F.col("stopped").isin(*names[k + 1 :]) if names[k + 1 :] else F.col("passed")).alias(n) for k, n in enumerate(names)]
+    first = [(F.col("stopped") == n).alias(f"stopped_{n}") for n in names]
+    counted = [F.count_if(F.coalesce(c, F.lit(False))).alias(n) for c, n in zip([*passing, *first], [*names, *[f"stopped_{n}" for n in names]], strict=True)]
+    marked.observe(seen, F.count(F.lit(1)).alias("collected"), *counted).write.mode("overwrite").partitionBy("passed").parquet(path)
+    return seen.get

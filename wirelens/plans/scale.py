@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirelens.functions.rulepacks import SYNTHETIC as PACK
-from wirelens.functions.storage import materialize
+from wirelens.functions.storage import materialize, new_path
+from wirelens.operators import classify as cl
 from wirelens.operators import duplicates, order, pairs
-from wirelens.plans.catalogue import _PLACES, PRINTED, printed, query, table
+from wirelens.operators.events import FINGERPRINT
+from wirelens.plans.catalogue import _PLACES, CLASSIFIED, NEWS, PRINTED, _unescaped, classified, printed, query, table
+from wirelens.plans.catalogue import news as news_items
+from wirelens.sources import article, listing, table_functions
 from wirelens.streaming import news
 
 
@@ -107,3 +111,80 @@ def events_near_purchases(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
     near = news.near_published(events.where("event_type <> 'purchase'"), events.where("event_type = 'purchase'"), "user_id", "ts", hours=2)
     return near.select("event_id", "old_event_id")
+
+
+@query(
+    r"""SELECT page_id, CAST(place - 1 AS INTEGER) AS place, h[place] AS href, trim(regexp_replace(t[place], '\s+', ' ', 'g')) AS link
+FROM (SELECT page_id, h, t, unnest(range(1, len(h) + 1)) AS place FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pages))"""
+)
+def page_link_rows(spark, sf_dir):
+    """The links of real pages by a table function in SQL (X1, 2.13)."""
+    table_functions.register(spark)
+    return spark.sql("SELECT page_id, l.place, l.href, l.link FROM {pages}, LATERAL page_links(html) l", pages=table(spark, sf_dir, "pages"))
+
+
+@query()
+def page_block_rows(spark, sf_dir):
+    """Headlines and paragraphs of real pages by a table function (2.13)."""
+    table_functions.register(spark)
+    return spark.sql("SELECT page_id, b.place, b.tag, b.block FROM {pages}, LATERAL page_blocks(html) b", pages=table(spark, sf_dir, "pages"))
+
+
+_STAGES = ["dated", "about", "supported", "admitted", "scored", "severe"]
+_FLAGS = "published_at IS NOT NULL AS dated, len(matched) > 0 AS about, supported, admitted, score >= 4 AS scored, score >= 10 AS severe"
+_FIRST = "CASE " + " ".join(f"WHEN NOT coalesce({s}, FALSE) THEN '{s}'" for s in _STAGES) + " END"
+_COUNTS = ", ".join(f"count(*) FILTER ({' AND '.join(_STAGES[: k + 1])}) AS {s}" for k, s in enumerate(_STAGES)) + ", " + ", ".join(f"count(*) FILTER (stopped = '{s}') AS stopped_{s}" for s in _STAGES)
+
+
+@query(f"WITH {CLASSIFIED}, f AS (SELECT {_FLAGS} FROM judged), s AS (SELECT *, {_FIRST} AS stopped FROM f) SELECT count(*) AS collected, {_COUNTS}, count(*) FILTER (stopped IS NULL) AS passed_rows, count(stopped) AS quarantined_rows FROM s")
+def written_counts(spark, sf_dir):
+    """The thirteen counters of a run, taken while its rows are written, and what is then read back (A2, I4)."""
+    items = classified(spark, sf_dir)
+    severe = F.col("score") >= 10
+    stages = {"dated": F.col("published_at").isNotNull(), "about": F.size("matched_topics") > 0, "supported": F.size("strong_topics") > 0, "admitted": F.col("admitted"), "scored": F.col("score") >= 4, "severe": severe}
+    path = new_path(spark, "written")
+    counts = cl.write_with_counts(items, stages, path)
+    kept = spark.read.parquet(path).groupBy().agg(F.count_if(F.col("passed") == "true").alias("passed_rows"), F.count_if(F.col("passed") == "false").alias("quarantined_rows"))
+    return kept.select(*[F.lit(n).alias(c) for c, n in counts.items()], "passed_rows", "quarantined_rows")
+
+
+#: A listing and an article spec of our own, for the pages of the tables.
+MENU = listing.Listing("nav a[href]", r"^/[a-z]+$", "UTC")
+BODY = article.Extractor("article", headline="h1", blocks=("h1",))
+
+
+@query(
+    r"""WITH l AS (SELECT page_id, split_part(url, '/', 1) || '//' || split_part(url, '/', 3) AS site, unnest(range(1, len(h) + 1)) AS k, h, t
+  FROM (SELECT page_id, url, regexp_extract_all(n, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(n, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM (SELECT page_id, url, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS n FROM pages)))
+SELECT CAST(page_id AS VARCHAR) AS source, t[k] AS title, site || h[k] AS url, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) AS INTEGER) AS source_place FROM l WHERE regexp_full_match(h[k], '/[a-z]+')"""
+)
+def listed_pages(spark, sf_dir):
+    """The menus of real pages as listings, by a registered adapter."""
+    listing.register_adapter("menu", MENU)
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("name"), "url", "html", F.lit("menu").alias("adapter"), F.lit("UTC").alias("timezone"), F.lit("1000").alias("limit"))
+    return listing.read_listings(pages, F.lit("2024-01-31").cast("timestamp")).select("source", "title", "url", "source_place")
+
+
+_HEADLINE = r"regexp_replace(regexp_extract(html, '(?s)<article>.*?<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g')"
+
+
+@query(rf"SELECT page_id, trim(regexp_replace({_unescaped(_HEADLINE)}, '\s+', ' ', 'g')) AS headline FROM pages")
+def page_headlines(spark, sf_dir):
+    """Headlines inside the articles of real pages, by a registered spec."""
+    article.register_extractor("headline", BODY)
+    return table(spark, sf_dir, "pages").select("page_id", article.article_text(F.col("html"), F.lit("headline")).alias("headline"))
+
+
+@query(f"WITH {CLASSIFIED} SELECT CAST(row_number() OVER (ORDER BY score DESC, ordinal) AS INTEGER) AS number, ordinal, score FROM judged WHERE admitted QUALIFY number <= 10")
+def ranked_first_ten(spark, sf_dir):
+    """The ten best admitted items with their numbers."""
+    return cl.ranked_report(classified(spark, sf_dir).where("admitted")).select("number", "ordinal", "score")
+
+
+@query(f"WITH {NEWS} SELECT min(ordinal) AS ordinal FROM news GROUP BY CASE WHEN ordinal % 3 = 0 THEN 'https://example.org/' || source ELSE url END HAVING NOT bool_or(ordinal % 3 = 0)")
+def unpublished_sites(spark, sf_dir):
+    """Items whose url no published one has, by the history anti join itself."""
+    items = news_items(spark, sf_dir).withColumn("event_fingerprint", F.lit(None).cast(FINGERPRINT))
+    third = F.col("ordinal") % 3 == 0
+    items = items.withColumn("url", F.when(third, F.concat(F.lit("https://example.org/"), "source")).otherwise(F.col("url")))
+    return pairs.unpublished(items, items.where(third)).select("ordinal")

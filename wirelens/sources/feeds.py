@@ -72,7 +72,7 @@ def read_history(spark: SparkSession, path: str, strict: bool = False) -> DataFr
 
 def read_cards(spark: SparkSession, path: str, files: str = "*.md*") -> DataFrame:
     """Cards of text files below a path: fields (the front matter's simple values by name) and body."""
-    cards = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", files).text(path)
+    cards = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", files).text(path, wholetext=True)
     front = F.regexp_extract("value", r"(?s)^---\n(.*?)\n---", 1)
     lines = F.filter(F.split(front, "\n"), lambda line: line.rlike(r"^\w+:\s*\S"))
     pairs = F.transform(lines, lambda line: F.struct(F.regexp_extract(line, r"^(\w+):", 1).alias("key"), F.regexp_replace(line, r"^\w+:\s*[\"']?|[\"']?\s*$", "").alias("value")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wirelens.functions.rulepacks import RulePack
-from wirelens.operators.classify import add_score, classify
+from wirelens.operators.classify import classify
 
 ITEM = "ordinal long, title string, description string, article_text string, url string, source string, published_at timestamp"
 
@@ -25,7 +25,7 @@ def first_by_url(items: DataFrame) -> DataFrame:
 
 def admitted(items: DataFrame, pack: RulePack, least: int) -> DataFrame:
     """Items that the rule pack admits with at least this score."""
-    return add_score(classify(items, pack), pack).where(F.col("admitted") & (F.col("score") >= least))
+    return classify(items, pack, scored=True).where(F.col("admitted") & (F.col("score") >= least))
 
 
 def counts_by_window(items: DataFrame, width: str = "1 hour", slide: str | None = None) -> DataFrame:
