@@ -590,15 +590,46 @@ def test_feistel_is_a_permutation(spark):
 # ---------------------------------------------------------------- op9
 
 
-def test_contamination_in_blocks(spark, monkeypatch):
+def test_contamination_cases(spark):
     words = [f"b{i}" for i in range(40)]
-    bench = spark.createDataFrame([(1, " ".join(words[:20])), (2, "only Three words"), (3, None), (10, " ".join(words[10:30])), (None, "x")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, "z " + " ".join(words[:15]).upper()), (2, "a only three words b " * 2), (3, None), (4, ""), (5, " ".join(words[:12])), (6, "w " * 500 + " ".join(words[:13])), (7, " ".join(words[:30]))], DOCS).withColumn("contamination", F.lit(0))
+    bench = spark.createDataFrame([(1, " ".join(words[:20])), (2, "only Three words"), (3, None), (10, " ".join(words[10:30])), (None, "x"), (11, ""), (2, "only Three words"), (12, "two Words")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "z " + " ".join(words[:15]).upper()), (2, "a only three words b " * 2), (3, None), (4, ""), (5, " ".join(words[:12])), (6, "w " * 500 + " ".join(words[:13])), (7, " ".join(words[:30])), (8, "one two! words three")], DOCS)
+    docs = docs.withColumn("contamination", F.lit(0)).withColumn("key", F.lit(1)).withColumn("h", F.lit(2))
     one = by_id(decontamination.contamination(docs, bench))
-    monkeypatch.setattr(decontamination, "benchmark_blocks", lambda b: [[(r.item_id, r.text)] for r in b.where("item_id is not null and text is not null").collect()])
-    assert by_id(decontamination.contamination(docs, bench)) == one
-    assert [(one[i].n_words, one[i].n_hit, one[i].items, one[i].contaminated) for i in range(1, 8)] == [(16, 15, [1], True), (10, 6, [2], True), (0, 0, [], False), (0, 0, [], False), (12, 0, [], False), (513, 13, [1], False), (30, 30, [1, 10], True)]
+    assert [(one[i].n_words, one[i].n_hit, one[i].items, one[i].contaminated) for i in range(1, 9)] == [(16, 15, [1], True), (10, 6, [2], True), (0, 0, [], False), (0, 0, [], False), (12, 0, [], False), (513, 13, [1], False), (30, 30, [1, 10], True), (4, 2, [12], True)]
     assert one[7].items_sha256 == hashlib.sha256(b"1,10").hexdigest() and one[3].items_sha256 == hashlib.sha256(b"").hexdigest()
+    marked, name = decontamination.mark_contamination(docs.union(docs), bench)
+    assert name not in docs.columns and marked.drop(name).columns == docs.columns and marked.count() == 16
+    assert decontamination.contamination(docs.limit(0), bench).count() == 0
+    assert {(r.n_hit, r.n_items) for r in decontamination.contamination(docs, bench.limit(0)).collect()} == {(0, 0)}
+
+
+def plain_contamination(text, items, size):
+    words, hit, found = decontamination.words_of(text), set(), set()
+    for item, own in items:
+        own = decontamination.words_of(own)
+        n = min(size, len(own))
+        windows = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if own else set()
+        for i in range(len(words) - n + 1):
+            if tuple(words[i : i + n]) in windows:
+                hit.update(range(i, i + n))
+                found.add(item)
+    return len(words), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("size", [3, 5, 13])
+def test_contamination_equals_brute_force(spark, size):
+    """Few different words, so that windows tie, overlap and repeat; a template in a third of the texts and of the items."""
+    rng = random.Random(size)
+    draw = lambda n, of: " ".join(rng.choice(["a", "b", "é", "Dd", "e-f", "x"][:of]) for _ in range(n))
+    template = draw(30, 6)
+    items = [(i, draw(rng.randrange(0, 25), 6) + (f" {template} t{i}" if i % 3 == 0 else "")) for i in range(60)]
+    items += [(5, draw(9, 2)), (100, items[3][1]), (101, "a"), (102, "x x")]
+    texts = [draw(rng.randrange(0, 40), 2 + i % 5) + (f" {template} t{rng.randrange(60)} z" if i % 3 == 0 else "") for i in range(150)]
+    texts += [" q".join(t for _, t in rng.choices(items, k=3)) for _ in range(100)] + texts[:20] + [draw(6_000, 6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(5)
+    found = by_id(decontamination.contamination(docs, spark.createDataFrame(items, "item_id int, text string"), size))
+    assert {i: (r.n_words, r.n_hit, r["items"]) for i, r in found.items()} == {i: plain_contamination(t, items, size) for i, t in enumerate(texts)}
 
 
 # ---------------------------------------------------------------- op10
