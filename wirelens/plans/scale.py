@@ -12,7 +12,7 @@ from wirelens.operators import duplicates, order, pairs
 from wirelens.operators.events import FINGERPRINT
 from wirelens.plans.catalogue import _PLACES, CLASSIFIED, NEWS, PRINTED, _unescaped, classified, printed, query, table
 from wirelens.plans.catalogue import news as news_items
-from wirelens.sources import article, listing, table_functions
+from wirelens.sources import article, delivery, listing, table_functions
 from wirelens.streaming import news
 
 
@@ -188,3 +188,30 @@ def unpublished_sites(spark, sf_dir):
     third = F.col("ordinal") % 3 == 0
     items = items.withColumn("url", F.when(third, F.concat(F.lit("https://example.org/"), "source")).otherwise(F.col("url")))
     return pairs.unpublished(items, items.where(third)).select("ordinal")
+
+
+#: The sender of delivery_outcomes: for each step, the number that picks how it ends, and the ends (None: nothing to send).
+_ENDS = {
+    "photo": ("event_id % 5", (None, "ok", "uncertain", "unreachable", "failed")),
+    "file": ("user_id % 4", (None, "ok", "uncertain", "failed")),
+    "banner": ("length(event_type) % 4", (None, "ok", "uncertain", "failed")),
+    "text": ("(event_id + user_id) % 3", ("ok", "uncertain", "failed")),
+}
+_PLANNED = [f"CASE {pick} {' '.join(f"WHEN {i} THEN '{end}'" for i, end in enumerate(ends) if end)} END AS {step}" for step, (pick, ends) in _ENDS.items()]
+_ENDED = "coalesce({} IN ('ok', 'uncertain'), FALSE)"
+
+
+@query(f"""WITH p AS (SELECT CAST(event_id AS VARCHAR) AS key, {', '.join(_PLANNED)} FROM events WHERE event_id IS NOT NULL),
+a AS (SELECT *, photo IS NOT NULL AS t1, coalesce(photo = 'unreachable', FALSE) AND file IS NOT NULL AS t2, NOT {_ENDED.format('photo')} AS on1 FROM p),
+b AS (SELECT *, on1 AND NOT (t2 AND {_ENDED.format('file')}) AS on2 FROM a),
+c AS (SELECT *, on2 AND banner IS NOT NULL AS t3, on2 AND NOT {_ENDED.format('banner')} AS on3 FROM b),
+d AS (SELECT *, CASE WHEN on3 THEN text WHEN t3 THEN banner WHEN t2 THEN file ELSE photo END AS outcome FROM c)
+SELECT key, concat_ws(',', CASE WHEN t1 THEN 'photo' END, CASE WHEN t2 THEN 'file' END, CASE WHEN t3 THEN 'banner' END, CASE WHEN on3 THEN 'text' END) AS steps, outcome, outcome = 'ok' AS published FROM d WHERE outcome IS NOT NULL""")
+def delivery_outcomes(spark, sf_dir):
+    """All events as posts through the delivery sink, with a sender whose outcomes come with the post."""
+    posts = table(spark, sf_dir, "events").selectExpr("event_id AS key", *_PLANNED)
+    folder = new_path(spark, "delivery")
+    delivery.register(spark, lambda post, step: post[step])
+    delivery.deliver(posts, folder, sync=False)
+    found = delivery.outcomes(spark, folder)
+    return found.withColumn("steps", F.array_join("steps", ","))
