@@ -75,6 +75,21 @@ def test_candidates_are_few_in_a_hot_bucket(spark):
     assert found == {(a, b) for a, b in same_events(spark, df) if a < b}
 
 
+@pytest.mark.parametrize("rows", [2048, 40])
+def test_candidates_share_enough_though_all_words_are_common(spark, monkeypatch, rows):
+    """All words are in many texts, so that any two share some: candidates are only the pairs that share enough."""
+    monkeypatch.setattr(pairs, "CELL_ROWS", rows)
+    rng = random.Random(6)
+    words = [f"common{k}" for k in range(120)]
+    own = [rng.sample(words, 40) for _ in range(150)]
+    own += [rng.sample(o[:30] + words[:8], 25) for o in own[::30]]
+    df = spark.createDataFrame([(i, "t", f"u{i}", "s", AT + timedelta(hours=i / 4), 1, "", None, told(t, places=["казан"])) for i, t in enumerate(own)], ITEM)
+    enough = {(i, j) for i in range(len(own)) for j in range(i) if len(set(own[i]) & set(own[j])) >= 0.45 * min(len(set(own[i])), len(set(own[j])))}
+    found = {(r.l_id, r.r_id) for r in pairs.event_pairs(df, df).where("l_id < r_id").collect()}
+    assert found == {(a, b) for a, b in same_events(spark, df) if a < b} and found
+    assert len(found) <= pairs.candidate_prints(pairs.prints(df), None, ()).count() <= len(enough) < 600
+
+
 def test_prefixes_are_lossless():
     rng = random.Random(1)
     frequency = {w: rng.randrange(5) for w in WORDS}
