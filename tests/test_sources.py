@@ -1,12 +1,16 @@
+import gc
 import json
 from datetime import datetime, timezone
 
+import oracle
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from wirelens.functions.rulepacks import RUSSIAN
 from wirelens.operators.classify import write_with_counts
 from wirelens.operators.render import CAPTION, POST, render
-from wirelens.sources import feeds, sinks, table_functions
+from wirelens.plans import catalogue, scale  # noqa: F401  (scale registers page_headlines)
+from wirelens.sources import article, dom, feeds, listing, sinks, table_functions
 from wirelens.sources.listing import read_listings
 from wirelens.streaming import news
 
@@ -143,3 +147,25 @@ def test_table_functions_in_sql(spark):
     links = spark.sql("SELECT id, l.* FROM {pages}, LATERAL page_links(html) l", pages=pages).collect()
     assert [tuple(r) for r in links] == [(1, 0, "/x?a=1&b=2", "one two"), (1, 1, "", "e")]
     assert [tuple(r) for r in spark.sql("SELECT id, b.* FROM {pages}, LATERAL page_blocks(html) b", pages=pages).collect()][0][:3] == (1, 0, "p")
+
+
+def test_headlines_keep_references_without_semicolon(spark, tmp_path):
+    html = "<article><h1>a &amp;&lt;b&gt;&#x27; &amp&copy &amp;amp</h1><p>x</p></article>"
+    spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    name = "page_headlines"
+    assert oracle.check(spark, name, catalogue.QUERIES[name], catalogue.ORACLES[name], str(tmp_path)) == 1
+    assert catalogue.QUERIES[name](spark, str(tmp_path)).first().headline == "a &<b>' &amp&copy &amp"
+
+
+def test_trees_of_pages_do_not_stay():
+    """Values are made of few pages at a time, and a page's nodes are gone when its value is made, uncollected."""
+    gc.collect()
+    gc.disable()
+    try:
+        html = "<nav>" + "<a href='/x'><b>t</b></a>" * 40 + "</nav><article><h1>h</h1><aside><p>no</p></aside><p>p</p></article>"
+        article.extract(html, article.Extractor("article", drop=("aside",))), listing.cards(html, listing.Listing("nav a[href]", "/", "UTC")), article.image_of(html, "")
+        assert not [o for o in gc.get_objects() if isinstance(o, dom.Node)]
+    finally:
+        gc.enable()
+    pages = pa.array(["x"] * 200)
+    assert dom.of_pages(lambda h: h + "y", pa.string(), pages).to_pylist() == ["xy"] * 200 and len(dom.of_pages(str, pa.string(), pages[:0])) == 0

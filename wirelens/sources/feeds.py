@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wirelens.functions.dates import rfc822
 from wirelens.functions.storage import materialize
 from wirelens.functions.text import clean_description
-from wirelens.sources.dom import Node, parse
+from wirelens.sources.dom import PAGES, Node, parsed
 
 SOURCE = "name string, type string, url string, adapter string, timezone string, extractor string, `limit` string, enabled boolean"
 RSS_ITEM = "title string, link string, description string, pubDate string"
@@ -104,18 +104,19 @@ def _written(node: Node) -> str:
 
 def channel_posts(html: str | None, channel: str) -> Iterator[dict]:
     """Posts of a stored channel page: those of the channel with a number, a text, a picture and a date."""
-    for message in parse(html or "").select_all("div.tgme_widget_message"):
-        owner, _, number = (message.attributes.get("data-post") or "").partition("/")
-        body, time = message.select("div.tgme_widget_message_text"), message.select("time[datetime]")
-        wrap = message.select(".tgme_widget_message_photo_wrap")
-        picture = _PICTURE.search(wrap.attributes.get("style") or "") if wrap else None
-        link = next((a.attributes["href"] for a in (body.select_all("a[href]") if body else []) if _written(a).strip().casefold() in SOURCE_WORDS and re.match("https?://", a.attributes["href"] or "")), None)
-        text = re.sub(r"\n{3,}", "\n\n", _written(body).strip()) if body else ""
-        if link:
-            text = re.sub(r"\n{3,}", "\n\n", _SOURCE_LINE.sub("", text)).strip()
-        at = (time.attributes["datetime"] or "").strip() if time else ""
-        if owner.casefold() == channel.casefold() and number.isdigit() and text and picture and picture[1].startswith("https://") and at:
-            yield {"message_id": number, "text": text, "published_at": at, "image_url": picture[1], "source_url": link}
+    with parsed(html or "") as page:
+        for message in page.select_all("div.tgme_widget_message"):
+            owner, _, number = (message.attributes.get("data-post") or "").partition("/")
+            body, time = message.select("div.tgme_widget_message_text"), message.select("time[datetime]")
+            wrap = message.select(".tgme_widget_message_photo_wrap")
+            picture = _PICTURE.search(wrap.attributes.get("style") or "") if wrap else None
+            link = next((a.attributes["href"] for a in (body.select_all("a[href]") if body else []) if _written(a).strip().casefold() in SOURCE_WORDS and re.match("https?://", a.attributes["href"] or "")), None)
+            text = re.sub(r"\n{3,}", "\n\n", _written(body).strip()) if body else ""
+            if link:
+                text = re.sub(r"\n{3,}", "\n\n", _SOURCE_LINE.sub("", text)).strip()
+            at = (time.attributes["datetime"] or "").strip() if time else ""
+            if owner.casefold() == channel.casefold() and number.isdigit() and text and picture and picture[1].startswith("https://") and at:
+                yield {"message_id": number, "text": text, "published_at": at, "image_url": picture[1], "source_url": link}
 
 
 def read_channel(pages: DataFrame, channel: str) -> DataFrame:
@@ -124,7 +125,8 @@ def read_channel(pages: DataFrame, channel: str) -> DataFrame:
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([(f.split()[0], pa.string()) for f in POST.split(", ")])
         for batch in batches:
-            if found := [p for html in batch.column(0).to_pylist() for p in channel_posts(html, channel)]:
-                yield pa.RecordBatch.from_pylist(found, kind)
+            for at in range(0, batch.num_rows, PAGES):
+                if found := [p for html in batch.column(0).slice(at, PAGES).to_pylist() for p in channel_posts(html, channel)]:
+                    yield pa.RecordBatch.from_pylist(found, kind)
 
     return pages.select("html").mapInArrow(convert, POST)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wirelens.functions.dates import publication_date, url_date
 from wirelens.functions.text import absolute_url, fold, host, path, squeeze
-from wirelens.sources.dom import Node, parse
+from wirelens.sources.dom import Node, of_pages, parsed
 
 LIMIT = 40
 
@@ -109,19 +109,20 @@ def cards(html: str | None, spec: Listing | None) -> list[dict]:
     """title, href, date_text and description of a listing's cards, in order; none for an unknown adapter."""
     if spec is None:
         return []
-    page, found = parse(html or ""), []
-    for card in page.select_all(spec.card):
-        link = card.select(spec.link) if spec.link else card
-        if link is None or spec.needs and card.select(spec.needs) is None:
-            continue
-        if spec.category and _text(card.select(spec.category)).casefold() not in spec.categories:
-            continue
-        named = next((v for a in spec.title_attributes if (v := link.attributes.get(a))), None)
-        title = " ".join((named if named else _text(card.select(spec.title)) if spec.title else link.text()).split())
-        first = spec.title_attributes[0] if spec.title_attributes else ""
-        description = _subtitle(link) if spec.subtitle and link.attributes.get(first) else _text(card.select(spec.description)) if spec.description else ""
-        if title:
-            found.append({"title": title, "href": link.attributes.get("href") or "", "date_text": _date_text(page, card, link, spec), "description": description})
+    found = []
+    with parsed(html or "") as page:
+        for card in page.select_all(spec.card):
+            link = card.select(spec.link) if spec.link else card
+            if link is None or spec.needs and card.select(spec.needs) is None:
+                continue
+            if spec.category and _text(card.select(spec.category)).casefold() not in spec.categories:
+                continue
+            named = next((v for a in spec.title_attributes if (v := link.attributes.get(a))), None)
+            title = " ".join((named if named else _text(card.select(spec.title)) if spec.title else link.text()).split())
+            first = spec.title_attributes[0] if spec.title_attributes else ""
+            description = _subtitle(link) if spec.subtitle and link.attributes.get(first) else _text(card.select(spec.description)) if spec.description else ""
+            if title:
+                found.append({"title": title, "href": link.attributes.get("href") or "", "date_text": _date_text(page, card, link, spec), "description": description})
     return found
 
 
@@ -134,7 +135,7 @@ def read_listings(pages: DataFrame, now) -> DataFrame:
     specs = dict(ADAPTERS)
 
     def convert(htmls: pa.Array, names: pa.Array) -> pa.Array:
-        return pa.array([cards(h, specs.get(n)) for h, n in zip(htmls.to_pylist(), names.to_pylist(), strict=True)], pa.list_(CARD))
+        return of_pages(lambda h, n: cards(h, specs.get(n)), pa.list_(CARD), htmls, names)
 
     kind = "array<struct<title:string,href:string,date_text:string,description:string>>"
     shown = pages.withColumn("card", F.arrow_udf(convert, kind)("html", "adapter")).select("name", F.col("url").alias("page_url"), "adapter", "timezone", "limit", F.posexplode("card").alias("place", "card"))

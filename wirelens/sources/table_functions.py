@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.sources.dom import parse
+from wirelens.sources.dom import parsed
 
 
 class PageLinks:
@@ -15,8 +15,9 @@ class PageLinks:
 
     def eval(self, html: str | None) -> Iterator[tuple[int, str, str]]:
         if html:
-            for place, link in enumerate(n for n in parse(html).find_all(("a",)) if n.attributes.get("href") is not None):
-                yield place, link.attributes["href"], link.text()
+            with parsed(html) as page:
+                for place, link in enumerate(n for n in page.find_all(("a",)) if n.attributes.get("href") is not None):
+                    yield place, link.attributes["href"], link.text()
 
 
 class PageBlocks:
@@ -26,9 +27,10 @@ class PageBlocks:
 
     def eval(self, html: str | None) -> Iterator[tuple[int, str, str]]:
         if html:
-            found = ((n.tag, n.text()) for n in parse(html).find_all(self.TAGS))
-            for place, (tag, text) in enumerate((t, x) for t, x in found if x):
-                yield place, tag, text
+            with parsed(html) as page:
+                found = ((n.tag, n.text()) for n in page.find_all(self.TAGS))
+                for place, (tag, text) in enumerate((t, x) for t, x in found if x):
+                    yield place, tag, text
 
 
 page_links = F.udtf(PageLinks, returnType="place int, href string, link string", useArrow=True)
