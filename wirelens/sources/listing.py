@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirelens.functions.dates import publication_date, url_date
-from wirelens.functions.text import absolute_url, fold, host, path, squeeze
+from wirelens.functions.text import fold, host, path, squeeze
 from wirelens.sources.dom import Node, of_pages, parsed
 
 LIMIT = 40
@@ -67,7 +68,7 @@ ADAPTERS: dict[str, Listing] = {
     "fontanka": Listing("a[data-announcement-title][href]", _DAY, "Europe/Moscow", title_attributes=("data-announcement-title",), date_levels=3, date_pattern=r"\d{1,2}\s+[А-Яа-яЁё]+,\s+\d{4},\s+\d{1,2}:\d{2}", url_date=_DAY, merge="last"),
 }
 
-CARD = pa.struct([("title", pa.string()), ("href", pa.string()), ("date_text", pa.string()), ("description", pa.string())])
+CARD = pa.struct([("title", pa.string()), ("url", pa.string()), ("date_text", pa.string()), ("description", pa.string())])
 
 
 def register_adapter(name: str, spec: Listing) -> None:
@@ -134,12 +135,14 @@ def read_listings(pages: DataFrame, now) -> DataFrame:
     """
     specs = dict(ADAPTERS)
 
-    def convert(htmls: pa.Array, names: pa.Array) -> pa.Array:
-        return of_pages(lambda h, n: cards(h, specs.get(n)), pa.list_(CARD), htmls, names)
+    def convert(htmls: pa.Array, names: pa.Array, urls: pa.Array) -> pa.Array:
+        found = lambda h, n, u: [{**card, "url": urljoin(u or "", card["href"])} for card in cards(h, specs.get(n))]
+        return of_pages(found, pa.list_(CARD), htmls, names, urls)
 
-    kind = "array<struct<title:string,href:string,date_text:string,description:string>>"
-    shown = pages.withColumn("card", F.arrow_udf(convert, kind)("html", "adapter")).select("name", F.col("url").alias("page_url"), "adapter", "timezone", "limit", F.posexplode("card").alias("place", "card"))
-    rows = shown.select("name", "page_url", "adapter", "timezone", "limit", "place", "card.*").withColumn("url", absolute_url(F.col("page_url"), F.col("href")))
+    # urls are made here too: each function more is a Python worker more for every task
+    kind = "array<struct<title:string,url:string,date_text:string,description:string>>"
+    shown = pages.withColumn("card", F.arrow_udf(convert, kind)("html", "adapter", "url")).select("name", F.col("url").alias("page_url"), "adapter", "timezone", "limit", F.posexplode("card").alias("place", "card"))
+    rows = shown.select("name", "page_url", "adapter", "timezone", "limit", "place", "card.*")
 
     def by_adapter(value):
         out = F.lit(None)
