@@ -142,3 +142,15 @@ def test_components(spark):
 def test_event_pairs_are_not_repeated(spark):
     df = fingerprint(spark.createDataFrame([item(0, "Трагедия", strong_topics=["убий", "изнасил"]), item(1, "Иное", strong_topics=["убий", "изнасил"])], SCHEMA), RUSSIAN)
     assert event_pairs(df, df).where("l_id < r_id").count() == 1
+
+
+def test_history_without_fingerprints_compares_none(spark, monkeypatch):
+    from wirelens.operators import pairs
+
+    def compared_anyway(*_, **__):
+        raise AssertionError
+
+    monkeypatch.setattr(pairs, "event_pairs", compared_anyway)
+    df = fingerprint(spark.createDataFrame([item(0, "Трагедия", url="http://a"), item(1, "Иное", url="http://b")], SCHEMA), RUSSIAN)
+    old = df.where("ordinal = 0").select("url", "published_at", F.lit(None).cast(df.schema["event_fingerprint"].dataType).alias("event_fingerprint"))
+    assert [r.ordinal for r in unpublished(df, old).collect()] == [1]
