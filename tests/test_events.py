@@ -2,10 +2,12 @@ import random
 from datetime import datetime, timedelta, timezone
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from wirelens.functions.rulepacks import RUSSIAN
 from wirelens.functions.text import stem
+from wirelens.operators import events
 from wirelens.operators.duplicates import remove_duplicates
 from wirelens.operators.events import compare, fingerprint, history_rows, title_pairs, title_ratio
 from wirelens.operators.graph import components
@@ -115,6 +117,47 @@ def test_title_pairs_lose_nothing(spark):
         assert {(r.l_id, r.r_id) for r in title_pairs(df, block=block).collect()} == true and true
 
 
+def some_titles(seed, n, lengths):
+    """Titles of few syllables, some of them copies with edits, some a few words over and over."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice(["the", "an", "in", "tion", "er", "ed", "ing", "of", "ba", "cu", "ky"]) for _ in range(rng.randrange(1, 4))) for _ in range(300)]
+    titles = []
+    for i in range(n):
+        length, kind = rng.choice(lengths), rng.random()
+        pool = rng.sample(words, 3) if kind < 0.1 else words
+        text = list(" ".join(rng.choice(pool) for _ in range(length))[:length])
+        if titles and kind > 0.7:
+            old, rate = rng.choice(titles), rng.choice([0, 0.002, 0.05, 0.2])
+            text = [c for c in old[: int(len(old) * rng.uniform(0.6, 1.1))] if rng.random() >= rate]
+        titles.append("".join(text).strip())
+    return [(i, t) for i, t in enumerate(dict.fromkeys(titles)) if t]
+
+
+@pytest.mark.parametrize("lengths", [(20, 63, 64, 65, 130), (190, 199, 200, 201, 260), (700, 720, 900, 1100)])
+def test_titles_of_all_lengths_equal_all_with_all(lengths):
+    titles = some_titles(len(lengths), 70, lengths)
+    ratio = lambda x, y: SequenceMatcher(None, x, y).ratio() >= 0.75
+    true = {(i, j, ratio(x, y), ratio(y, x)) for i, x in titles for j, y in titles if i < j}
+    true = {t for t in true if t[2] or t[3]}
+    assert len(true) >= 3 and set(events.alike_titles(titles, titles, 0.75, once=True)) == true
+    left, right = titles[::2], titles[1::2]
+    apart = {t for t in true if (t[0] in dict(left)) != (t[1] in dict(left))}
+    found = events.alike_titles(left, right, 0.75)
+    assert len(found) == len(apart) and set(found) == apart
+
+
+def test_few_long_titles_are_aligned_letter_by_letter(monkeypatch):
+    """Titles of one language share their letters; bounds leave hardly a pair for one alignment at a time."""
+    times, one = [], events.longest_common
+    monkeypatch.setattr(events, "longest_common", lambda *a: times.append(1) or one(*a))
+    rng = random.Random(1)
+    words = ["".join(rng.choices("etaoinsrhld", k=rng.randrange(2, 7))) for _ in range(400)] + ["of", "by", "mug", "pick"]
+    titles = [(i, " ".join(rng.choices(words, k=90))) for i in range(200)]
+    assert int(events.may_be_alike([t for _, t in titles], [t for _, t in titles], 0.75).sum()) > 30_000
+    events.alike_titles(titles, titles, 0.75, once=True)
+    assert len(times) < 200
+
+
 def test_title_ratio_depends_on_order(spark):
     df = spark.createDataFrame([("tide", "diet")], "a string, b string")
     r = df.select(title_ratio(F.col("a"), F.col("b")).alias("x"), title_ratio(F.col("b"), F.col("a")).alias("y")).first()

@@ -21,8 +21,16 @@ TEXT_LIMIT, LEAD_LIMIT = 1600, 300
 WINDOW_SECONDS = 36 * 3600
 SHARED, OVERLAP, DENSE_SHARED, JACCARD, LEAD_SHARED = 5, 0.45, 7, 0.20, 7
 TITLE = 0.75
-#: Titles in a block.
-TITLE_BLOCK = 256
+#: Titles in a block; a task holds two. Only cost depends on it.
+TITLE_BLOCK = 1024
+#: From this length on the ratio leaves out frequent characters of its second title.
+LONG = 200
+#: Characters of the runs by which long titles are compared; numbers of a matrix of them, rows of a matrix of letters.
+RUN, CELLS, ROWS = 6, 1 << 23, 32
+#: Runs of titles over this length are counted twice, once for each order.
+REPEATING = 700
+#: Pairs whose common subsequences are found side by side; up to FEW pairs, and patterns over WIDE, one by one.
+PAIRS, FEW, WIDE = 8192, 64, 2048
 #: Classes of characters by which titles are compared before their letters are aligned.
 LETTERS = 61
 PAIR = "l_id long, r_id long, forward boolean, backward boolean"
@@ -131,35 +139,166 @@ def longest_common(masks: dict[str, int], n: int, text: str) -> int:
     return n - row.bit_count()
 
 
+def _classes(title: str) -> np.ndarray:
+    return (np.frombuffer(title.encode("utf-32-le", "surrogatepass"), np.uint32) % LETTERS).astype(np.int64)
+
+
+def common_lengths(texts: list[str], patterns: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same as longest_common for many pairs (numbers of a text and a pattern) side by side, a number being some words of
+    64 bits with carries. Characters of a class are taken for equal, so a length is never too small."""
+    own_a, a = np.unique(a, return_inverse=True)
+    own_b, b = np.unique(b, return_inverse=True)
+    steps = np.array([len(texts[i]) for i in own_a])
+    words = -(-max(len(patterns[j]) for j in own_b) // 64)
+    codes = np.full((max(1, steps.max()), len(own_a)), LETTERS, np.int64)
+    for k, i in enumerate(own_a):
+        codes[: steps[k], k] = _classes(texts[i])
+    masks = np.zeros((words, len(own_b), LETTERS + 1), np.uint64)
+    for k, j in enumerate(own_b):
+        at = np.arange(len(patterns[j]))
+        np.bitwise_or.at(masks, (at // 64, k, _classes(patterns[j])), np.uint64(1) << (at % 64).astype(np.uint64))
+    masks = masks.reshape(words, -1)
+    base = b * (LETTERS + 1)
+    rows = [np.full(len(a), ~np.uint64(0)) for _ in range(words)]
+    for t in range(int(steps.max())):
+        here, carry = base + codes[t][a], None
+        for w in range(words):
+            row = rows[w]
+            met = row & masks[w].take(here)
+            up = row + met
+            over = up < row
+            if carry is not None:
+                up += carry
+                over |= up < carry
+            carry = over.astype(np.uint64)
+            rows[w] = up | (row ^ met)
+    return sum(np.bitwise_count(~row).astype(np.int64) for row in rows)
+
+
+def long_common(texts: list[str], patterns: list[str], a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs (numbers of a text and a pattern, in the order of patterns) have a common subsequence that is long enough
+    for the ratio."""
+    out = np.zeros(len(a), bool)
+    sizes, others = np.array([len(t) for t in patterns])[b], np.array([len(t) for t in texts])[a]
+    rest = np.flatnonzero(sizes <= WIDE)
+    order = rest[np.lexsort((others[rest], sizes[rest]))]  # pairs of about the same lengths go together
+    for at in range(0, len(order), PAIRS):
+        part = order[at : at + PAIRS]
+        if len(part) < FEW:
+            break
+        out[part] = 2 * common_lengths(texts, patterns, a[part], b[part]) >= least * (sizes[part] + others[part]) - 1e-6
+        rest = np.setdiff1d(rest, part, assume_unique=True)
+    last, masks = -1, {}
+    for k in np.sort(np.r_[rest, np.flatnonzero(sizes > WIDE)]):
+        if b[k] != last:
+            last, masks = b[k], {}
+            for place, c in enumerate(patterns[last]):
+                masks[c] = masks.get(c, 0) | 1 << place
+        out[k] = 2 * longest_common(masks, int(sizes[k]), texts[a[k]]) >= least * (sizes[k] + others[k]) - 1e-6
+    return out
+
+
+def seeds(title: str) -> int:
+    """How many characters a matching block of a long title can be found by. The ratio leaves out those characters of its
+    second title, if that is of 200 or more, that are more than a hundredth of it and one; they only lengthen a block."""
+    times = np.unique(np.frombuffer(title.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)[1]
+    return int(times[times <= len(title) // 100 + 1].sum())
+
+
+def _runs(title: str, width: int) -> np.ndarray:
+    """Which of width classes each run of RUN characters is in."""
+    codes = np.frombuffer(title.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n, value = max(0, len(codes) - RUN + 1), np.zeros(max(0, len(codes) - RUN + 1), np.uint64)
+    for k in range(RUN):
+        value = value * np.uint64(1_000_003) + codes[k : k + n]
+    return ((value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - width.bit_length())).astype(np.int64)
+
+
+def share_runs(texts: list[str], others: list[str], near: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the near pairs can have the ratio with the other as the second title, and with the text as the second one.
+    Both sides are in the order of their lengths. Only a long second title is looked at.
+
+    A block holds one of its seeds, but for one that begins both titles; so there are few blocks, and of m matching
+    characters in k blocks m - k * (RUN - 1) begin a run of RUN characters that the first title has too. Runs are dealt
+    into classes. Of titles over REPEATING each run is counted whose class the other has; of shorter ones the classes that
+    both have, and runs that share a class with others of their title are taken for shared: never too few.
+    """
+    first, second = near.copy(), near.copy()
+    n, m = np.array([len(t) for t in texts]), np.array([len(t) for t in others])
+    # what blocks may take of the runs; short titles can't be told
+    free_n, free_m = (np.array([(1 + seeds(t)) * (RUN - 1) if len(t) >= LONG else np.inf for t in side]) for side in (texts, others))
+
+    def held(titles: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each title the classes that it has, how often, and how many of its runs are in a class again."""
+        times = np.zeros((len(titles), width), np.float32)
+        for k, t in enumerate(titles):
+            np.add.at(times[k], _runs(t, width), 1)
+        has = np.minimum(times, 1)
+        return has, times, times.sum(axis=1) - has.sum(axis=1)
+
+    at = 0
+    while at < len(others):
+        width = 1 << int(8 * max(8, m[at]) - 1).bit_length()
+        rows = max(16, CELLS // width)
+        cols = slice(at, min(at + rows, int(np.searchsorted(m, 2 * m[at], "right")), int(np.searchsorted(m, LONG)) if m[at] < LONG else len(m)))
+        at = cols.stop
+        met = np.flatnonzero(near[:, cols].any(axis=1))
+        met = met[n[met] >= LONG] if m[cols.start] < LONG else met
+        if not len(met):
+            continue
+        r_has, r_times, r_again = held(others[cols], width)
+        for i in range(0, len(met), rows):
+            own = met[i : i + rows]
+            l_has, l_times, l_again = held([texts[k] for k in own], width)
+            needed = least * (n[own, None] + m[None, cols]) / 2 - 1e-3
+            if m[cols.start] > REPEATING:
+                first[own, cols] &= l_has @ r_times.T >= needed - free_m[None, cols]
+                second[own, cols] &= l_times @ r_has.T >= needed - free_n[own, None]
+            else:
+                both = l_has @ r_has.T
+                first[own, cols] &= both >= needed - free_m[None, cols] - r_again[None, :]
+                second[own, cols] &= both >= needed - free_n[own, None] - l_again[:, None]
+    return first, second
+
+
 def alike_titles(left: list[tuple[int, str]], right: list[tuple[int, str]], least: float, once: bool = False) -> list[tuple[int, int, bool, bool]]:
     """Ids (the lesser first) of titles of left and right with a ratio of at least least in either order, and in which:
     the lesser first, the lesser second. once: left and right are the same, and each pair is compared once.
 
-    Matching blocks are a common subsequence, so the ratio itself is only taken where the longest one is long enough.
+    Pairs are left out by bounds that the ratio never passes, the cheapest first: shared letters, shared runs where the
+    second title is long, the longest common subsequence. The ratio itself is only taken for what is left.
     """
-    found = []
-    near = may_be_alike([t for _, t in left], [t for _, t in right], least)
-    if once:
-        near &= np.array([i for i, _ in left])[:, None] < np.array([i for i, _ in right])[None, :]
-    for j, (b_id, b) in enumerate(right):
-        own = np.flatnonzero(near[:, j])
-        masks: dict[str, int] = {}
-        for k, c in enumerate(b if len(own) else ""):
-            masks[c] = masks.get(c, 0) | 1 << k
-        for a_id, a in (left[i] for i in own):
-            if a_id == b_id or 2 * longest_common(masks, len(b), a) < least * (len(a) + len(b)):
+    left, right = sorted(left, key=lambda x: len(x[1])), sorted(right, key=lambda x: len(x[1]))
+    texts, others = [t for _, t in left], [t for _, t in right]
+    l_ids, r_ids = np.array([i for i, _ in left]), np.array([i for i, _ in right])
+    near = may_be_alike(texts, others, least)
+    near &= l_ids[:, None] < r_ids[None, :] if once else l_ids[:, None] != r_ids[None, :]
+    first, second = share_runs(texts, others, near, least)  # pairs that may have the ratio as left, right and as right, left
+    b, a = np.nonzero((first | second).T)
+    kept = long_common(texts, others, a, b, least)
+    a, b = a[kept], b[kept]
+    told = {}
+    for forward, asked in ((True, first), (False, second)):
+        x, y = (a, b) if forward else (b, a)
+        firsts, seconds = (texts, others) if forward else (others, texts)
+        matcher, last = SequenceMatcher(None), -1
+        for k in np.lexsort((x, y)):
+            if not asked[a[k], b[k]]:
                 continue
-            first, second = SequenceMatcher(None, a, b).ratio() >= least, SequenceMatcher(None, b, a).ratio() >= least
-            if first or second:
-                found.append((a_id, b_id, first, second) if a_id < b_id else (b_id, a_id, second, first))
-    return found
+            if y[k] != last:
+                last = y[k]
+                matcher.set_seq2(seconds[last])
+            matcher.set_seq1(firsts[x[k]])
+            if matcher.ratio() >= least:
+                told.setdefault((int(l_ids[a[k]]), int(r_ids[b[k]])), set()).add(forward)
+    return [(i, j, True in ways, False in ways) if i < j else (j, i, False in ways, True in ways) for (i, j), ways in told.items()]
 
 
 def letter_counts(titles: list[str]) -> np.ndarray:
     """How often each title has the characters of each of LETTERS classes."""
     out = np.zeros((len(titles), LETTERS), np.int32)
     for i, t in enumerate(titles):
-        out[i] = np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) % LETTERS, minlength=LETTERS)
+        out[i] = np.bincount(_classes(t), minlength=LETTERS)
     return out
 
 
@@ -167,11 +306,17 @@ def may_be_alike(left: list[str], right: list[str], least: float) -> np.ndarray:
     """Which pairs can have the ratio: what two titles match is at most what their counts of characters share, so these
     differ by at most 1 - least of both lengths together."""
     a, b = letter_counts(left), letter_counts(right)
-    lengths = np.array([len(t) for t in left])[:, None] + np.array([len(t) for t in right])[None, :]
-    apart = np.zeros(lengths.shape, np.int32)
-    for k in range(LETTERS):
-        apart += np.abs(a[:, k][:, None] - b[:, k][None, :])
-    return apart <= (1 - least) * lengths + 1e-6
+    n, m = np.array([len(t) for t in left], np.int32), np.array([len(t) for t in right], np.int32)
+    kind = np.int16 if max(n.max(initial=0), m.max(initial=0)) < 1 << 14 else np.int32  # a difference is at most both lengths
+    a, b = np.ascontiguousarray(a.T, kind), np.ascontiguousarray(b.T, kind)
+    out = np.zeros((len(n), len(m)), bool)
+    held = np.flatnonzero(a.any(axis=1) | b.any(axis=1))
+    for at in range(0, len(n), ROWS):  # so few rows at once that they stay near
+        apart = np.zeros((len(n[at : at + ROWS]), len(m)), kind)
+        for k in held:
+            apart += np.abs(a[k, at : at + ROWS, None] - b[k, None, :])
+        out[at : at + ROWS] = apart <= (1 - least) * (n[at : at + ROWS, None] + m[None, :]) + 1e-6
+    return out
 
 
 def title_pairs(titles: DataFrame, least: float = TITLE, block: int = TITLE_BLOCK) -> DataFrame:
