@@ -50,3 +50,9 @@ def test_title_pairs_are_of_whole_titles(spark, tmp_path):
     alike = lambda a, b: max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= 0.75
     true = {(i, j) for a, i in first.items() for b, j in first.items() if i < j and alike(a, b)}
     assert {tuple(r) for r in catalogue.QUERIES["title_similarity_pairs"](spark, str(tmp_path)).collect()} == true and (2, 3) not in true and true
+
+
+def test_urls_alone_need_no_fingerprints(spark):
+    """A history without fingerprints is matched by urls: no token is made."""
+    plan = catalogue.QUERIES["unpublished_urls"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "doc_id" in plan and "Generate" not in plan and "regexp" not in plan

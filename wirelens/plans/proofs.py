@@ -18,7 +18,7 @@ from wirelens.operators import classify as cl
 from wirelens.operators import events as ev
 from wirelens.operators import feed, intake, pairs, policy
 from wirelens.operators.render import spaced
-from wirelens.plans.catalogue import PRINTED, printed, query, table
+from wirelens.plans.catalogue import PRINTED, news, printed, query, table
 from wirelens.sources import feeds, sinks
 from wirelens.sources.article import article_text, image_url
 from wirelens.sources.listing import read_listings
@@ -250,7 +250,7 @@ def card_urls(spark, sf_dir):
 @query(f"WITH {PRINTED} SELECT ordinal FROM prints WHERE ordinal % 3 <> 0")
 def unpublished_urls(spark, sf_dir):
     """Items that a history without fingerprints does not know by url."""
-    items = printed(spark, sf_dir)
+    items = news(spark, sf_dir)  # without fingerprints, as none are compared
     past = items.where("ordinal % 3 = 0").select("url", "published_at", F.lit(None).cast(ev.FINGERPRINT).alias("event_fingerprint"))
     return pairs.unpublished(items, past).select("ordinal")
 
