@@ -122,3 +122,26 @@ def test_near_copies_that_share_an_id(spark):
     assert found.columns == docs.columns
     kept = sorted((r.doc_id or 0, r.text) for r in found.collect())
     assert kept == sorted([(0, text), (0, text), (1, text), (3, "quite another text than that"), (3, "and a third one")])
+
+
+def test_texts_of_frequent_passages_make_few_candidates(spark, monkeypatch):
+    """Texts of the same passages that mostly differ too much: parities leave out nearly all pairs that aren't alike."""
+    rng, counted, write = random.Random(4), {}, simhash.materialize
+
+    def materialize(df, name="rows"):
+        rows = write(df, name)
+        counted[name] = rows.count()
+        return rows
+
+    monkeypatch.setattr(simhash, "materialize", materialize)
+    passages = [" ".join(f"p{i}w{k}" for k in range(9)) for i in range(40)]
+    rows = [(i, " ".join(passages[k] for k in sorted(rng.sample(range(40), 34)))) for i in range(240)]
+    sets = [shingles(t) for _, t in rows]
+    near = {(i, j) for i in range(240) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8}
+    group = list(range(240))
+    for i, j in near:
+        old, new = max(group[i], group[j]), min(group[i], group[j])
+        group = [new if g == old else g for g in group]
+    kept = {r.doc_id for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(group) and 1 < len(kept) < 240
+    assert counted["remaining"] < 6000 < 28_680  # of so many pairs

@@ -169,6 +169,8 @@ MARGIN = 0.25
 #: The shingles' frequencies are learnt from one text of so many; so many frequent ones, at most, are told apart (16 bytes
 #: each). Only cost depends on it.
 EVERY, FREQUENT = 8, 400_000
+#: Bits of a set's parities, which go along with its frequent shingles; a multiple of 64. Only cost depends on it.
+PARITIES = 1024
 
 TRAITS = "struct<node:bigint,fp:bigint,keys:array<bigint>,sketch:binary>"
 _TRAITS_ARROW = pa.struct([("node", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
@@ -255,11 +257,19 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, le
     return materialize(both(near, sets, "whole").where(alike("x", "y")).select("a", "b"), "alike")
 
 
+def parities(whole: np.ndarray) -> bytes:
+    """A bit for each class of hashes: whether the set has an odd number of them. Two sets differ in at least as many hashes
+    as their parities differ in bits."""
+    odd = np.bincount((whole % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _prefixes(n: int, least: float, shared, sample: int, texts: int) -> Callable:
     """node, size and prefix of texts: the shingles, rarest first, of which any text that is alike shares one.
 
     traits: place in that order * 4 + side. A shingle that many texts have is dealt out as pairs of blocks; side tells
-    the lower (1) from the upper (2) in a pair of two blocks.
+    the lower (1) from the upper (2) in a pair of two blocks. often: which keys are of shingles
+    that the sample found frequent; odd: parities of a text that has such, which go along with these alone.
     """
 
     def prefixes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -272,17 +282,18 @@ def _prefixes(n: int, least: float, shared, sample: int, texts: int) -> Callable
                 at = np.minimum(np.searchsorted(known, whole), max(len(known) - 1, 0))
                 often = np.where(known[at] == whole, count[at], 0) if len(known) else np.zeros(size, np.int64)
                 order = np.argsort(often, kind="stable")[: size - int(np.ceil(least * size - 1e-9)) + 1 if size else 0]
-                keys, traits = [], []
+                keys, traits, frequent = [], [], []
                 for place, (token, times) in enumerate(zip(whole[order].view(np.int64).tolist(), often[order].tolist(), strict=True)):
                     parts = -(-times * texts // (sample * BLOCK)) if times else 1
                     own = node % parts
                     for other in range(parts) if parts > 1 else (own,):
                         keys.append(token if parts == 1 else hash((token, min(own, other), max(own, other))))
                         traits.append(place * 4 + (0 if own == other else 1 if own < other else 2))
-                found.append({"node": node, "size": size, "keys": keys, "traits": traits})
-            yield pa.array(found, pa.struct([("node", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64())), ("traits", pa.list_(pa.int64()))]))
+                        frequent.append(bool(times))
+                found.append({"node": node, "size": size, "keys": keys, "traits": traits, "often": frequent, "odd": parities(whole) if any(frequent) else None})
+            yield pa.array(found, pa.struct([("node", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64())), ("traits", pa.list_(pa.int64())), ("often", pa.list_(pa.bool_())), ("odd", pa.binary())]))
 
-    return F.arrow_udf(prefixes, "struct<node:bigint,size:bigint,keys:array<bigint>,traits:array<bigint>>").asNondeterministic()
+    return F.arrow_udf(prefixes, "struct<node:bigint,size:bigint,keys:array<bigint>,traits:array<bigint>,often:array<boolean>,odd:binary>").asNondeterministic()
 
 
 def _possible(least: float) -> Callable:
@@ -291,13 +302,26 @@ def _possible(least: float) -> Callable:
     def pairs(table: pa.Table, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
         node, root, size, traits = (table.column(c).to_numpy() for c in ("node", "root", "size", "trait"))
         rest, side, left, right = size - traits // 4, traits % 4, [], []
+        given = table.column("odd").combine_chunks()
+        told = given.is_valid().to_numpy(zero_copy_only=False)
+        odd = np.zeros((len(node), PARITIES // 64), np.uint64)
+        if told.any():
+            odd[told] = np.frombuffer(b"".join(given.drop_null().to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
 
         def keep(a: np.ndarray, b: np.ndarray) -> None:
             ok = (root[a] != root[b]) & ((side[a] != side[b]) | (side[a] == 0))
             a, b = a[ok], b[ok]
             # at the first shingle that two texts share, all that they share is still to come
             ok = np.minimum(rest[a], rest[b]) * (1 + least) >= least * (size[a] + size[b]) - 1e-6
-            left.append(node[a[ok]]), right.append(node[b[ok]])
+            a, b = a[ok], b[ok]
+            near = np.ones(len(a), bool)
+            # alike sets differ in few hashes, and their parities in no more
+            for at in range(0, len(a), 1 << 16) if told.any() else ():
+                x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+                apart = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64)
+                far = told[x] & told[y] & (apart * (1 + least) > (1 - least) * (size[x] + size[y]) + 1e-6)
+                near[at : at + (1 << 16)] = ~far
+            left.append(node[a[near]]), right.append(node[b[near]])
 
         length = end - start
         for step in range(1, FULL):
@@ -327,7 +351,8 @@ def _remaining(docs: DataFrame, nodes: DataFrame, joined: DataFrame, shingle: in
     """Candidates (a, b) among nodes of different groups: every pair that is alike is one of them; written.
 
     Two sets of which one has n hashes can only be alike if they share least * n, so they share one of the first
-    n - least * n + 1 in any fixed order. Shingles that are frequent in a sample come last, which keeps buckets short.
+    n - least * n + 1 in any fixed order. Shingles that are frequent in a sample come last, which keeps buckets short. In
+    the buckets of these, pairs are left out whose parities tell that they differ in too many hashes.
     """
     spark, n = docs.sparkSession, nodes.count()
     every = min(EVERY, max(1, n))
@@ -348,9 +373,9 @@ def _remaining(docs: DataFrame, nodes: DataFrame, joined: DataFrame, shingle: in
     order = np.argsort(known)
     shared = spark.sparkContext.broadcast((known[order], times[order]))
     # copies go where their node's group is joined: texts themselves are never shuffled
-    dealt = docs.select(_prefixes(shingle, least, shared, -(-n // every), n)(F.col("text")).alias("t")).select("t.*").groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "keys", "traits")])
-    rooted = dealt.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", F.explode(F.arrays_zip("keys", "traits")).alias("k"))
-    rows = rooted.select(F.col("k.keys").alias("bucket"), "node", "root", "size", F.col("k.traits").alias("trait"))
+    dealt = docs.select(_prefixes(shingle, least, shared, -(-n // every), n)(F.col("text")).alias("t")).select("t.*").groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "keys", "traits", "often", "odd")])
+    rooted = dealt.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "odd", F.explode(F.arrays_zip("keys", "traits", "often")).alias("k"))
+    rows = rooted.select(F.col("k.keys").alias("bucket"), "node", "root", "size", F.col("k.traits").alias("trait"), F.when(F.col("k.often"), F.col("odd")).alias("odd"))
     return materialize(grouped_runs(rows, "bucket", ["size", "node"], _possible(least), "a bigint, b bigint").distinct(), "remaining")
 
 
