@@ -1,6 +1,7 @@
 """The pipeline on the smallest tables against plain Python."""
 
 import random
+import time
 
 import corpus_pipeline
 import pytest
@@ -145,3 +146,30 @@ def test_texts_of_frequent_passages_make_few_candidates(spark, monkeypatch):
     kept = {r.doc_id for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == set(group) and 1 < len(kept) < 240
     assert counted["remaining"] < 6000 < 28_680  # of so many pairs
+
+
+def shuffled(spark):
+    """Bytes that all tasks so far have written to shuffles."""
+    time.sleep(0.5)  # the last tasks' figures arrive late
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+
+
+def test_near_copies_shuffle_little_of_texts_alone(spark):
+    """Texts, and shingles of one text alone, stay where they are read; what a step has shuffled is gone after it."""
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.randrange(16**12):x}" for _ in range(400)) for _ in range(300)]
+    rows = [*enumerate(texts), (300, texts[7] + " and more"), (301, "and " + texts[8])]
+    docs, before = spark.createDataFrame(rows, "doc_id long, text string").repartition(4, "doc_id").transform(simhash.materialize), shuffled(spark)
+    kept = {r.doc_id for r in simhash.materialize(simhash.representatives(docs)).collect()}
+    assert kept == set(range(300))
+    sent = shuffled(spark) - before
+    assert sent < sum(len(t) for _, t in rows) * 7 // 10, sent
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: held.getAllFiles().mkString("\n").count(".data")
+    old = files()
+    simhash.materialize(docs.groupBy("text").count())
+    for _ in range(50):  # files go in the background
+        if files() <= old:
+            break
+        time.sleep(0.2)
+    assert files() <= old

@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wirelens.functions.storage import freeing_shuffles
+from wirelens.llm import bitmaps
 from wirelens.llm.common import components, grouped_runs, local_roots, materialize, skew_join
 
 BITS, RADIUS, SEED = 64, 3, 42
@@ -171,9 +173,13 @@ MARGIN = 0.25
 EVERY, FREQUENT = 8, 400_000
 #: Bits of a set's parities, which go along with its frequent shingles; a multiple of 64. Only cost depends on it.
 PARITIES = 1024
+#: Sets of more hashes than this have a sketch too, as the parities of such tell less. Only cost depends on it.
+SKETCHED = 1024
+#: Bits for each document in the filter of those whose sets are asked for. Only cost depends on it.
+ASKED_BITS = 16
 
-TRAITS = "struct<node:bigint,fp:bigint,keys:array<bigint>,sketch:binary>"
-_TRAITS_ARROW = pa.struct([("node", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+TRAITS = "struct<node:bigint,size:bigint,fp:bigint,keys:array<bigint>,odd:binary,sketch:binary>"
+_TRAITS_ARROW = pa.struct([("node", pa.int64()), ("size", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("odd", pa.binary()), ("sketch", pa.binary())])
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -203,7 +209,8 @@ def _traits(n: int) -> Callable:
                 fp, least = fingerprint_of(hashes), whole[:SKETCH]
                 pairs = [int(least[i] * np.uint64(3) ^ least[j]) for i in range(min(LEADERS, len(least))) for j in range(i + (len(least) > 1), min(LEADERS, len(least)))]
                 keys = [signed(k) for k in pairs] + [signed((fp & int(m)) * 31 + k + 1 & (1 << 64) - 1) for k, m in enumerate(tables)]
-                found.append({"node": _node(whole), "fp": fp, "keys": keys, "sketch": np.unique((least >> np.uint64(32)).astype(np.uint32)).tobytes()})
+                sketch = np.unique((least >> np.uint64(32)).astype(np.uint32)).tobytes() if len(whole) > SKETCHED else None
+                found.append({"node": _node(whole), "size": len(whole), "fp": fp, "keys": keys, "odd": parities(whole), "sketch": sketch})
             yield pa.array(found, _TRAITS_ARROW)
 
     return F.arrow_udf(traits, TRAITS).asNondeterministic()
@@ -219,23 +226,46 @@ def _pairs(table: pa.Table, start: np.ndarray, end: np.ndarray) -> Iterator[pa.R
     yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
-def _sets(n: int) -> Callable:
-    """node and whole set of shingle hashes (as bytes) of texts."""
+def _asked_sets(docs: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+    """node and whole set of shingle hashes (as bytes) of the texts of asked (doc_id, node); written.
 
-    def sets(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
-            own = [np.unique(shingle_hashes(t, n)) for t in batch.to_pylist()]
-            yield pa.array([{"node": _node(w), "whole": w.tobytes()} for w in own], pa.struct([("node", pa.int64()), ("whole", pa.binary())]))
+    Texts stay where they are read: the bits of a filter (at most 16 MB) tell there which may be asked for, and only the
+    sets of these are shuffled.
+    """
+    width = bitmaps.width_for(asked.count() * ASKED_BITS)
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit(width - 1))
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = bitmaps.Counts(width, 1)
+        for batch in batches:
+            counts.add(batch.column(0).to_numpy())
+        yield from counts.slices()
+
+    bits = docs.sparkSession.sparkContext.broadcast(bitmaps.reached(asked.select(place.alias("place")).mapInArrow(slices, bitmaps.SLICES), width, 1))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.filter(pa.array(bitmaps.has(bits.value, batch.column("place").to_numpy().astype(np.uint64))))
+            own = [np.unique(shingle_hashes(t, n)) for t in held.column("text").to_pylist()]
+            yield pa.record_batch([held.column("doc_id"), pa.array([_node(w) for w in own], pa.int64()), pa.array([w.tobytes() for w in own], pa.binary())], ["doc_id", "node", "whole"])
 
-    return F.arrow_udf(sets, "struct<node:bigint,whole:binary>").asNondeterministic()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.select("doc_id", "text", place.alias("place")).mapInArrow(sets, f"doc_id {kind}, node bigint, whole binary")
+    return materialize(found.join(asked, ["doc_id", "node"], "left_semi").dropDuplicates(["doc_id", "node"]).select("node", "whole"), "sets")
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
     """Those of pairs (a, b) whose whole sets are at least so similar; written."""
 
-    @F.arrow_udf("double")
-    def estimate(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([similarity(a, b) for a, b in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.float64())
+    @F.arrow_udf("boolean")
+    def possible(n: pa.Array, m: pa.Array, x: pa.Array, y: pa.Array, s: pa.Array, t: pa.Array) -> pa.Array:
+        n, m = n.to_numpy().astype(np.int64), m.to_numpy().astype(np.int64)
+        told = ~_too_far(_odd_rows(x), _odd_rows(y), n, m, least)
+        told &= np.minimum(n, m) >= least * np.maximum(n, m) - 1e-6
+        for k, (a, b) in enumerate(zip(s.to_pylist(), t.to_pylist(), strict=True)):
+            if told[k] and a is not None and b is not None:
+                told[k] = similarity(a, b) >= least - MARGIN
+        return pa.array(told)
 
     @F.arrow_udf("boolean")
     def alike(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -246,15 +276,16 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, le
             told.append(not union or common / union >= least)
         return pa.array(told, pa.bool_())
 
-    def both(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
-        x, y = (values.withColumnsRenamed({"node": c, name: v}) for c, v in (("a", "x"), ("b", "y")))
-        return pairs.join(x, "a").join(y, "b")
+    def both(pairs: DataFrame, values: DataFrame) -> DataFrame:
+        of = lambda c: values.select(F.col("node").alias(c), *[F.col(v).alias(f"{c}_{v}") for v in values.columns if v != "node"])
+        return pairs.join(of("a"), "a").join(of("b"), "b")
 
-    near = materialize(both(pairs, nodes.select("node", "sketch"), "sketch").where(estimate("x", "y") >= least - MARGIN).select("a", "b"), "near")
+    traits = both(pairs, nodes.select("node", "size", "odd", "sketch"))
+    near = materialize(traits.where(possible("a_size", "b_size", "a_odd", "b_odd", "a_sketch", "b_sketch")).select("a", "b"), "near")
     asked = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    rows = docs.join(nodes.join(asked, "node", "left_semi").select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = materialize(rows.select(_sets(shingle)(F.col("text")).alias("t")).select("t.*").dropDuplicates(["node"]), "sets")
-    return materialize(both(near, sets, "whole").where(alike("x", "y")).select("a", "b"), "alike")
+    asked = materialize(nodes.join(asked, "node", "left_semi").select(F.col("first").alias("doc_id"), "node"), "asked")
+    sets = _asked_sets(docs, asked, shingle)
+    return materialize(both(near, sets).where(alike("a_whole", "b_whole")).select("a", "b"), "alike")
 
 
 def parities(whole: np.ndarray) -> bytes:
@@ -264,6 +295,16 @@ def parities(whole: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _odd_rows(odd: pa.Array) -> np.ndarray:
+    """Parities (none is null) as rows of numbers."""
+    return np.frombuffer(b"".join(odd.to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
+
+
+def _too_far(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of sets (parities and sizes) differ in too many hashes to be so similar."""
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * (1 + least) > (1 - least) * (n + m) + 1e-6
+
+
 def _prefixes(n: int, least: float, shared, sample: int, texts: int) -> Callable:
     """node, size and prefix of texts: the shingles, rarest first, of which any text that is alike shares one.
 
@@ -306,7 +347,7 @@ def _possible(least: float) -> Callable:
         told = given.is_valid().to_numpy(zero_copy_only=False)
         odd = np.zeros((len(node), PARITIES // 64), np.uint64)
         if told.any():
-            odd[told] = np.frombuffer(b"".join(given.drop_null().to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
+            odd[told] = _odd_rows(given.drop_null())
 
         def keep(a: np.ndarray, b: np.ndarray) -> None:
             ok = (root[a] != root[b]) & ((side[a] != side[b]) | (side[a] == 0))
@@ -318,9 +359,7 @@ def _possible(least: float) -> Callable:
             # alike sets differ in few hashes, and their parities in no more
             for at in range(0, len(a), 1 << 16) if told.any() else ():
                 x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-                apart = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64)
-                far = told[x] & told[y] & (apart * (1 + least) > (1 - least) * (size[x] + size[y]) + 1e-6)
-                near[at : at + (1 << 16)] = ~far
+                near[at : at + (1 << 16)] = ~(told[x] & told[y] & _too_far(odd[x], odd[y], size[x], size[y], least))
             left.append(node[a[near]]), right.append(node[b[near]])
 
         length = end - start
@@ -368,15 +407,46 @@ def _remaining(docs: DataFrame, nodes: DataFrame, joined: DataFrame, shingle: in
                     yield pa.record_batch([pa.array(whole.view(np.int64))], ["token"])
 
     counted = sample.select("text").mapInArrow(tokens, "token bigint").groupBy("token").agg(F.count(F.lit(1)).alias("times"))
-    often = counted.where("times > 2").orderBy(F.desc("times"), "token").limit(FREQUENT).toPandas()
+    with freeing_shuffles(spark):
+        often = counted.where("times > 2").orderBy(F.desc("times"), "token").limit(FREQUENT).toPandas()
     known, times = often["token"].to_numpy(np.int64).view(np.uint64), often["times"].to_numpy(np.int64)
     order = np.argsort(known)
     shared = spark.sparkContext.broadcast((known[order], times[order]))
     # copies go where their node's group is joined: texts themselves are never shuffled
     dealt = docs.select(_prefixes(shingle, least, shared, -(-n // every), n)(F.col("text")).alias("t")).select("t.*").groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "keys", "traits", "often", "odd")])
-    rooted = dealt.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", "odd", F.explode(F.arrays_zip("keys", "traits", "often")).alias("k"))
-    rows = rooted.select(F.col("k.keys").alias("bucket"), "node", "root", "size", F.col("k.traits").alias("trait"), F.when(F.col("k.often"), F.col("odd")).alias("odd"))
-    return materialize(grouped_runs(rows, "bucket", ["size", "node"], _possible(least), "a bigint, b bigint").distinct(), "remaining")
+    rooted = materialize(dealt.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")), "prefixes")
+    return materialize(grouped_runs(_met(rooted), "bucket", ["size", "node"], _possible(least), "a bigint, b bigint").distinct(), "remaining")
+
+
+def _met(rooted: DataFrame) -> DataFrame:
+    """A row for each text and key of its prefix that another text may have too.
+
+    Most shingles of a prefix are in one text alone. Of those keys whose bits (at most 16 MB) tell that no other text has
+    them, no rows are made; several keys may share a bit, so none that two texts have is left out.
+    """
+    width = bitmaps.width_for((rooted.agg(F.sum(F.size("keys"))).first()[0] or 0) * 8)
+
+    def buckets(keys: pa.Array) -> np.ndarray:
+        return keys.to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - width.bit_length())
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = bitmaps.Counts(width, 2)
+        for batch in batches:
+            counts.add(buckets(batch.column(0).flatten()))
+        yield from counts.slices()
+
+    bits = rooted.sparkSession.sparkContext.broadcast(bitmaps.reached(rooted.select("keys").mapInArrow(slices, bitmaps.SLICES), width, 2))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, traits, often = (batch.column(c).flatten() for c in ("keys", "traits", "often"))
+            text = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("keys").offsets.to_numpy()))
+            at = np.flatnonzero(bitmaps.has(bits.value, buckets(keys)))
+            own, often = pa.array(text[at]), often.to_numpy(zero_copy_only=False)[at]
+            odd = batch.column("odd").take(pa.array(np.where(often, text[at], 0), mask=~often))
+            yield pa.record_batch([keys.take(pa.array(at)), *[batch.column(c).take(own) for c in ("node", "root", "size")], traits.take(pa.array(at)), odd], ["bucket", "node", "root", "size", "trait", "odd"])
+
+    return rooted.mapInArrow(rows, "bucket bigint, node bigint, root bigint, size bigint, trait bigint, odd binary")
 
 
 def representatives(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY) -> DataFrame:
@@ -389,7 +459,7 @@ def representatives(docs: DataFrame, shingle: int = 5, least: float = SIMILARITY
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     found = docs.select("doc_id", _traits(shingle)(F.col("text")).alias("t")).select("doc_id", "t.*")
-    nodes = materialize(found.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"), F.any_value("sketch").alias("sketch")), "texts")
+    nodes = materialize(found.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.any_value(c).alias(c) for c in ("size", "fp", "keys", "odd", "sketch")]), "texts")
     dealt = nodes.select("node", "fp", F.explode("keys").alias("bucket"))
     pairs = materialize(grouped_runs(dealt, "bucket", ["fp", "node"], _pairs, "a bigint, b bigint").distinct(), "pairs")
     early = _alike(pairs, nodes, docs, shingle, least)
