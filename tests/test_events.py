@@ -158,6 +158,40 @@ def test_few_long_titles_are_aligned_letter_by_letter(monkeypatch):
     assert len(times) < 200
 
 
+def test_hardly_a_pair_of_short_titles_is_aligned_whole(monkeypatch):
+    """Common subsequences of a few letters leave out what letters alone don't."""
+    given, one = [], events.long_common
+    monkeypatch.setattr(events, "long_common", lambda texts, patterns, a, *rest: given.append(len(a)) or one(texts, patterns, a, *rest))
+    rng = random.Random(2)
+    words = ["".join(rng.choices("etaoinsrhld", k=rng.randrange(2, 7))) for _ in range(400)]
+    titles = [(i, " ".join(rng.choices(words, k=rng.randrange(14, 26)))) for i in range(400)]
+    assert int(events.may_be_alike([t for _, t in titles], [t for _, t in titles], 0.75).sum()) > 50_000
+    events.alike_titles(titles, titles, 0.75, once=True)
+    assert sum(given) < 5_000
+
+
+@pytest.mark.parametrize("own", [{"TILE": 24, "FEW": 0, "SPARSE": 1.1}, {"TILE": 30, "FEW": 0, "SPARSE": 0, "SHORT": 0}, {"CELLS": 50, "SHORT": 10**6, "FULL": 2}])
+def test_title_bounds_lose_nothing_in_small_tiles(own, monkeypatch):
+    for name, value in own.items():
+        monkeypatch.setattr(events, name, value)
+    titles = some_titles(11, 90, (5, 30, 64, 120, 190, 210, 300))
+    ratio = lambda x, y: SequenceMatcher(None, x, y).ratio() >= 0.75
+    true = {(i, j, ratio(x, y), ratio(y, x)) for i, x in titles for j, y in titles if i < j}
+    true = {t for t in true if t[2] or t[3]}
+    assert len(true) >= 3 and set(events.alike_titles(titles, titles, 0.75, once=True)) == true
+    left, right = titles[::2], titles[1::2]
+    assert set(events.alike_titles(left, right, 0.75)) == {t for t in true if (t[0] in dict(left)) != (t[1] in dict(left))}
+
+
+def test_ratio_of_a_second_title_is_that_of_the_matcher():
+    titles = [t for _, t in some_titles(5, 40, (20, 190, 200, 350, 700))] + ["", "q", "ab" * 150, "z" + "ab" * 150]
+    for y in titles:
+        second = events.Second(y)
+        for x in titles:
+            told = SequenceMatcher(None, x, y).ratio()
+            assert all(second.has_ratio(x, least) == (told >= least) for least in (0.3, 0.75, told, told + 1e-9))
+
+
 def test_title_ratio_depends_on_order(spark):
     df = spark.createDataFrame([("tide", "diet")], "a string, b string")
     r = df.select(title_ratio(F.col("a"), F.col("b")).alias("x"), title_ratio(F.col("b"), F.col("a")).alias("y")).first()
