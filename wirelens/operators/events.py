@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -22,8 +23,8 @@ WINDOW_SECONDS = 36 * 3600
 SHARED, OVERLAP, DENSE_SHARED, JACCARD, LEAD_SHARED = 5, 0.45, 7, 0.20, 7
 TITLE = 0.75
 #: Titles in a block, from and to; into how many blocks titles are cut between these; the characters that take the room of
-#: one title; tasks at most. A task holds two blocks. Only cost depends on these.
-TITLE_BLOCKS, TITLE_PARTS, TITLE_ROOM, TITLE_TASKS = (2048, 8192), 24, 512, 4000
+#: one title; tasks at most, and tasks that take ratios. A task holds two blocks. Only cost depends on these.
+TITLE_BLOCKS, TITLE_PARTS, TITLE_ROOM, TITLE_TASKS, RATIO_TASKS = (2048, 8192), 24, 512, 4000, 64
 #: From this length on the ratio leaves out frequent characters of its second title.
 LONG = 200
 #: Characters of the runs by which long titles are compared, how many must be shared at least for that, and how many pairs
@@ -546,20 +547,20 @@ def may_match(texts: list[str], others: list[str], least: float, wanted: np.ndar
     return tuple(np.concatenate(side) for side in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def alike_titles(left: list[tuple[int, str]], right: list[tuple[int, str]], least: float, once: bool = False) -> list[tuple[int, int, bool, bool]]:
-    """Ids (the lesser first) of titles of left and right with a ratio of at least least in either order, and in which:
-    the lesser first, the lesser second. once: left and right are the same, and each pair is compared once.
+def near_titles(left: list[tuple[int, str]], right: list[tuple[int, str]], least: float, once: bool = False) -> np.ndarray:
+    """Ids of the first and the second title of pairs of left and right, in either order, that can have a ratio of at least
+    least. once: left and right are the same.
 
     Pairs are left out by bounds that the ratio never passes. Where the second title is long (and not nearly all of rare
     characters) these are its runs that the first has too, which are looked up, so that pairs that share few cost next to
     nothing; elsewhere shared letters and common subsequences of a few letters, for tiles of pairs at once, then the whole
-    longest common subsequence. The ratio itself is only taken for what is left.
+    longest common subsequence.
     """
     left, right = sorted(left, key=lambda x: len(x[1])), sorted(right, key=lambda x: len(x[1]))
     texts, others = [t for _, t in left], [t for _, t in right]
     l_ids, r_ids = np.array([i for i, _ in left], np.int64), np.array([i for i, _ in right], np.int64)
     if not left or not right:
-        return []
+        return np.zeros((2, 0), np.int64)
     # titles that their runs tell as second ones, whatever the first
     far = least / (2 - least)
     l_slack = _slack(texts)
@@ -593,20 +594,38 @@ def alike_titles(left: list[tuple[int, str]], right: list[tuple[int, str]], leas
     long = np.array([len(t) > ALIGNED for t in others])[near % width]  # for these the ratio costs no more
     short = near[~long]
     near = np.r_[near[long], short[long_common(texts, others, short // width, short % width, least)]]
-    told: dict[tuple[int, int], set[bool]] = {}
+    found = []
     for ahead in (True, False):
         asked = np.intersect1d(np.concatenate([by_runs[ahead], by_letters[ahead]]), near)
-        a, b = asked // width, asked % width
-        a, b = a[l_ids[a] != r_ids[b]], b[l_ids[a] != r_ids[b]]
-        x, y = (a, b) if ahead else (b, a)
-        firsts, seconds = (texts, others) if ahead else (others, texts)
-        second, last = None, -1
-        for k in np.lexsort((x, y)):
-            if y[k] != last:
-                second, last = Second(seconds[y[k]]), y[k]
-            if second.has_ratio(firsts[x[k]], least):
-                told.setdefault((int(l_ids[a[k]]), int(r_ids[b[k]])), set()).add(ahead)
-    return [(i, j, True in ways, False in ways) if i < j else (j, i, False in ways, True in ways) for (i, j), ways in told.items()]
+        a, b = l_ids[asked // width], r_ids[asked % width]
+        found.append(np.stack([a, b] if ahead else [b, a])[:, a != b])
+    return np.concatenate(found, axis=1)
+
+
+def alike_titles(left: list[tuple[int, str]], right: list[tuple[int, str]], least: float, once: bool = False) -> list[tuple[int, int, bool, bool]]:
+    """Ids (the lesser first) of titles of left and right with a ratio of at least least in either order, and in which:
+    the lesser first, the lesser second. once: left and right are the same, and each pair is compared once."""
+    titles = dict([*left, *right])
+    told: dict[tuple[int, int], set[bool]] = {}
+    for i, j in near_titles(left, right, least, once).T.tolist():
+        if Second(titles[j]).has_ratio(titles[i], least):
+            told.setdefault((min(i, j), max(i, j)), set()).add(i < j)
+    return [(i, j, True in ways, False in ways) for (i, j), ways in told.items()]
+
+
+def _have_ratio(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """l_id, r_id and whether it is the ratio of the lesser id's title as the first one, of rows that have the ratio."""
+    last, second = None, None
+    for batch in batches:
+        first_ids, second_ids, titles, others = (batch[c].to_pylist() for c in ("first", "second", "first_title", "second_title"))
+        kept = []
+        for i, j, title, other in zip(first_ids, second_ids, titles, others, strict=True):
+            if second is None or j != last:
+                last, second = j, Second(other)
+            if second.has_ratio(title, least):
+                kept.append((min(i, j), max(i, j), i < j))
+        columns = list(zip(*kept, strict=True)) or [()] * 3
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["l_id", "r_id", "ahead"])
 
 
 def letters_apart(left: list[str], right: list[str]) -> np.ndarray:
@@ -664,13 +683,16 @@ def title_pairs(titles: DataFrame, least: float = TITLE, block: int | None = Non
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         side = lambda k: list(rows.loc[rows["part"] == rows[k].iloc[0], ["id", "title"]].itertuples(index=False, name=None))
-        left, right = side("low"), side("high")
-        if rows["low"].iloc[0] != rows["high"].iloc[0]:
-            return pd.DataFrame(alike_titles(left, right, least), columns=["l_id", "r_id", "forward", "backward"])
-        return pd.DataFrame(alike_titles(left, right, least, once=True), columns=["l_id", "r_id", "forward", "backward"])
+        found = near_titles(side("low"), side("high"), least, once=bool(rows["low"].iloc[0] == rows["high"].iloc[0]))
+        return pd.DataFrame({"first": found[0], "second": found[1]})
 
     blocks = rooms // block + 1
-    return dealt.repartition(min(TITLE_TASKS, blocks * (blocks + 1) // 3 + 1), "low", "high").groupBy("low", "high").applyInPandas(compare, PAIR)
+    met = dealt.repartition(min(TITLE_TASKS, blocks * (blocks + 1) // 3 + 1), "low", "high").groupBy("low", "high").applyInPandas(compare, "first long, second long")
+    # ratios are taken apart from blocks: those of titles that are nearly all alike would be one task's work
+    side = lambda c: sized.select(F.col("id").alias(c), F.col("title").alias(f"{c}_title"))
+    both = materialize(met, "near").join(side("first"), "first").join(side("second"), "second")
+    told = both.repartition(min(RATIO_TASKS, 4 * blocks), "second").sortWithinPartitions("second").mapInArrow(lambda batches: _have_ratio(batches, least), "l_id long, r_id long, ahead boolean")
+    return told.groupBy("l_id", "r_id").agg(F.max("ahead").alias("forward"), F.max(~F.col("ahead")).alias("backward"))
 
 
 def history_rows(items: DataFrame) -> DataFrame:
